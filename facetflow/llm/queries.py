@@ -19,6 +19,12 @@ def op5_vector_bin_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    from facetflow.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, folder, "documents"))
+
+
 def op7_merge_replay_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
