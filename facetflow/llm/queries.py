@@ -11,6 +11,13 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_decision_list(spark: SparkSession, folder: str) -> DataFrame:
+    from facetflow.llm.rules import BASE, quality
+
+    found, _ = quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return found.select("doc_id", *BASE, "base_failed", "kept", "rule")
+
+
 def op5_vector_bin_packing(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
