@@ -46,6 +46,13 @@ def op8_stratified_interleaving(spark: SparkSession, folder: str) -> DataFrame:
     return shard_digest(_table(spark, folder, "documents"))
 
 
+def op9_noisy_channel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from facetflow.llm.toxicity import learn, score
+
+    documents = _table(spark, folder, "documents")
+    return score(documents, learn(documents, _table(spark, folder, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()]
     return {f.__name__: f for f in found}
