@@ -36,7 +36,7 @@ def stratified_interleave(
         raise ValueError(f"columns {clash} are in the way; rename them")
     total = rows.count()
     slices = max(1, min(1 << 20, -(-total // rows_per_slice)))
-    digits = 1 if slices <= 16 else 2 if slices <= 256 else 3
+    digits = 2 if slices <= 16 else 3 if slices <= 256 else 4
     stratum = F.coalesce(F.concat(F.lit("s"), F.col(source_column).cast("string")), F.lit("null"))
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit(""))).cast("binary"))
     keyed = rows.withColumns({"__stratum": stratum, "__hash": hashed}).withColumn("__bucket", F.substring("__hash", 1, digits))
