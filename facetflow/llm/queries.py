@@ -11,6 +11,14 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_adaptive_dimension_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from facetflow.llm.ann import nearest
+
+    return nearest(_table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op3_decision_list(spark: SparkSession, folder: str) -> DataFrame:
     from facetflow.llm.rules import BASE, quality
 
