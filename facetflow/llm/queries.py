@@ -26,6 +26,12 @@ def op3_decision_list(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *BASE, "base_failed", "kept", "rule")
 
 
+def op4_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
+    from facetflow.llm.ngram import score
+
+    return score(_table(spark, folder, "documents"))
+
+
 def op5_vector_bin_packing(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
