@@ -8,11 +8,13 @@ Candidates. Table keys combine pairs from two smaller collections: m left and m
 m * m tables of 2 r minima, for 2 m r minhashes instead of 2 m m r. m is the least for which a pair at the threshold is
 missed with a probability of at most ``miss`` (a pair is found when it agrees in some left and in some right hash).
 Links. Texts of equal word sequences are one node. Within a table's bucket all pairs of nodes are never formed: a
-pivot, the member that most buckets of others hold, is compared with each member, verified links are merged into
-components, and only buckets that still hold several components go on: a few members of the smaller components are
-the next pivots and are compared with all members of other components, until every bucket is of one component or all
-its pairs across components have been compared. So each pair that a table finds is either verified or already within
-one component, and a hot bucket costs a few comparisons a member.
+pivot, the member that is in most buckets, is compared with each member. Let x not be linked with pivot P, and y be any
+other member. If x and y are linked, then either they share a shingle that P lacks, or both have so many shingles in
+common with P that those alone could reach the threshold. The second case names few pairs, which are compared. For
+the first, members meet again in buckets of (P, shingle that P lacks), where it is enough that x enters with as many of
+those shingles, in hash order, as leave no room for the overlap it needs (prefix filtering); buckets of one component
+are done, others go through the same round with a pivot of their own, until none is left. So of the pairs that a table
+finds no link between components is lost, and a bucket costs a comparison a member and round.
 Verification reads both texts and compares the full sets of 64-bit shingle hashes.
 
 Nothing is gathered at the driver; tables between rounds lie in the shared folder. Null and empty texts have
@@ -27,16 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.llm._shared import components, settle
+from facetflow.llm._shared import components, release, settle
 from facetflow.llm._words import blocks, mix, shingles
 
 #: Minima in each left or right hash.
 ROWS = 3
-#: Pivots that a bucket takes in a round after the first.
-PIVOTS = 8
+#: Pairs of ids (16 bytes each) that are broadcast.
+SMALL = 100_000
 _U = np.uint64
 
 
@@ -100,26 +102,39 @@ def signatures(documents: DataFrame, k: int, m: int, seed: int = 5) -> DataFrame
     return documents.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>")
 
 
-def verified(pairs: DataFrame, documents: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def compared(pairs: DataFrame, texts: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
+    """For pairs (pivot, doc): sizes of both sets, of what they share, and shingles of doc that the pivot lacks.
+
+    Of those shingles as many as prefix filtering asks for, smallest hashes first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            at = 0
+            sizes, lacking, at = [], [], [0]
             for (n, x, bx, _), (_, y, by, _) in _together(batch.column(2), batch.column(3), k):
                 for i in range(n):
                     p, q = np.unique(x[bx[i] : bx[i + 1]]), np.unique(y[by[i] : by[i + 1]])
-                    if len(p) and len(q) and denominator * min(len(p), len(q)) >= numerator * max(len(p), len(q)):
-                        both = len(np.intersect1d(p, q, assume_unique=True))
-                        keep[at + i] = denominator * both >= numerator * (len(p) + len(q) - both)
-                at += n
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
-
-    left = documents.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = documents.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long")
+                    own = np.setdiff1d(q, p, assume_unique=True)
+                    both = len(q) - len(own)
+                    least = max(1, -(-(numerator * len(q) - denominator * both) // denominator))
+                    own = own[: max(0, len(own) - least + 1)]
+                    sizes.append((len(p), len(q), both))
+                    lacking.append(own)
+                    at.append(at[-1] + len(own))
+            flat = np.concatenate(lacking) if lacking else np.zeros(0, np.uint64)
+            counts = np.array(sizes, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *[pa.array(counts[:, i]) for i in range(3)], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))],
+                names=["pivot", "doc", "pivot_size", "size", "both", "lacking"],
+            )
+
+    left = texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("text_p"))
+    right = texts.select(F.col("doc_id").alias("doc"), F.col("text").alias("text_d"))
+    if pairs.count() <= SMALL:  # a few MB: the texts need not be shuffled
+        pairs = F.broadcast(pairs)
+        right = right.join(F.broadcast(pairs.select("doc").distinct()), "doc", "left_semi")
+    both = pairs.join(left, "pivot").join(right, "doc").select("pivot", "doc", "text_p", "text_d")
+    return both.mapInArrow(run, "pivot long, doc long, pivot_size long, size long, both long, lacking array<long>")
 
 
 def _together(left: pa.Array, right: pa.Array, k: int, rows: int = 64) -> Iterator[tuple]:
@@ -147,8 +162,11 @@ def near_duplicates(documents: DataFrame, k: int = 3, numerator: int = 85, denom
     keyed = signed.select("doc_id", "node", "keys").join(classes, ["node"]).where("doc_id = rep_id")
     keyed = keyed.select("rep_id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = settle(keyed.join(shared, "key").select("key", F.col("rep_id").alias("doc"), "members").distinct())
-    labels = _link(buckets, documents, k, numerator, denominator)
+    buckets = settle(keyed.join(shared, "key").select("key", F.col("rep_id").alias("doc")).distinct())
+    release(documents.sparkSession)
+    among = buckets.select(F.col("doc").alias("doc_id")).distinct()
+    texts = settle(documents.join(among, "doc_id"))
+    labels = _link(buckets, texts, k, numerator, denominator)
 
     linked = classes.join(labels, classes.rep_id == labels.node_id, "left").select("node", "rep_id", F.coalesce("label", "rep_id").alias("component_id"))
     has = F.col("n_shingles") > 0
@@ -157,41 +175,49 @@ def near_duplicates(documents: DataFrame, k: int = 3, numerator: int = 85, denom
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("rep_id", "doc_id").alias("rep_id"))
 
 
-def _link(buckets: DataFrame, documents: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
+def _link(buckets: DataFrame, texts: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
     """(node_id, label) of all documents that have links."""
-    degree = buckets.groupBy("doc").agg(F.sum(F.col("members") - 1).alias("degree"))
-    ranked = settle(buckets.join(degree, "doc").select("key", "doc", "degree"))
-    top = ranked.groupBy("key").agg(F.max(F.struct("degree", "doc")).alias("top")).select("key", F.col("top.doc").alias("pivot"))
-    starred = ranked.join(top, "key").where("doc <> pivot")
-    pairs = settle(_pairs(starred))
-    tested = pairs
-    links = settle(verified(pairs, documents, k, numerator, denominator))
-    open_ = starred.select("key", "doc", "degree")
+    links = tested = None
+    extra = None
     while True:
+        degree = buckets.groupBy("doc").agg(F.count(F.lit(1)).alias("degree"))
+        ranked = settle(buckets.join(degree, "doc"))
+        top = ranked.groupBy("key").agg(F.max(F.struct("degree", "doc")).alias("top")).select("key", F.col("top.doc").alias("pivot"))
+        pairs = ranked.join(top, "key").where("doc <> pivot").select("pivot", "doc").distinct()
+        if extra is not None:
+            pairs = pairs.union(extra).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["pivot", "doc"], "left_anti")
+        pairs = settle(pairs)
+        found = settle(compared(pairs, texts, k, numerator, denominator))
+        linked = f"{denominator} * both >= {numerator} * (size + pivot_size - both)"
+        new = found.where(linked).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
+        links = settle(new if links is None else links.union(new))
+        tested = settle(pairs if tested is None else tested.union(pairs))
         labels = components(links).select(F.col("node").alias("node_id"), "label")
-        if open_.isEmpty():
-            return labels
-        labelled = open_.join(labels, open_.doc == labels.node_id, "left").select("key", "doc", "degree", F.coalesce("label", "doc").alias("label"))
-        # a bucket is done when what is left of it is of one component
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        labelled = settle(labelled.join(mixed, "key"))
-        if labelled.isEmpty():
+
+        # what unlinked members share with the pivot may alone reach the threshold with a smaller member
+        enough = f"({numerator + denominator}) * least(x.both, y.both) >= {numerator} * (x.size + y.size)"
+        alone = found.where(f"NOT ({linked})").alias("x").join(found.alias("y"), F.expr(f"x.pivot = y.pivot AND x.doc <> y.doc AND {enough}"))
+        alone = alone.select(F.col("x.doc").alias("pivot"), F.col("y.doc").alias("doc")).distinct()
+        extra = settle(_apart(alone, labels))
+
+        met = found.select("doc", F.explode("lacking").alias("shingle"), "pivot").select(F.xxhash64("pivot", "shingle").alias("key"), "doc").distinct()
+        more = met.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
+        met = met.join(more, "key").join(labels, F.col("doc") == F.col("node_id"), "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
+        met = settle(met)
+        mixed = met.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        buckets = settle(met.join(mixed, "key").select("key", "doc"))
+        if buckets.isEmpty() and extra.isEmpty():
             return labels
-        sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("x")).select("key", F.col("x.label").alias("main"))
-        minor = labelled.join(largest, "key").where("label <> main")
-        order = Window.partitionBy("key").orderBy(F.desc("degree"), "doc")
-        minor = minor.withColumn("place", F.row_number().over(order)).where(f"place <= {PIVOTS}")
-        pivots = settle(minor.select("key", F.col("doc").alias("pivot"), F.col("label").alias("pivot_label")))
-        found = labelled.join(pivots, "key").where("label <> pivot_label")
-        new = settle(_pairs(found).join(tested, ["a", "b"], "left_anti"))
-        tested = settle(tested.union(new))
-        links = settle(links.union(verified(new, documents, k, numerator, denominator)))
-        open_ = settle(labelled.select("key", "doc", "degree").join(pivots.select("key", F.col("pivot").alias("doc")), ["key", "doc"], "left_anti"))
-
-
-def _pairs(starred: DataFrame) -> DataFrame:
-    return starred.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose members are of different components."""
+    one = labels.select(F.col("node_id").alias("pivot"), F.col("label").alias("one"))
+    other = labels.select(F.col("node_id").alias("doc"), F.col("label").alias("other"))
+    both = pairs.join(one, "pivot", "left").join(other, "doc", "left")
+    return both.where(F.coalesce("one", "pivot") != F.coalesce("other", "doc")).select("pivot", "doc")
 
 
 def kept_documents(documents: DataFrame, **how: int | float) -> DataFrame:
