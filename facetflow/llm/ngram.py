@@ -56,7 +56,8 @@ def _tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _bigrams(token: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return mix(context * _U(0x9FB21C651E98DF25) + token)
+    """Bigram hashes, of 56 bits."""
+    return mix(context * _U(0x9FB21C651E98DF25) + token) & ~_U(255)
 
 
 def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -65,8 +66,23 @@ def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(bucket, np.arange(buckets + 1))
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, so that compression takes out the planes of zeros."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+
+
+def _unpacked(raw: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences; the first of a range is a difference from 0."""
+    return _packed(np.diff(keys, prepend=_U(0)))
+
+
 def _u32(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint32) for x in column.to_pylist()]
+    return [_unpacked(x, np.uint32) for x in column.to_pylist()]
 
 
 def count(chunked: DataFrame, buckets: int) -> DataFrame:
@@ -80,8 +96,8 @@ def count(chunked: DataFrame, buckets: int) -> DataFrame:
         kind, chunk = table.column("kind")[0].as_py(), table.column("chunk")[0].as_py()
         columns: dict[str, list] = {"kind": [kind] * len(own), "chunk": [chunk] * len(own), "bucket": own}
         for name, (keys, n), cut in zip(("word", "pair"), parts, cuts, strict=True):
-            columns[f"{name}_keys"] = [keys[cut[b] : cut[b + 1]].tobytes() for b in own]
-            columns[f"{name}_n"] = [n[cut[b] : cut[b + 1]].astype(np.uint32).tobytes() for b in own]
+            columns[f"{name}_keys"] = [_packed_keys(keys[cut[b] : cut[b + 1]]) for b in own]
+            columns[f"{name}_n"] = [_packed(n[cut[b] : cut[b + 1]].astype(np.uint32)) for b in own]
         return pa.table(columns, pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), *[(x, pa.binary()) for x in ("word_keys", "word_n", "pair_keys", "pair_n")]]))
 
     sent = chunked.groupBy("kind", "chunk").applyInArrow(send, "kind int, chunk long, bucket int, word_keys binary, word_n binary, pair_keys binary, pair_n binary")
@@ -91,7 +107,7 @@ def count(chunked: DataFrame, buckets: int) -> DataFrame:
         columns: dict[str, list] = {"kind": kinds.tolist(), "chunk": table.column("chunk").to_pylist(), "bucket": table.column("bucket").to_pylist()}
         tokens = types = fold_tokens = 0
         for name in ("word", "pair"):
-            keys = [np.frombuffer(x, np.uint64) for x in table.column(f"{name}_keys").to_pylist()]
+            keys = [np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in table.column(f"{name}_keys").to_pylist()]
             n, size = _u32(table.column(f"{name}_n")), np.array([len(x) for x in keys])
             distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
             times, kind = np.concatenate(n), np.repeat(kinds, size)
@@ -100,8 +116,8 @@ def count(chunked: DataFrame, buckets: int) -> DataFrame:
             if name == "word":
                 tokens, types, fold_tokens = int(total.sum()), int((total > 0).sum()), int(fold.sum())
             split = np.cumsum(size)[:-1]
-            columns[name] = [x.astype(np.uint32).tobytes() for x in np.split(total[place], split)]
-            columns[f"{name}_fold"] = [x.astype(np.uint32).tobytes() if k == FOLD else b"" for k, x in zip(kinds, np.split(fold[place], split), strict=True)]
+            columns[name] = [_packed(x.astype(np.uint32)) for x in np.split(total[place], split)]
+            columns[f"{name}_fold"] = [_packed(x.astype(np.uint32)) if k == FOLD else b"" for k, x in zip(kinds, np.split(fold[place], split), strict=True)]
         rest = [0] * (len(kinds) - 1)
         columns |= {"tokens": [tokens, *rest], "types": [types, *rest], "fold_tokens": [fold_tokens, *rest]}
         return pa.table(columns, pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), *[(x, pa.binary()) for x in ("word", "word_fold", "pair", "pair_fold")], *[(x, pa.int64()) for x in ("tokens", "types", "fold_tokens")]]))
@@ -113,7 +129,7 @@ def count(chunked: DataFrame, buckets: int) -> DataFrame:
 def _totals(answers: pa.Table, name: str) -> np.ndarray:
     order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
     parts = answers.column(name).to_pylist()
-    return np.concatenate([np.frombuffer(parts[i], np.uint32) for i in order]).astype(np.float64) if parts else np.zeros(0)
+    return np.concatenate([_unpacked(parts[i], np.uint32) for i in order]).astype(np.float64) if parts else np.zeros(0)
 
 
 def _looked_up(texts: pa.ChunkedArray, answers: pa.Table, names: tuple[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
