@@ -7,14 +7,17 @@ is linked with nothing). Two documents are linked when the Jaccard similarity of
 Candidates. Table keys combine pairs from two smaller collections: m left and m right hashes of r minima each give
 m * m tables of 2 r minima, for 2 m r minhashes instead of 2 m m r. m is the least for which a pair at the threshold is
 missed with a probability of at most ``miss`` (a pair is found when it agrees in some left and in some right hash).
-Links. Texts of equal word sequences are one node. Within a table's bucket all pairs of nodes are never formed: a
-pivot, the member that is in most buckets, is compared with each member. Let x not be linked with pivot P, and y be any
-other member. If x and y are linked, then either they share a shingle that P lacks, or both have so many shingles in
-common with P that those alone could reach the threshold. The second case names few pairs, which are compared. For
-the first, members meet again in buckets of (P, shingle that P lacks), where it is enough that x enters with as many of
-those shingles, in hash order, as leave no room for the overlap it needs (prefix filtering); buckets of one component
-are done, others go through the same round with a pivot of their own, until none is left. So of the pairs that a table
-finds no link between components is lost, and a bucket costs a comparison a member and round.
+Links. Texts of equal word sequences are one node. Nodes that share buckets, directly or through others, form a
+cluster. A cluster of up to GROUP nodes is compared within one task: counts of shared shingles by matrix products, of
+which only links come out. In a larger one all pairs are never compared: a pivot, the member whose shingles
+most others hold, is compared with each member. Let x not be linked with pivot P, and y be any other member. If x and y are linked, then
+either they share a shingle that P lacks, or both have so many shingles in common with P that those alone could reach
+the threshold. The second case names few pairs, which are compared. For the first, members meet again in buckets of
+(P, shingle that P lacks), where it is enough that x enters with as many of those shingles, rarest first, as leave no
+room for the overlap it needs (prefix filtering; any one order serves, so rarity is that of a table of fixed size).
+Buckets of one component are done. Of others, those of up to PAIRED members compare their members of different
+components with each other, and larger ones take a pivot of their own and go through the same round, until none is
+left. So within a cluster no link between components is lost.
 Verification reads both texts and compares the full sets of 64-bit shingle hashes.
 
 Nothing is gathered at the driver; tables between rounds lie in the shared folder. Null and empty texts have
@@ -37,6 +40,12 @@ from facetflow.llm._words import blocks, mix, shingles
 
 #: Minima in each left or right hash.
 ROWS = 3
+#: Documents that are compared within one task, and shared shingles to a matrix product.
+GROUP, COLUMNS = 256, 2048
+#: Members of a bucket that are compared with each other.
+PAIRED = 64
+#: Size of the table of rarities, as a power of two.
+BITS = 21
 #: Pairs of ids (16 bytes each) that are broadcast.
 SMALL = 100_000
 _U = np.uint64
@@ -102,13 +111,54 @@ def signatures(documents: DataFrame, k: int, m: int, seed: int = 5) -> DataFrame
     return documents.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>")
 
 
-def compared(pairs: DataFrame, texts: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
+def rarity(texts: DataFrame, k: int) -> np.ndarray:
+    """About how many of the texts hold a shingle, by its last BITS bits: a table of fixed size."""
+    parts = 1 << (BITS - 13)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BITS, np.uint32)
+        for batch in batches:
+            for _, hashes, _, _ in _sets(batch.column(0), k):
+                np.add.at(total, (hashes & _U((1 << BITS) - 1)).astype(np.int64), 1)
+        rows = [(i, x.tobytes()) for i, x in enumerate(np.split(total, parts)) if x.any()]
+        yield pa.RecordBatch.from_pydict({"part": [i for i, _ in rows], "counts": [x for _, x in rows]}, pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"part": table.column("part")[:1], "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+
+    found = texts.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    out = np.zeros((parts, 1 << 13), np.uint16)
+    for r in found:
+        out[r["part"]] = np.frombuffer(r["counts"], np.uint16)
+    return out.ravel()
+
+
+def centrality(texts: DataFrame, rare: np.ndarray, k: int) -> DataFrame:
+    """(doc, degree): in how many texts a shingle of the document is found, on average."""
+    shared = texts.sparkSession.sparkContext.broadcast(rare)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts_of, mask = shared.value, _U((1 << BITS) - 1)
+        for batch in batches:
+            at = 0
+            for n, hashes, begin, _ in _sets(batch.column(1), k):
+                found = np.add.reduceat(np.append(counts_of[(hashes & mask).astype(np.int64)].astype(np.float64), 0), begin[:-1]) / np.maximum(np.diff(begin), 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + n], pa.array(found)], names=["doc", "degree"])
+                at += n
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc long, degree double").groupBy("doc").agg(F.max("degree").alias("degree"))
+
+
+def compared(pairs: DataFrame, texts: DataFrame, rare: np.ndarray, k: int, numerator: int, denominator: int) -> DataFrame:
     """For pairs (pivot, doc): sizes of both sets, of what they share, and shingles of doc that the pivot lacks.
 
-    Of those shingles as many as prefix filtering asks for, smallest hashes first.
+    Of those shingles as many as prefix filtering asks for, rarest first.
     """
+    shared = pairs.sparkSession.sparkContext.broadcast(rare)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts_of, mask = shared.value, _U((1 << BITS) - 1)
         for batch in batches:
             sizes, lacking, at = [], [], [0]
             for (n, x, bx, _), (_, y, by, _) in _together(batch.column(2), batch.column(3), k):
@@ -117,7 +167,8 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int, numerator: int, denomin
                     own = np.setdiff1d(q, p, assume_unique=True)
                     both = len(q) - len(own)
                     least = max(1, -(-(numerator * len(q) - denominator * both) // denominator))
-                    own = own[: max(0, len(own) - least + 1)]
+                    order = np.lexsort((own, counts_of[(own & mask).astype(np.int64)]))
+                    own = own[order[: max(0, len(own) - least + 1)]]
                     sizes.append((len(p), len(q), both))
                     lacking.append(own)
                     at.append(at[-1] + len(own))
@@ -177,39 +228,91 @@ def near_duplicates(documents: DataFrame, k: int = 3, numerator: int = 85, denom
 
 def _link(buckets: DataFrame, texts: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
     """(node_id, label) of all documents that have links."""
-    links = tested = None
-    extra = None
+    first = buckets.groupBy("key").agg(F.min("doc").alias("a"))
+    edges = buckets.join(first, "key").select("a", F.col("doc").alias("b")).distinct()
+    clusters = components(edges).select(F.col("node").alias("doc"), F.col("label").alias("cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    clusters = settle(clusters.join(sizes, "cluster"))
+    links = settle(_within(clusters.where(f"n <= {GROUP}"), texts, k, numerator, denominator))
+    large = clusters.where(f"n > {GROUP}")
+    if not large.isEmpty():
+        members = large.select(F.col("doc").alias("doc_id"))
+        rare = rarity(texts.join(members, "doc_id", "left_semi"), k)
+        central = settle(centrality(texts.join(members, "doc_id", "left_semi"), rare, k))
+        links = _rounds(large.select(F.col("cluster").alias("key"), "doc"), central, links, texts, rare, k, numerator, denominator)
+    return components(links).select(F.col("node").alias("node_id"), "label")
+
+
+def _rounds(groups: DataFrame, central: DataFrame, links: DataFrame, texts: DataFrame, rare: np.ndarray, k: int, numerator: int, denominator: int) -> DataFrame:
+    """``links`` and those within ``groups`` (key, doc)."""
+    linked = f"{denominator} * both >= {numerator} * (size + pivot_size - both)"
+    edge = (F.col("pivot").alias("a"), F.col("doc").alias("b"))
     while True:
-        degree = buckets.groupBy("doc").agg(F.count(F.lit(1)).alias("degree"))
-        ranked = settle(buckets.join(degree, "doc"))
-        top = ranked.groupBy("key").agg(F.max(F.struct("degree", "doc")).alias("top")).select("key", F.col("top.doc").alias("pivot"))
-        pairs = ranked.join(top, "key").where("doc <> pivot").select("pivot", "doc").distinct()
-        if extra is not None:
-            pairs = pairs.union(extra).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["pivot", "doc"], "left_anti")
-        pairs = settle(pairs)
-        found = settle(compared(pairs, texts, k, numerator, denominator))
-        linked = f"{denominator} * both >= {numerator} * (size + pivot_size - both)"
-        new = found.where(linked).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
-        links = settle(new if links is None else links.union(new))
-        tested = settle(pairs if tested is None else tested.union(pairs))
+        ranked = groups.join(central, "doc")
+        pivot = ranked.groupBy("key").agg(F.max(F.struct("degree", "doc")).alias("top")).select("key", F.col("top.doc").alias("pivot"))
+        pairs = settle(ranked.join(pivot, "key").where("doc <> pivot").select("pivot", "doc").distinct())
+        found = settle(compared(pairs, texts, rare, k, numerator, denominator))
+        links = settle(links.union(found.where(linked).select(*edge)))
         labels = components(links).select(F.col("node").alias("node_id"), "label")
 
         # what unlinked members share with the pivot may alone reach the threshold with a smaller member
         enough = f"({numerator + denominator}) * least(x.both, y.both) >= {numerator} * (x.size + y.size)"
         alone = found.where(f"NOT ({linked})").alias("x").join(found.alias("y"), F.expr(f"x.pivot = y.pivot AND x.doc <> y.doc AND {enough}"))
-        alone = alone.select(F.col("x.doc").alias("pivot"), F.col("y.doc").alias("doc")).distinct()
-        extra = settle(_apart(alone, labels))
+        alone = alone.select(F.col("x.doc").alias("pivot"), F.col("y.doc").alias("doc"))
 
         met = found.select("doc", F.explode("lacking").alias("shingle"), "pivot").select(F.xxhash64("pivot", "shingle").alias("key"), "doc").distinct()
-        more = met.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
-        met = met.join(more, "key").join(labels, F.col("doc") == F.col("node_id"), "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
+        more = met.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        met = met.join(more, "key").join(labels, F.col("doc") == F.col("node_id"), "left").select("key", "doc", "members", F.coalesce("label", "doc").alias("label"))
         met = settle(met)
         mixed = met.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        buckets = settle(met.join(mixed, "key").select("key", "doc"))
-        if buckets.isEmpty() and extra.isEmpty():
-            return labels
+        met = settle(met.join(mixed, "key"))
+        few = met.where(f"members <= {PAIRED}")
+        few = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key AND x.doc < y.doc AND x.label <> y.label")).select(F.col("x.doc").alias("pivot"), F.col("y.doc").alias("doc"))
+        direct = settle(_apart(alone.union(few).distinct(), labels))
+        links = settle(links.union(compared(direct, texts, rare, k, numerator, denominator).where(linked).select(*edge)))
+        many = met.where(f"members > {PAIRED}")
+        if many.isEmpty():
+            return links
+        groups = many.select("key", "doc")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose members are of different components."""
+    one = labels.select(F.col("node_id").alias("pivot"), F.col("label").alias("one"))
+    other = labels.select(F.col("node_id").alias("doc"), F.col("label").alias("other"))
+    both = pairs.join(one, "pivot", "left").join(other, "doc", "left")
+    return both.where(F.coalesce("one", "pivot") != F.coalesce("other", "doc")).select("pivot", "doc")
+
+
+def _within(clusters: DataFrame, texts: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
+    """Links within clusters of at most GROUP documents, each compared in one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs = table.column("doc_id").to_numpy()
+        _, hashes, begin, _ = _joined(table.column("text").combine_chunks(), k)
+        sets = [np.unique(hashes[begin[i] : begin[i + 1]]) for i in range(len(docs))]
+        size = np.array([len(x) for x in sets])
+        owner, flat = np.repeat(np.arange(len(docs)), size), np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        same = np.append(False, flat[1:] == flat[:-1])
+        again = same | np.append(same[1:], False)
+        code, owner = (np.cumsum(~same) - 1)[again], owner[again]
+        both = np.zeros((len(docs), len(docs)), np.float32)
+        if len(code):
+            code = np.unique(code, return_inverse=True)[1]
+            cuts = np.searchsorted(code, np.arange(0, code[-1] + COLUMNS + 1, COLUMNS))
+            for c in range(len(cuts) - 1):
+                part = slice(cuts[c], cuts[c + 1])
+                there = np.zeros((len(docs), COLUMNS), np.float32)
+                there[owner[part], code[part] - c * COLUMNS] = 1
+                both += there @ there.T
+        linked = denominator * both.astype(np.int64) >= numerator * (size[:, None] + size - both.astype(np.int64))
+        i, j = np.nonzero(np.triu(linked, 1))
+        return pa.table({"a": docs[i], "b": docs[j]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    members = clusters.select(F.col("doc").alias("doc_id"), "cluster")
+    return members.join(texts, "doc_id").groupBy("cluster").applyInArrow(run, "a long, b long")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
