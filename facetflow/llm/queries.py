@@ -67,6 +67,12 @@ def op9_noisy_channel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score(documents, learn(documents, _table(spark, folder, "labels")))
 
 
+def op10_quotation_linking(spark: SparkSession, folder: str) -> DataFrame:
+    from facetflow.llm.quotes import linked_messages, reply_ordered
+
+    return reply_ordered(linked_messages(_table(spark, folder, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()]
     return {f.__name__: f for f in found}
