@@ -11,6 +11,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
+    from facetflow.llm.passages import repeated_passages
+
+    return repeated_passages(_table(spark, folder, "documents"))
+
+
 def op2_adaptive_dimension_scan(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import functions as F
 
