@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from facetflow.operators.pca import signed
 from facetflow.operators.preprocess import Preprocess
@@ -70,9 +71,7 @@ class KernelModel:
         k = self.vectors.shape[1]
         weights = self.vectors / np.sqrt(self.eigenvalues[:k]) / (self.eigenvalues[:k] if compat else 1)
         train, means, how = self.train, self.means, self.how
-        schema = df.schema
-        for i in range(k):
-            schema = schema.add(f"PC{i + 1}", "double")
+        schema = StructType([*df.schema.fields, *[StructField(f"PC{i + 1}", DoubleType()) for i in range(k)]])
         extra = df.withColumns({f"__k{i}": e for i, e in enumerate(self.preprocess.expressions())})
         m, width = train.shape[1], len(df.columns)
 

@@ -118,7 +118,7 @@ class PCAModel:
         for j, f in enumerate(self.features):
             for i, p in enumerate(self.labels):
                 value = float(self.loadings[j, i])
-                rows.append((j, f, p, value, value * math.sqrt(max(self.eigenvalues[i], 0)) / spread[j] if spread[j] > 0 else None))
+                rows.append((j, f, p, value, float(value * math.sqrt(max(self.eigenvalues[i], 0)) / spread[j]) if spread[j] > 0 else None))
         return spark.createDataFrame(rows, "feature_idx int, feature string, pc string, value double, correlation double")
 
     def score_columns(self) -> list[Column]:
