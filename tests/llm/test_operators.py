@@ -62,6 +62,19 @@ def test_odd_and_empty_tables(spark, odd, labels, name):
     assert run(odd.limit(0)).collect() == []
 
 
+def test_passages_whose_shingles_other_documents_hold_first(spark):
+    rng = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(50)]
+    rows = []
+    for i in range(12):  # all shingles of the passage, but no run of 50 words
+        at = rng.integers(1, 9) + np.arange(0, 48, 12)
+        pieces = [passage[a : b + 4] for a, b in zip([0, *at], [*at, 50], strict=True)]
+        rows.append((i, " ".join(w for x in reversed(pieces) for w in x)))
+    rows += [(i, " ".join([*[f"{i}a{j}" for j in range(60)], *passage, *[f"{i}b{j}" for j in range(60)]])) for i in (20, 30)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 30").collect()
+    assert [(r.source_id, r.first_word, r.n_words, r.source_first_word) for r in got] == [(20, 60, 50, 60)]
+
+
 def test_passages_find_every_exact_repeat(documents):
     found = passages.repeated_passages(documents).collect()
     first, missed, total = {}, 0, 0
