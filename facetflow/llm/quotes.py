@@ -4,7 +4,8 @@ Lines that begin with ``>`` marks are quotes; the number of marks (blanks betwee
 the mark before it may stand after blanks. Runs of lines of one level are passages: those of level 0 are a message's own
 words, others quote someone. Passages are normalised (lower case, runs of blanks to one, blanks and ``.,;:!?`` off the
 ends) and hashed; a quoted passage is linked to the message of the same conversation that comes latest before the
-quoting one among those whose own words hold a passage, a line or the whole of that hash. The message that a reply's
+quoting one among those whose own words hold a passage, a line or the whole of that hash; where there is none, as for
+trimmed or attributed quotes, to the one that holds most of its lines. The message that a reply's
 shallowest linked quote comes from is its parent (of several, the latest); a message without one has no parent. A
 conversation is ordered by replies: messages follow their parent, thread by thread, each in the order of turns; bodies
 are the own words without quotes.
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetflow.llm._shared import settle
+
 MARKS = r"^[ \t]*(?:>[ \t]*)+"
 ENDS = " \t.,;:!?"
 #: Replies deeper than this are placed as if they answered the message at this depth.
@@ -60,22 +63,53 @@ def parsed(rows: DataFrame) -> DataFrame:
 
 
 def links(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, level, from_turn for every quoted passage that is found; rows: of parsed()."""
+    """conv_id, turn, level, hash, from_turn for every quoted passage that is found; rows: of parsed().
+
+    A passage comes from the latest earlier message that holds it whole or, where none does, from the one that holds
+    most of its lines (of several, the latest).
+    """
     keyed = rows.where("conv_id is not null and turn is not null")
+    digest = lambda x: F.md5(x.cast("binary"))
+    known = lambda x: F.array_distinct(F.transform(F.filter(F.transform(x, normalised), lambda t: t != ""), digest))
     own = F.transform(F.filter("parts", lambda p: p["level"] == 0), lambda p: p["text"])
     single = F.flatten(F.transform(own, lambda t: F.split(t, "\n")))
-    offered = keyed.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(F.concat(own, single, F.array("body")), normalised))).alias("passage"))
     quoted = keyed.where("n_quotes > 0").select("conv_id", "turn", F.explode(F.filter("parts", lambda p: p["level"] > 0)).alias("p"))
-    quoted = quoted.select("conv_id", "turn", "p.level", normalised(F.col("p.text")).alias("passage"))
-    hashed = F.md5(F.col("passage").cast("binary")).alias("hash")
-    asked = quoted.where("passage <> ''").groupBy("conv_id", hashed, "turn").agg(F.min("level").alias("level"))
+    quoted = quoted.select("conv_id", "turn", "p.level", normalised(F.col("p.text")).alias("passage"), known(F.split("p.text", "\n")).alias("lines"))
+    passages = quoted.where("passage <> ''").groupBy("conv_id", digest(F.col("passage")).alias("passage"), "turn").agg(F.min("level").alias("level"), F.max("lines").alias("lines"))
+    passages = settle(passages)
+    asked = passages.select("conv_id", F.explode(F.array_union(F.array("passage"), "lines")).alias("hash"), "turn").distinct()
     wanted = asked.select("conv_id", "hash").distinct()
-    # only passages that are quoted somewhere in their conversation go on
-    offered = offered.where("passage <> ''").select("conv_id", hashed, "turn").distinct().join(wanted, ["conv_id", "hash"], "left_semi")
-    both = offered.select("conv_id", "hash", "turn", F.lit(None).cast("int").alias("level"), F.col("turn").alias("source")).unionByName(asked.select("conv_id", "hash", "turn", "level", F.lit(None).cast("long").alias("source")))
+    # only what is quoted somewhere in its conversation goes on
+    offered = keyed.select("conv_id", F.explode(known(F.concat(own, single, F.array("body")))).alias("hash"), "turn")
+    offered = settle(offered.join(wanted, ["conv_id", "hash"], "left_semi"))
+    both = offered.select("conv_id", "hash", "turn", F.lit(False).alias("asks"), F.col("turn").alias("source")).unionByName(asked.select("conv_id", "hash", "turn", F.lit(True).alias("asks"), F.lit(None).cast("long").alias("source")))
     before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("from_turn", F.max("source").over(before)).where("level is not null and from_turn is not null")
-    return found.select("conv_id", "turn", "level", "hash", "from_turn")
+    latest = both.withColumn("from_turn", F.max("source").over(before)).where("asks and from_turn is not null")
+    latest = settle(latest.select("conv_id", "turn", "hash", "from_turn"))
+    whole = passages.join(latest.withColumnRenamed("hash", "passage"), ["conv_id", "turn", "passage"]).select("conv_id", "turn", "level", F.col("passage").alias("hash"), "from_turn")
+    key = ["conv_id", "turn", "passage"]
+    parts = passages.join(whole.select("conv_id", "turn", F.col("hash").alias("passage")), key, "left_anti")
+    # lines that an earlier message holds
+    lines = settle(parts.select(*key, F.explode("lines").alias("hash")).join(latest, ["conv_id", "turn", "hash"]))
+    first = settle(_most(lines.select(*key, "from_turn").distinct(), lines, offered))
+    # a message with more than the n lines found, or as many and later, holds one of any all - n + 1: the rarest are searched
+    open_ = lines.groupBy(*key).agg(F.count(F.lit(1)).alias("all")).join(first, key).where("n < all")
+    holders = offered.groupBy("conv_id", "hash").agg(F.count(F.lit(1)).alias("holders"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("holders", "hash"))
+    rare = lines.join(open_.select(*key, "all", "n"), key).join(holders, ["conv_id", "hash"]).withColumn("rank", rank).where("rank <= all - n + 1")
+    source = offered.select("conv_id", "hash", F.col("turn").alias("source"))
+    more = rare.drop("from_turn").join(source, ["conv_id", "hash"]).where("source < turn").select(*key, F.col("source").alias("from_turn")).distinct()
+    best = first.union(_most(more, lines, offered)).groupBy(*key).agg(F.max(F.struct("n", "from_turn")).alias("m"))
+    partly = best.join(passages, key).select("conv_id", "turn", "level", F.col("passage").alias("hash"), F.col("m.from_turn").alias("from_turn"))
+    return whole.unionByName(partly)
+
+
+def _most(candidates: DataFrame, lines: DataFrame, offered: DataFrame) -> DataFrame:
+    """conv_id, turn, passage, from_turn, n: of each passage's candidates the one that holds most lines, the latest of several."""
+    key = ["conv_id", "turn", "passage"]
+    held = candidates.join(lines.select(*key, "hash"), key).join(offered.select("conv_id", "hash", F.col("turn").alias("from_turn")), ["conv_id", "hash", "from_turn"])
+    best = held.groupBy(*key, "from_turn").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.max(F.struct("n", "from_turn")).alias("m"))
+    return best.select(*key, "m.from_turn", "m.n")
 
 
 def linked_messages(conversations: DataFrame) -> DataFrame:

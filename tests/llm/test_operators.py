@@ -238,6 +238,15 @@ def test_quotes_are_linked(spark):
     assert quotes.reply_ordered(quotes.linked_messages(df.limit(0))).collect() == []
 
 
+def test_trimmed_and_attributed_quotes_are_linked(spark):
+    lines = ["alpha one", "beta two", "gamma three", "delta four"]
+    rows = [(1, 0, "\n".join(lines)), (1, 1, "beta two\nelse"), (1, 2, "gamma three\nmore"), (1, 3, "> beta two\n> gamma three\nYes"), (1, 4, "> On Monday X wrote:\n> alpha one\n> beta two\n> gamma three\n> delta four\nNo"), (1, 5, "> never said\n> by anyone\nWhat")]
+    df = spark.createDataFrame([(c, t, "a", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in quotes.linked_messages(df).collect()}
+    # turns 1 and 2 hold one line each later than turn 0, which holds both
+    assert [(got[t].n_linked, got[t].parent_turn) for t in (3, 4, 5)] == [(1, 0), (1, 0), (0, None)]
+
+
 def test_pipeline_stages_keep_their_promises(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
