@@ -27,8 +27,6 @@ from facetflow.llm._shared import settle
 
 MARKS = r"^[ \t]*(?:>[ \t]*)+"
 ENDS = " \t.,;:!?"
-#: Replies deeper than this are placed as if they answered the message at this depth.
-DEPTH = 64
 
 
 def normalised(text: Column) -> Column:
@@ -124,26 +122,53 @@ def linked_messages(conversations: DataFrame) -> DataFrame:
 def reply_ordered(linked: DataFrame) -> DataFrame:
     """``linked`` with ``thread`` (its first turn), ``depth`` and ``position`` (from 0 within the conversation).
 
-    A message's path is the path of its parent and its own turn; paths sort conversations by replies. Parents come
-    before their replies, so paths are found by folding over a conversation's messages in the order of turns, in which
-    only turns and parents are gathered, not the bodies.
+    A message's position is the number of messages in the threads before its own, and for it and each message above it
+    one more and the messages below older siblings. Sizes, depths and sums along parents are found by doubling the
+    distance that is looked up, in as many rounds as the logarithm of the longest chain; sums over siblings and threads
+    go by ranges. No conversation is gathered.
     """
-    turns = linked.where("conv_id is not null and turn is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "parent_turn"))).alias("turns"))
-    # only messages with a parent are looked up: others begin a path
-    empty = F.create_map().cast("map<bigint,array<bigint>>")
-
-    def step(paths: Column, m: Column) -> Column:
-        above = F.coalesce(F.try_element_at(paths, F.coalesce(m["parent_turn"], F.lit(-1).cast("long"))), F.array().cast("array<bigint>"))
-        return F.map_concat(paths, F.create_map(m["turn"], F.concat(F.slice(above, 1, DEPTH), F.array(m["turn"]))))
-
-    replying = F.exists("turns", lambda m: m["parent_turn"].isNotNull())
-    paths = F.when(replying, F.aggregate("turns", empty, step)).otherwise(F.map_from_entries(F.transform("turns", lambda m: F.struct(m["turn"], F.array(m["turn"])))))
-    placed = turns.select("conv_id", F.explode(F.map_values(paths)).alias("path"))
-    order = Window.partitionBy("conv_id").orderBy("path")
-    placed = placed.select("conv_id", F.element_at("path", -1).alias("turn"), F.element_at("path", 1).alias("thread"), (F.size("path") - 1).alias("depth"), (F.row_number().over(order) - 1).cast("long").alias("position"))
+    linked = settle(linked)
+    turns = linked.where("conv_id is not null and turn is not null").select("conv_id", "turn", "parent_turn")
+    above = turns.select("conv_id", F.col("turn").alias("parent_turn"))
+    replies = settle(turns.where("parent_turn < turn").join(above, ["conv_id", "parent_turn"], "left_semi").select("conv_id", "turn", "parent_turn"))
+    roots = turns.join(replies, ["conv_id", "turn"], "left_anti").select("conv_id", "turn")
+
+    # messages below each one, those up to a distance at a time: jump is the message at exactly that distance above
+    below = replies.select("conv_id", "turn", F.lit(0).cast("long").alias("below")).limit(0)
+    jumps = replies.withColumnRenamed("parent_turn", "jump")
+    while not jumps.isEmpty():
+        more = jumps.join(below, ["conv_id", "turn"], "left").groupBy("conv_id", F.col("jump").alias("turn")).agg(F.sum(F.coalesce("below", F.lit(0)) + 1).alias("below"))
+        below = settle(below.unionByName(more).groupBy("conv_id", "turn").agg(F.sum("below").alias("below")))
+        far = jumps.select("conv_id", F.col("turn").alias("jump"), F.col("jump").alias("far"))
+        jumps = settle(jumps.join(far, ["conv_id", "jump"]).select("conv_id", "turn", F.col("far").alias("jump")))
+
+    sized = lambda x: x.join(below, ["conv_id", "turn"], "left").withColumn("size", F.coalesce("below", F.lit(0)) + 1).drop("below")
+    threads = _before(sized(roots), ["conv_id"]).select("conv_id", F.col("turn").alias("thread"), "before")
+    path = _before(sized(replies), ["conv_id", "parent_turn"])
+    path = settle(path.select("conv_id", "turn", F.col("parent_turn").alias("up"), F.lit(1).alias("depth"), (F.col("before") + 1).alias("after")))
+    while True:
+        upper = path.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("after").alias("after2"))
+        step = path.join(upper, ["conv_id", "up"], "left")
+        moved = not step.where("up2 is not null").isEmpty()
+        if not moved:
+            break
+        path = settle(step.select("conv_id", "turn", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("after") + F.coalesce("after2", F.lit(0))).alias("after")))
+    first = roots.select("conv_id", "turn", F.col("turn").alias("thread"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("after"))
+    placed = path.withColumnRenamed("up", "thread").unionByName(first).join(threads, ["conv_id", "thread"])
+    placed = placed.select("conv_id", "turn", "thread", "depth", (F.col("before") + F.col("after")).alias("position"))
     return linked.join(placed, ["conv_id", "turn"], "left")
 
 
+def _before(rows: DataFrame, group: list[str]) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``size`` over the rows of the same group with a smaller turn, by ranges."""
+    ranged = settle(rows.repartitionByRange(*group, "turn").withColumn("range", F.spark_partition_id()))
+    earlier = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = ranged.groupBy(*group, "range").agg(F.sum("size").alias("size"))
+    totals = totals.select(*group, "range", earlier(Window.partitionBy(*group).orderBy("range")).alias("base"))
+    within = ranged.withColumn("within", earlier(Window.partitionBy(*group, "range").orderBy("turn")))
+    return within.join(totals, [*group, "range"]).withColumn("before", F.col("base") + F.col("within")).drop("base", "within", "range")
+
+
 def formatted(ordered: DataFrame) -> DataFrame:
     """One row a conversation: conv_id and ``chat``, its messages in reply order without quotes."""
     line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("body"))

@@ -247,6 +247,24 @@ def test_trimmed_and_attributed_quotes_are_linked(spark):
     assert [(got[t].n_linked, got[t].parent_turn) for t in (3, 4, 5)] == [(1, 0), (1, 0), (0, None)]
 
 
+def test_reply_order_of_deep_and_branched_threads(spark):
+    rng = np.random.default_rng(5)
+    parents = {(1, t): t - 1 if t else None for t in range(150)}  # a chain of 150
+    parents |= {(2, t): int(rng.integers(max(0, t - 6), t)) if t and rng.random() < 0.9 else None for t in range(200)}
+    rows = [(c, t, p) for (c, t), p in parents.items()] + [(None, 0, None), (3, None, None)]
+    got = quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, parent_turn long")).collect()
+    paths = {}
+    for c, t in sorted(parents):
+        p = parents[c, t]
+        paths[c, t] = (*(() if p is None else paths[c, p]), t)
+    want = {}
+    for c in (1, 2):
+        for i, path in enumerate(sorted(v for (x, _), v in paths.items() if x == c)):
+            want[c, path[-1]] = (path[0], len(path) - 1, i)
+    assert len(got) == len(rows)
+    assert {(r.conv_id, r.turn): (r.thread, r.depth, r.position) for r in got if r.conv_id and r.turn is not None} == want
+
+
 def test_pipeline_stages_keep_their_promises(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
