@@ -28,6 +28,13 @@ def settle(df: DataFrame, spread: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_keys(documents: DataFrame) -> DataFrame:
+    """``documents`` in a settled table with ``__key``, a long of each row's own that ascends with doc_id, nulls last."""
+    order = F.col("doc_id").cast("long").asc_nulls_last()
+    ordered = documents.repartitionByRange(order, F.xxhash64("text")).sortWithinPartitions(order)
+    return settle(ordered.withColumn("__key", F.monotonically_increasing_id()))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more, which it does as the driver's
     garbage is collected."""

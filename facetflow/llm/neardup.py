@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.llm._shared import components, release, settle
+from facetflow.llm._shared import components, release, settle, with_keys
 from facetflow.llm._words import blocks, mix, shingles
 
 #: Minima in each left or right hash.
@@ -324,7 +324,14 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(documents: DataFrame, **how: int | float) -> DataFrame:
-    """The documents of which each component keeps one, with all their columns."""
-    found = near_duplicates(documents, **how)
-    kept = found.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return documents.join(kept, F.col("doc_id") == F.col("__kept")).drop("__kept")
+    """The rows of which each component keeps one, that of the smallest doc_id (nulls last), with all their columns.
+
+    Rows are compared by their own texts; those without shingles stay, one of each text (null texts all).
+    """
+    rows = with_keys(documents)
+    text = rows.select(F.col("__key").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = settle(near_duplicates(text, **how).where("kept").select(F.col("doc_id").alias("__key"), "n_shingles"))
+    bare = rows.join(found.where("coalesce(n_shingles, 0) = 0").select("__key"), "__key", "left_semi")
+    one = bare.where("text is not null").groupBy("text").agg(F.min("__key").alias("__key")).select("__key")
+    keep = found.where("n_shingles > 0").select("__key").union(one).union(bare.where("text is null").select("__key"))
+    return rows.join(keep, "__key", "left_semi").select(*documents.columns)

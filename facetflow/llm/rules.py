@@ -59,8 +59,9 @@ def _count(kept: str) -> Column:
 
 
 def base_statistics(documents: DataFrame) -> DataFrame:
-    """doc_id, the base columns and base_failed, and the further counts that FEATURES use."""
-    text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
+    """doc_id, the base columns and base_failed, and the further counts that FEATURES use; a column __row stays."""
+    row = [c for c in documents.columns if c == "__row"]
+    text = documents.select(*row, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     trimmed = F.btrim("__text", F.lit(BLANKS))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
     lines = F.filter(F.split("__text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
@@ -71,6 +72,7 @@ def base_statistics(documents: DataFrame) -> DataFrame:
       'distinct', CAST(size(array_distinct(h)) AS long),
       'repeat', element_at(transform(array({windows}), s -> {_REPEATS}), 1))), 1)"""
     found = text.withColumns({"__words": words, "__lines": lines}).select(
+        *row,
         "doc_id",
         F.size("__words").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "__words")).cast("long").alias("word_chars"),
@@ -206,8 +208,9 @@ def quality(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, Decisio
 def kept_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that no rule rejects, with all their columns.
 
-    Documents are told apart by doc_id; rows that share one stay if any of them is kept. A null doc_id is never kept.
+    The list is learned from the labelled documents; each row is judged by its own text, whatever its doc_id is.
     """
-    verdicts, _ = quality(documents, labels)
-    keep = verdicts.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return documents.join(keep, F.col("doc_id") == F.col("__kept")).drop("__kept")
+    labelled = labels.where("quality is not null").select("doc_id").distinct()
+    _, rules = quality(documents.join(labelled, "doc_id", "left_semi").select("doc_id", "text"), labels)
+    rows = documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"))
+    return apply(features(base_statistics(rows)), rules).where("kept").select("__row.*")

@@ -265,6 +265,17 @@ def test_reply_order_of_deep_and_branched_threads(spark):
     assert {(r.conv_id, r.turn): (r.thread, r.depth, r.position) for r in got if r.conv_id and r.turn is not None} == want
 
 
+def test_kept_rows_are_told_apart_by_themselves(spark, labels):
+    clean, other = (" ".join(f"{p}{i}" for i in range(80)) for p in ("one", "two"))
+    rows = [(None, clean), (1, clean), (1, "bad"), (2, other), (2, other), (None, "third " + other.replace("two", "three")), (3, clean + " and " + other), (3, None), (3, other[::-1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bag = lambda x: Counter((r.doc_id, r.text) for r in x.collect())
+    assert bag(rules.kept_documents(df, labels)) == Counter(r for r in rows if r[1] not in (None, "bad"))
+    assert bag(neardup.kept_documents(df, k=5, numerator=80, denominator=100)) == Counter({*rows} - {(None, clean)})
+    got = bag(passages.without_repeats(df))
+    assert got[3, None] == got[3, other[::-1]] == got[None, rows[5][1]] == got[1, clean] == got[2, other] == 1
+
+
 def test_pipeline_stages_keep_their_promises(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
