@@ -4,8 +4,8 @@ Lists are the cells of k-means centroids fitted on a bounded sample; every vecto
 centroid, and a query probes as many lists as hold ``recall`` of the sample's own neighbours. Within a list vectors are
 rotated by a random orthogonal matrix and read in blocks of columns: after each block a candidate whose partial
 distance, scaled to all dimensions, exceeds the query's bound by more than the test allows is abandoned; for the others
-the exact distance on the original vectors is computed. The bound starts as the k-th distance to the sample, whose
-vectors are candidates themselves, and shrinks as neighbours are found.
+the exact distance on the original vectors is computed. The bound starts as the k-th distance to the sample's vectors in
+the probed lists, which the scan meets there again, and shrinks as neighbours are found. Answers come from the scan alone.
 
 Lists of many vectors are split in blocks of about ``block_rows`` rows, to each of which the queries that probe the
 list are sent, so no task holds a whole hot list. The sample (at most ``sample`` vectors), the centroids and the sizes
@@ -95,11 +95,10 @@ def scan(query: np.ndarray, turned_query: np.ndarray, rows: np.ndarray, turned:
         best_d, best_i = np.concatenate([best_d, exact]), np.concatenate([best_i, ids[live]])
         order = np.lexsort((best_i, best_d))
         best_d, best_i = best_d[order], best_i[order]
-        if len(best_i) > k:
-            _, first = np.unique(best_i, return_index=True)
-            first = np.sort(first)[:k]
-            best_d, best_i = best_d[first], best_i[first]
-        if len(best_d) >= k:
+        _, first = np.unique(best_i, return_index=True)
+        first = np.sort(first)[:k]
+        best_d, best_i = best_d[first], best_i[first]
+        if len(best_d) == k:
             bound = min(bound, float(best_d[-1]))
     return best_i, best_d
 
@@ -131,7 +130,10 @@ def nearest(
     probes = _probes(sampled, centres, k, recall)
     rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
 
+    cells_of = spark.sparkContext.broadcast(centres)
+
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = cells_of.value
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             cell = np.concatenate([_squares(x[i : i + CHUNK], centres).argmin(1) for i in range(0, len(x), CHUNK)]) if len(x) else np.zeros(0, int)
@@ -146,28 +148,32 @@ def nearest(
     parts = F.element_at(F.array(*[F.lit(max(1, int(b))) for b in blocks]), F.col("list") + 1)
     stored = filed.withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
 
-    sample_cells = _squares(sampled, centres).argmin(1)
+    # one vector an id: the k-th distance is then one that k rows keep
+    _, one = np.unique(sample_ids, return_index=True)
+    bounding = spark.sparkContext.broadcast((sample_ids[one], sampled[one], _squares(sampled[one], centres).argmin(1)))  # ``sample`` vectors
+    turning = spark.sparkContext.broadcast((centres, rotation))
 
-    def probed(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of a few queries: vectors, ids, lists, and the nearest of the sample in those lists with their distances."""
+    def probed(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a few queries: vectors, ids, lists, and the k-th distance to the sample in those lists."""
+        (known_ids, known_x, known_cells), (places, _) = bounding.value, turning.value
         x, ids = _matrix(part.column(1), d), np.asarray(part.column(0))
-        cells = np.argsort(_squares(x, centres), axis=1)[:, :probes]
+        cells = np.argsort(_squares(x, places), axis=1)[:, :probes]
+        if len(known_ids) <= k:
+            return x, ids, cells, np.full(len(x), np.inf)
         inside = np.zeros((len(x), lists), bool)
         np.put_along_axis(inside, cells, True, 1)
-        known = np.sqrt(_squares(x, sampled))
-        known[(ids[:, None] == sample_ids) | ~inside[:, sample_cells]] = np.inf
-        own = min(k, known.shape[1])
-        near = np.argsort(known, axis=1)[:, :own]
-        distance = np.sqrt(((sampled[near] - x[:, None]) ** 2).sum(2))
+        known = _squares(x, known_x)
+        known[(ids[:, None] == known_ids) | ~inside[:, known_cells]] = np.inf
+        near = np.argpartition(known, k - 1, axis=1)[:, :k]
+        distance = np.sqrt(((known_x[near] - x[:, None]) ** 2).sum(2))
         distance[~np.isfinite(np.take_along_axis(known, near, 1))] = np.inf
-        return x, ids, cells, near, distance
+        return x, ids, cells, distance.max(1) * (1 + 1e-9)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                x, ids, cells, _, distance = probed(part)
-                bound = distance.max(1) * (1 + 1e-9) if distance.shape[1] == k else np.full(len(x), np.inf)
+                x, ids, cells, bound = probed(part)
                 times = blocks[cells]
                 query = np.repeat(np.arange(len(x)), times.sum(1))
                 flat = times.ravel()
@@ -179,22 +185,14 @@ def nearest(
 
     queries = filed.where(is_query).select("id", "x").mapInArrow(ask, "list int, block int, id long, x binary, bound double")
 
-    def sample_finds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                _, ids, _, near, distance = probed(batch.slice(i, 256))
-                some = np.isfinite(distance)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, some.sum(1))), pa.array(sample_ids[near][some]), pa.array(distance[some])], names=["query_id", "vec_id", "score"])
-
-    known = filed.where(is_query).select("id", "x").mapInArrow(sample_finds, "query_id long, vec_id long, score double")
-
     def search(asked: pa.Table, there: pa.Table) -> pa.Table:
         q, v, s = [], [], []
         if asked.num_rows and there.num_rows:
             x, ids = _matrix(there.column("x"), d), there.column("id").to_numpy()
-            turned = x @ rotation
+            turn = turning.value[1]
+            turned = x @ turn
             queries_x = _matrix(asked.column("x"), d)
-            turned_q = queries_x @ rotation
+            turned_q = queries_x @ turn
             for i, (own, bound) in enumerate(zip(asked.column("id").to_pylist(), asked.column("bound").to_pylist(), strict=True)):
                 near, distance = scan(queries_x[i], turned_q[i], x, turned, ids, own, k, bound)
                 q += [own] * len(near)
@@ -203,7 +201,7 @@ def nearest(
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
     found = queries.groupBy("list", "block").cogroup(stored.select("list", "block", "id", "x").groupBy("list", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
-    best = found.union(known).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
