@@ -79,13 +79,27 @@ class RankTable:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        ids, get = [piece[i : i + 1] for i in range(len(piece))], self.ranks.get
-        while len(ids) > 1:
-            best, i = min(((get(ids[i] + ids[i + 1], NONE)), i) for i in range(len(ids) - 1))
-            if best == NONE:
-                break
-            ids[i : i + 2] = [ids[i] + ids[i + 1]]
-        return [self.ranks[x] for x in ids]
+        n, get = len(piece), self.ranks.get
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the token that begins at each place; 0: merged away
+        heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := get(piece[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:  # the pair of the lowest rank, the first of equals
+            _, i, stop = heapq.heappop(heap)
+            middle = end[i]
+            if not middle or middle >= n or end[middle] != stop:
+                continue
+            end[i], end[middle] = stop, 0
+            if stop < n:
+                before[stop] = i
+                if (rank := get(piece[i : end[stop]])) is not None:
+                    heapq.heappush(heap, (rank, i, end[stop]))
+            if (left := before[i]) >= 0 and (rank := get(piece[left:stop])) is not None:
+                heapq.heappush(heap, (rank, left, stop))
+        ids, i = [], 0
+        while i < n:
+            ids.append(self.ranks[piece[i : end[i]]])
+            i = end[i]
+        return ids
 
     def replay(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of pieces (bytes in a row, where each begins): ids in a row, and how many each piece has."""
