@@ -38,7 +38,8 @@ def stratified_interleave(
     slices = max(1, min(1 << 20, -(-total // rows_per_slice)))
     digits = 2 if slices <= 16 else 3 if slices <= 256 else 4
     stratum = F.coalesce(F.concat(F.lit("s"), F.col(source_column).cast("string")), F.lit("null"))
-    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit(""))).cast("binary"))
+    ties = F.concat_ws(":", F.lit("null"), *[F.col(c).cast("string") for c in tie_columns])
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), ties)).cast("binary"))
     keyed = rows.withColumns({"__stratum": stratum, "__hash": hashed}).withColumn("__bucket", F.substring("__hash", 1, digits))
     order: list[Column] = [F.col("__hash"), F.col(id_column), *(F.col(c) for c in tie_columns)]
 
