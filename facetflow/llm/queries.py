@@ -74,9 +74,9 @@ def op9_noisy_channel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_quotation_linking(spark: SparkSession, folder: str) -> DataFrame:
-    from facetflow.llm.quotes import linked_messages, reply_ordered
+    from facetflow.llm.quotes import formatted, linked_messages, reply_ordered
 
-    return reply_ordered(linked_messages(_table(spark, folder, "conversations")))
+    return formatted(reply_ordered(linked_messages(_table(spark, folder, "conversations"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -45,17 +45,14 @@ def parsed(rows: DataFrame) -> DataFrame:
     marks = lambda x: F.regexp_extract(x, MARKS, 0)
     level = lambda x: F.length(F.regexp_replace(marks(x), r"[^>]+", ""))
     lines = F.transform(F.split("text", "\n"), lambda x: F.struct(level(x).alias("level"), F.substr(x, F.length(marks(x)) + 1).alias("line")))
-    start = F.array().cast("array<struct<level:int,text:string>>")
-
-    def step(parts: Column, line: Column) -> Column:
-        last = F.element_at(parts, -1)
-        same = (F.size(parts) > 0) & (F.try_element_at(parts, F.lit(-1))["level"] == line["level"])
-        joined = F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(F.struct(line["level"].alias("level"), F.concat_ws("\n", last["text"], line["line"]).alias("text"))))
-        return F.when(same, joined).otherwise(F.concat(parts, F.array(F.struct(line["level"].alias("level"), line["line"].alias("text")))))
-
     quoting = F.col("text").rlike(r"(?m)" + MARKS)
-    parts = F.when(quoting, F.aggregate(lines, start, step)).otherwise(F.array(F.struct(F.lit(0).alias("level"), F.col("text").alias("text"))))
-    rows = rows.withColumn("parts", parts)
+    # where runs of one level begin, and the lines from there to the next begin: each line is copied once
+    starts = F.expr("filter(sequence(0, size(__lines) - 1), i -> i = 0 OR get(__lines, i).level <> get(__lines, i - 1).level)")
+    runs = F.expr("""transform(__starts, (s, j) -> named_struct('level', get(__lines, s).level,
+      'text', array_join(transform(slice(__lines, s + 1, coalesce(get(__starts, j + 1), size(__lines)) - s), x -> x.line), '\n')))""")
+    rows = rows.withColumn("__lines", F.when(quoting, lines)).withColumn("__starts", starts)
+    parts = F.when(F.col("__lines").isNotNull(), runs).otherwise(F.array(F.struct(F.lit(0).alias("level"), F.col("text").alias("text"))))
+    rows = rows.withColumn("parts", parts).drop("__lines", "__starts")
     own = F.transform(F.filter("parts", lambda p: p["level"] == 0), lambda p: p["text"])
     return rows.withColumns({"body": F.btrim(F.array_join(own, "\n"), F.lit(" \t\r\n")), "n_quotes": F.size(F.filter("parts", lambda p: p["level"] > 0))})
 
@@ -170,7 +167,9 @@ def _before(rows: DataFrame, group: list[str]) -> DataFrame:
 
 
 def formatted(ordered: DataFrame) -> DataFrame:
-    """One row a conversation: conv_id and ``chat``, its messages in reply order without quotes."""
-    line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("body"))
-    rows = F.array_sort(F.collect_list(F.struct("position", line.alias("line"))))
-    return ordered.where("position is not null").groupBy("conv_id").agg(rows.alias("rows")).select("conv_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("chat"))
+    """``ordered`` with ``chat``, each message as a turn of a chat without quotes; null without a place.
+
+    A conversation's chat is that of its messages by ``position``, one after the other; it isn't gathered into one row.
+    """
+    line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("body"), F.lit("\n"))
+    return ordered.withColumn("chat", F.when(F.col("position").isNotNull(), line))
