@@ -1,8 +1,9 @@
 """Ids of whole Arrow arrays of texts from a tokenizers file of lower-casing BPE with word ends.
 
 White space is dropped by such a tokenizer, so a text's ids are those of its space-separated pieces in a row. Each
-distinct piece is encoded once and kept for later batches of the same worker, KEPT pieces at most. Pieces of plain letters, digits and marks are encoded many at a time; the
-tokens that end a word tell where one piece stops. Where the counts don't agree, and for other pieces, each piece is
+distinct piece is encoded once and kept for later batches of the same task, as long as they take no more than KEPT bytes.
+Pieces of plain letters, digits and marks are encoded many at a time; the tokens that end a word tell where one piece
+stops. Where the counts don't agree, and for other pieces, each piece is
 encoded by itself.
 """
 
@@ -20,11 +21,10 @@ UNITS = r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 JOINED = 256
 #: Tokens assembled at a time, about.
 CHUNK = 1 << 21
-#: Pieces whose ids a worker keeps.
-KEPT = 1 << 20
+#: Bytes of pieces and ids that a task keeps.
+KEPT = 48 << 20
 
 _loaded: dict[str, tuple] = {}
-_kept: dict[str, tuple] = {}
 
 
 def _load(path: str) -> tuple:
@@ -45,7 +45,7 @@ def _load(path: str) -> tuple:
 class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer, self.ends = _load(path)
-        self.path = path
+        self.kept = (pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros((2, 0), np.int64))
 
     def _each(self, pieces: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
@@ -90,7 +90,7 @@ class WordEncoder:
 
     def known(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As pieces(), by way of what earlier batches have left."""
-        have, ids, places = _kept.get(self.path, (pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros((2, 0), np.int64)))
+        have, ids, places = self.kept
         found = pc.index_in(distinct, value_set=have)
         missing = np.asarray(found.is_null())
         new = distinct.filter(pa.array(missing))
@@ -99,10 +99,10 @@ class WordEncoder:
         have, ids, places = pa.concat_arrays([have, new]), np.concatenate([ids, more]), np.concatenate([places, at], axis=1)
         which = np.asarray(found.fill_null(0)).astype(np.int64)
         which[missing] = np.arange(places.shape[1] - len(new), places.shape[1])
-        if len(have) <= KEPT:
-            _kept[self.path] = (have, ids, places)
+        if have.nbytes + ids.nbytes + places.nbytes <= KEPT:
+            self.kept = (have, ids, places)
         else:
-            _kept.pop(self.path, None)
+            self.kept = (new[:0], ids[:0], places[:, :0])
         return ids, places[:, which]
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
