@@ -1,15 +1,17 @@
 """Toxicity of texts after noisy-channel deobfuscation.
 
-Restoring. A word that may be disguised (digits or signs among letters, a letter three times in a row, separators
+Restoring. A word that may be disguised (digits or signs among letters, a letter twice or more in a row, separators
 within, or three or more single characters in a row as words) is read as a lattice: each sign stands for the letters
 that it resembles, a separator may be nothing, a run of one letter may be shorter, and between spaced-out characters a
 word may end. A Viterbi search takes the path of the best sum of channel cost and log probability under a character
-trigram model with word boundaries. Other words have one path and stand for themselves.
+trigram model with word boundaries; its states are the last two letters, none is left out, and words and runs of any
+length are read in one pass. Other words have one path and stand for themselves.
 Scoring. Features are restored words and their first 4, 5 and 6 characters; those that labelled toxic documents hold
 far more often than others get weights by logistic regression on their presence, the score is the probability.
 
-What is learned comes from at most ``sample`` labelled documents (in order of a hash of doc_id): the character model,
-the features and their weights, all of bounded size. Scoring is a pass over all whole texts, nothing is shuffled.
+The character model counts the words of all documents; letters beyond the ``alphabet`` most frequent ones count as one,
+so it has no more than (alphabet + 2)^3 entries. The features and their weights come from at most ``sample`` labelled
+documents (in order of a hash of doc_id). Scoring is a pass over all whole texts, nothing is shuffled.
 Null and empty texts get the score of a text without features. Rows that repeat are scored each; null ids are scored
 but never learned from; an empty table gives no rows; without labels of both classes each score is that of the prior.
 """
@@ -29,6 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetflow.llm._shared import settle
+
 #: Letters that a character may stand for, besides itself.
 LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -42,69 +46,96 @@ TAIL = re.compile(r"[$@]{3,}$")
 COST = {"look": -0.7, "drop": -0.2, "guess": -2.5, "shorten": -0.3, "kept_run": -2.0, "break": -1.0, "sign": -6.0}
 ORDINARY = "^\\pL+$"
 PREFIXES = (4, 5, 6)
-BOUND = "^"
+#: Stands for both ends of a word, and for letters beyond the alphabet.
+BOUND, OTHER = "^", "\ufffd"
+#: Words and log probabilities that a task remembers.
+KNOWN = 200_000
 
 
-def _thrice(word: str) -> bool:
-    return any(a == b == c for a, b, c in zip(word, word[1:], word[2:], strict=False))
+def _doubled(word: str) -> bool:
+    return any(a == b for a, b in zip(word, word[1:], strict=False))
 
 
 @dataclass
 class CharacterModel:
-    """Trigram log probabilities with add-one smoothing; letters beyond the alphabet count as unseen."""
+    """Trigram log probabilities with additive smoothing; letters beyond those of ``counts`` count as one unseen letter."""
 
     counts: dict[str, int] = field(default_factory=dict)
     known: dict[str, str] = field(default_factory=dict)
+    logs: dict[tuple[str, str, str], float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.context: Counter = Counter()
         for gram, n in self.counts.items():
             self.context[gram[:2]] += n
+        self.letters = {x for g in self.counts for x in g} | {BOUND}
         self.size = len({g[2] for g in self.counts}) + 1
 
     def log(self, a: str, b: str, c: str) -> float:
-        return math.log((self.counts.get(a + b + c, 0) + 0.1) / (self.context.get(a + b, 0) + 0.1 * self.size))
+        found = self.logs.get((a, b, c))
+        if found is None:
+            x, y, z = (x if x in self.letters else OTHER for x in (a, b, c))
+            found = math.log((self.counts.get(x + y + z, 0) + 0.1) / (self.context.get(x + y, 0) + 0.1 * self.size))
+            if len(self.logs) < KNOWN:
+                self.logs[a, b, c] = found
+        return found
 
     def restore(self, word: str, spaced: bool = False) -> str:
         """The best reading of a disguised word; spaced: its characters stood apart, so there may be several words."""
         found = self.known.get(("+" if spaced else "-") + word)
         if found is None:
             found = self._search(word, spaced)
-            if len(self.known) < 200_000:
+            if len(self.known) < KNOWN and len(word) <= 64:
                 self.known[("+" if spaced else "-") + word] = found
         return found
 
+    @staticmethod
+    def readings(c: str, n: int) -> list[tuple[str, float]]:
+        """What a run of n times c may stand for, with its channel cost."""
+        options: list[tuple[str, float]] = []
+        if c.isalpha():
+            options += [(c * k, COST["shorten"] * (k < n) + COST["kept_run"] * (k == n > 2)) for k in sorted({1, min(2, n), n})]
+        for x in LOOKS.get(c, ""):
+            options += [(x * k, COST["look"] * n) for k in sorted({min(n, 2), 1})]
+        if c in SEPARATORS or not (c.isalnum() or c in LOOKS):
+            options.append(("", COST["drop"]))
+            if c == "*":
+                options += [(x, COST["guess"]) for x in VOWELS]
+        if not options or c.isdigit():
+            options.append((c * n, COST["sign"] * n))
+        return options
+
     def _search(self, word: str, spaced: bool) -> str:
-        paths: dict[tuple[str, str], tuple[float, str]] = {(BOUND, BOUND): (0.0, "")}
+        """Viterbi over states of the last two letters; each step remembers what it came from, and what it wrote."""
+        steps: list[tuple[int, str]] = [(-1, "")]
+        states: dict[tuple[str, str], tuple[float, int]] = {(BOUND, BOUND): (0.0, 0)}
+        log = self.log
         for c, run in groupby(word):
-            n = len(list(run))
-            options: list[tuple[str, float]] = []
-            if c.isalpha():
-                lengths = {1, 2, n} if n > 1 else {1}
-                options += [(c * k, COST["shorten"] * (k < n) + COST["kept_run"] * (k == n > 2)) for k in lengths if k <= max(2, n)]
-            for x in LOOKS.get(c, ""):
-                options += [(x * k, COST["look"] * n) for k in {min(n, 2), 1}]
-            if c in SEPARATORS or not (c.isalnum() or c in LOOKS):
-                options.append(("", COST["drop"]))
-                if c == "*":
-                    options += [(x, COST["guess"]) for x in VOWELS]
-            if not options or c.isdigit():
-                options.append((c * n, COST["sign"] * n))
-            new: dict[tuple[str, str], tuple[float, str]] = {}
-            for (a, b), (score, text) in paths.items():
-                starts = [(a, b, score, text)]
-                if spaced and text and b != BOUND:
-                    starts.append((BOUND, BOUND, score + self.log(a, b, BOUND) + COST["break"], text + " "))
-                for a1, b1, s1, t1 in starts:
+            options = self.readings(c, len(list(run)))
+            new: dict[tuple[str, str], tuple[float, int, str]] = {}
+            for (a, b), (score, step) in states.items():
+                starts = [(a, b, score, "")]
+                if spaced and b != BOUND:
+                    starts.append((BOUND, BOUND, score + log(a, b, BOUND) + COST["break"], " "))
+                for a1, b1, s1, gap in starts:
                     for out, cost in options:
                         p, q, s = a1, b1, s1 + cost
                         for x in out:
-                            s += self.log(p, q, x)
+                            s += log(p, q, x)
                             p, q = q, x
-                        if (p, q) not in new or new[p, q][0] < s:
-                            new[p, q] = (s, t1 + out)
-            paths = dict(sorted(new.items(), key=lambda x: -x[1][0])[:400])
-        return max(((s + self.log(a, b, BOUND), t) for (a, b), (s, t) in paths.items()), default=(0, ""))[1]
+                        best = new.get((p, q))
+                        if best is None or best[0] < s:
+                            new[p, q] = (s, step, gap + out)
+            states = {}
+            for key, (s, step, out) in new.items():
+                states[key] = (s, len(steps))
+                steps.append((step, out))
+        _, at = max((s + log(a, b, BOUND), -step) for (a, b), (s, step) in states.items())
+        at, parts = -at, []
+        while at > 0:
+            at, out = steps[at]
+            parts.append(out)
+        return "".join(reversed(parts))
 
 
 class Reader:
@@ -124,7 +155,7 @@ class Reader:
         trimmed = pc.utf8_trim(distinct, EDGES)
         plain = np.asarray(pc.match_substring_regex(trimmed, ORDINARY))
         letters = np.asarray(pc.fill_null(pc.utf8_length(trimmed), 0))
-        runs = self._thrice(trimmed)
+        runs = doubled(trimmed)
         restored = trimmed
         if self.model is not None:
             odd = np.flatnonzero((~plain | runs) & (letters > 0))
@@ -132,7 +163,7 @@ class Reader:
             for raw in trimmed.take(pa.array(odd)).to_pylist():
                 raw = TAIL.sub("", raw)
                 count = sum(x.isalpha() for x in raw)
-                mended.append(self.model.restore(raw) if count and 2 <= len(raw) <= 40 and (not raw.isalpha() or _thrice(raw)) else raw)
+                mended.append(self.model.restore(raw) if count and len(raw) >= 2 and (not raw.isalpha() or _doubled(raw)) else raw)
             if len(odd):
                 mask = np.zeros(len(distinct), bool)
                 mask[odd] = True
@@ -146,23 +177,28 @@ class Reader:
             lengths = np.array([int(np.argmin(same[b + 1 : e])) if not same[b + 1 : e].all() else e - b - 1 for b, e in zip(begins, ends, strict=True)]) + 1 if len(begins) else np.zeros(0, int)
             for b, n in zip(begins[lengths >= 3], lengths[lengths >= 3], strict=True):
                 run = "".join(distinct.take(pa.array(code[b : b + n])).to_pylist())
-                for i in range(0, len(run), 40):
-                    spaced += [(int(owner[b]), w) for w in self.model.restore(run[i : i + 40], True).split(" ")]
+                spaced += [(int(owner[b]), w) for w in self.model.restore(run, True).split(" ")]
         return owner, code, restored, spaced
 
-    @staticmethod
-    def _thrice(words: pa.Array) -> np.ndarray:
-        """Which words hold a letter three times in a row."""
-        _, offs, data = words.buffers()
-        found = np.zeros(len(words), bool)
-        if not len(words) or data is None:
-            return found
-        at = np.frombuffer(offs, np.int64, len(words) + 1, words.offset * 8)
-        raw = np.frombuffer(data, np.uint8)[: at[-1]]
-        place = np.flatnonzero((raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]))
-        own = np.searchsorted(at, place, "right") - 1
-        found[own[place + 2 < at[own + 1]]] = True
-        return found
+
+def code_points(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all words in a row, the word of each)."""
+    _, offs, data = words.buffers()
+    if not len(words) or data is None:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    at = np.frombuffer(offs, np.int64, len(words) + 1, words.offset * 8)
+    raw = data[int(at[0]) : int(at[-1])].to_pybytes()
+    points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+    begins = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+    return points, np.searchsorted(at - at[0], begins, "right") - 1
+
+
+def doubled(words: pa.Array) -> np.ndarray:
+    """Which words hold a character twice in a row."""
+    points, own = code_points(words)
+    found = np.zeros(len(words), bool)
+    found[own[1:][(points[1:] == points[:-1]) & (own[1:] == own[:-1])]] = True
+    return found
 
 
 def restored_text(text: str | None, model: CharacterModel) -> str:
@@ -228,76 +264,70 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def character_counts(documents: DataFrame, alphabet: int) -> dict[str, int]:
+    """Character trigrams of the words of letters of all documents, over the most frequent letters and OTHER."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _rows(whole):
+                _, code, words, _ = Reader(None).words(batch.column(0))
+                plain = np.asarray(pc.match_substring_regex(words, ORDINARY))
+                times = np.bincount(code, minlength=len(words))[plain]
+                bound = pa.scalar(BOUND, words.type)
+                points, own = code_points(pc.binary_join_element_wise(bound, bound, words.filter(pa.array(plain)), bound, pa.scalar("", words.type)))
+                three = np.stack([points[:-2], points[1:-1], points[2:]], 1)[own[2:] == own[:-2]].astype(np.int64)
+                gram, place = np.unique((three[:, 0] << 42) | (three[:, 1] << 21) | three[:, 2], return_inverse=True)
+                n = np.bincount(place, times[own[:-2][own[2:] == own[:-2]]], len(gram)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], names=["gram", "n"])
+
+    found = settle(documents.select(F.col("text").cast("string")).mapInArrow(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    low = 2097151
+    letters = found.groupBy(F.col("gram").bitwiseAND(F.lit(low)).alias("letter")).agg(F.sum("n").alias("n")).where(F.col("letter") != ord(BOUND)).orderBy(F.desc("n"), "letter").limit(alphabet)
+    common = [r["letter"] for r in letters.collect()] + [ord(BOUND)]
+    parts = [F.shiftright("gram", 42), F.shiftright("gram", 21).bitwiseAND(F.lit(low)), F.col("gram").bitwiseAND(F.lit(low))]
+    folded = [F.when(p.isin(common), p).otherwise(F.lit(ord(OTHER))).alias(f"c{i}") for i, p in enumerate(parts)]
+    rows = found.select(*folded, "n").groupBy("c0", "c1", "c2").agg(F.sum("n").alias("n")).collect()  # at most (alphabet + 2)^3
+    return {chr(r["c0"]) + chr(r["c1"]) + chr(r["c2"]): r["n"] for r in rows}
+
+
 def learn(
-    documents: DataFrame, labels: DataFrame, sample: int = 20_000, max_features: int = 2_000, min_toxic: int = 3, min_lift: float = 6.0,
-    steps: int = 300, penalty: float = 0.02,
+    documents: DataFrame, labels: DataFrame, sample: int = 20_000, min_toxic: int = 3, min_lift: float = 6.0,
+    steps: int = 300, penalty: float = 0.02, alphabet: int = 96,
 ) -> ToxicityModel:
-    """A model from at most ``sample`` labelled documents, those of held_out() left out."""
+    """A model from at most ``sample`` labelled documents, those of held_out() left out; letters come from all documents."""
+    characters = CharacterModel(character_counts(documents, alphabet))
     chosen = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.select("text", "toxic")
+    rows = settle(rows.select("text", "toxic"))
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of each class by feature; the feature "" counts all."""
+        own = CharacterModel(characters.counts)
         for whole in batches:
             for batch in _rows(whole):
-                _, code, words, _ = Reader(None).words(batch.column(0))
-                n = np.bincount(code, minlength=len(words))
-                for word, times in zip(words.to_pylist(), n, strict=True):
-                    if word.isalpha() and len(word) < 40:
-                        word = BOUND * 2 + word + BOUND
-                        for i in range(len(word) - 2):
-                            total[word[i : i + 3]] += int(times)
-        yield pa.RecordBatch.from_pydict({"gram": list(total), "n": list(total.values())}, pa.schema([("gram", pa.string()), ("n", pa.int64())]))
-
-    found = rows.mapInArrow(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(50_000).collect()
-    characters = CharacterModel({r["gram"]: r["n"] for r in found})
-
-    def count(candidates: list[str] | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: list[Counter] = [Counter(), Counter()]
-            docs = [0, 0]
-            own = CharacterModel(characters.counts)
-            for whole in batches:
-                for batch in _rows(whole):
-                    toxic = np.asarray(batch.column(1))
-                    for label in (0, 1):
-                        texts = batch.column(0).filter(pa.array(toxic == label))
-                        docs[label] += len(texts)
-                        if not len(texts) or (candidates is None and not label):
-                            continue
-                        if candidates is not None:
-                            _, feature = ToxicityModel(own, candidates, np.zeros(0), 0).present(texts)
-                            for f, n in zip(*np.unique(feature, return_counts=True), strict=True):
-                                sums[label][candidates[f]] += int(n)
-                            continue
-                        owner, code, words, spaced = Reader(own).words(texts)
-                        pairs = np.unique(owner * np.int64(len(words)) + code)
-                        columns = [c.to_pylist() for c in _features(words)]
-                        for doc, group in groupby(pairs, lambda x: x // len(words)):
-                            codes = [int(x % len(words)) for x in group]
-                            extra = [w for o, w in spaced if o == doc]
-                            sums[label].update({c[i] for c in columns for i in codes if c[i]} | {w for w in extra if len(w) > 1})
-            for label in (0, 1):
-                keys = ["", *sums[label]]
-                yield pa.RecordBatch.from_pydict({"feature": keys, "toxic": [label] * len(keys), "n": [docs[label], *sums[label].values()]}, pa.schema([("feature", pa.string()), ("toxic", pa.int32()), ("n", pa.int64())]))
-
-        return rows.mapInArrow(run, "feature string, toxic int, n long").groupBy("feature", "toxic").agg(F.sum("n").alias("n"))
-
-    first = count(None).where((F.col("n") >= min_toxic) | (F.col("feature") == "")).orderBy(F.desc("n"), "feature").limit(40_000).collect()
-    size = {r["toxic"]: r["n"] for r in first if r["feature"] == ""}
-    n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
+                toxic = np.asarray(batch.column(1)).astype(np.int64)
+                owner, code, words, spaced = Reader(own).words(batch.column(0))
+                parts = [(owner, c.take(pa.array(code))) for c in _features(words)]
+                if spaced:
+                    who = np.array([o for o, _ in spaced])
+                    parts += [(who, c) for c in _features(pa.array([w for _, w in spaced], pa.large_string()))]
+                coded = pa.concat_arrays([c for _, c in parts]).dictionary_encode()
+                feature, there = np.asarray(coded.indices.fill_null(0)).astype(np.int64), np.asarray(coded.indices.is_valid())
+                pair = np.unique((np.concatenate([o for o, _ in parts]) * np.int64(len(coded.dictionary) + 1) + feature)[there])
+                cell, n = np.unique((pair % (len(coded.dictionary) + 1)) * 2 + toxic[pair // (len(coded.dictionary) + 1)], return_counts=True)
+                names = pa.concat_arrays([coded.dictionary.take(pa.array(cell // 2)), pa.array(["", ""], pa.large_string())]).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.append(cell % 2, [0, 1]), pa.int32()), pa.array(np.append(n, np.bincount(toxic, minlength=2)), pa.int64())], names=["feature", "toxic", "n"])
+
+    of = lambda label: F.sum(F.when(F.col("toxic") == label, F.col("n")).otherwise(0))
+    counts = settle(rows.mapInArrow(count, "feature string, toxic int, n long").groupBy("feature").agg(of(1).alias("t"), of(0).alias("c")))
+    size = counts.where("feature = ''").first()
+    n_toxic, n_clean = (size["t"], size["c"]) if size else (0, 0)
     prior = math.log((n_toxic + 0.5) / (n_clean + 0.5)) if n_toxic + n_clean else -1.0
     if not n_toxic or not n_clean:
         return ToxicityModel(characters, [], np.zeros(0), min(prior, -0.1) if not n_toxic else max(min(prior, 3.0), -3.0))
-    candidates = [r["feature"] for r in first if r["feature"]]
-    counts: dict[str, list[int]] = {c: [0, 0] for c in candidates}
-    for r in count(candidates).collect():
-        if r["feature"]:
-            counts[r["feature"]][r["toxic"]] = r["n"]
-    lift = {c: ((t - 0.5 * math.sqrt(t)) / n_toxic) / ((k + 0.5) / n_clean) for c, (k, t) in counts.items()}
-    chosen_features = sorted((c for c in candidates if lift[c] >= min_lift), key=lambda c: (-counts[c][1] * math.log(lift[c]), c))[:max_features]
+    lift = ((F.col("t") - 0.5 * F.sqrt("t")) / n_toxic) / ((F.col("c") + 0.5) / n_clean)
+    chosen_features = [r["feature"] for r in counts.where(F.col("feature") != "").where(f"t >= {min_toxic}").where(lift >= min_lift).orderBy("feature").collect()]
     model = ToxicityModel(characters, chosen_features, np.zeros(len(chosen_features)), prior)
     if chosen_features:
         _fit(model, rows, steps, penalty)
