@@ -1,15 +1,18 @@
-"""Log probabilities of texts under a bigram model smoothed by deleted interpolation.
-
-The probability of a token after a context mixes the bigram's relative frequency with the add-one unigram estimate.
-The mixture weight depends on how often the context was seen (buckets of powers of two) and is learned by expectation
-maximisation on a held-out fold of the training documents, whose own occurrences are deleted from all counts for it.
-
-Counts are exact and cover all training documents. Documents are dealt by hash to chunks of a few MB of text. A chunk
-counts its own distinct words and bigrams as sorted 64-bit hashes and sends each range of hashes, as one binary row,
-to the bucket of that range; buckets add up the counts and send back, for each chunk, the totals in the chunk's order.
-So a frequent word is one entry a chunk, not one row an occurrence, no task holds more than a chunk or a bucket, and
-what is moved grows with the input. The driver sees the number of tokens and types, and the fold's histogram of
-(context bucket, ratio of the two estimates), both of bounded size.
+"""Log probabilities of texts under a trigram model smoothed by deleted interpolation.
+
+The probability of a token mixes its maximum-likelihood estimates after the last two tokens, after the last one and by
+itself, and an equal share of all types and one more, so that unknown words have some. Mixture weights depend on how
+often the context was seen (buckets of powers of two of the two tokens' count or, where that is 0, of the one's) and are
+learned by expectation maximisation on the counts of a held-out fold of the training documents, whose own occurrences
+are deleted from all counts for it.
+
+Counts cover all training documents. Documents are packed to chunks of a few MB of text, settled once. A chunk counts
+its own distinct words, bigrams and trigrams as sorted 64-bit hashes (of n-grams the upper 56 bits, of which equal ones
+are one in 10^16 pairs) and sends each range of hashes, as one binary row, to the bucket of that range; buckets add up
+the counts and send back, for each chunk, the totals in the chunk's order. So a frequent word is one entry a chunk, not
+one row an occurrence, no task holds more than a chunk or a bucket, and rows are never more than a chunk's distinct
+hashes, so what is moved grows with the input. The driver sees the number of tokens and types, and a histogram of the
+fold by context bucket and octaves of the three estimates, all of bounded size.
 
 Null and empty texts hold only the end token. Rows that repeat count and are scored each; null ids belong to training.
 An empty table gives no rows; without training documents all counts are 0. Other columns are ignored.
@@ -18,20 +21,27 @@ An empty table gives no rows; without training documents all counts are 0. Other
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetflow.llm._chunks import by_bucket, of_planes, of_steps, packed, planes, steps, texts_of
 from facetflow.llm._shared import release, settle
 from facetflow.llm._words import blocks, mix
 
-CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 4 << 20
+BUCKET_BYTES = 4 << 20
 BEGIN, END = np.uint64(0x51ED270B0A1F39C1), np.uint64(0xC2B2AE3D27D4EB4F)
 TRAIN, FOLD, HELD_OUT = 0, 1, 2
-#: Context frequencies 2^i to 2^(i+1)-1 share a weight; ratios are told apart to a sixteenth of a power of two.
-CONTEXTS, STEPS, LOWEST, HIGHEST = 32, 16, -40, 60
+ORDERS = ("word", "pair", "triple")
+#: Counts of 2^i to 2^(i+1)-1 share weights: those of two tokens first, then those of one, then no context at all.
+POWERS = 32
+CONTEXTS = 2 * POWERS + 1
+#: Octaves of an estimate's ratio to the equal share.
+LOWEST, OCTAVES = -8, 48
 _U = np.uint64
 
 
@@ -39,76 +49,59 @@ def remainder(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 7, F.lit(0))
 
 
-def _tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token hashes, each text's end token included; contexts; where each text's tokens begin)."""
+def _grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """(hashes of words, bigrams and trigrams that end at each token, each text's end token included; where texts begin)."""
     tokens, sizes = [], []
-    for array in texts.chunks:
-        for _, _, words in blocks(array):
-            n = np.diff(words.first)
-            tokens.append(np.insert(words.hashes(), words.first[1:], END))
-            sizes.append(n + 1)
+    for _, _, words in blocks(texts):
+        n = np.diff(words.first)
+        tokens.append(np.insert(words.hashes(), words.first[1:], END))
+        sizes.append(n + 1)
     token = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-    begin = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
-    context = np.empty_like(token)
-    context[1:] = token[:-1]
-    context[begin[:-1]] = BEGIN
-    return token, context, begin
-
-
-def _bigrams(token: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Bigram hashes, of 56 bits."""
-    return mix(context * _U(0x9FB21C651E98DF25) + token) & ~_U(255)
-
-
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range of the sorted keys begins."""
-    bucket = ((keys >> _U(32)) * _U(buckets)) >> _U(32)
-    return np.searchsorted(bucket, np.arange(buckets + 1))
-
-
-def _packed(numbers: np.ndarray) -> bytes:
-    """Numbers byte plane by byte plane, so that compression takes out the planes of zeros."""
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
-
-
-def _unpacked(raw: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
-
-
-def _packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as their differences; the first of a range is a difference from 0."""
-    return _packed(np.diff(keys, prepend=_U(0)))
-
-
-def _u32(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [_unpacked(x, np.uint32) for x in column.to_pylist()]
-
-
-def count(chunked: DataFrame, buckets: int) -> DataFrame:
-    """For each chunk and bucket the totals of the chunk's words and bigrams, in the order of their hashes."""
-
-    def send(table: pa.Table) -> pa.Table:
-        token, context, _ = _tokens(table.column("text"))
-        parts = [np.unique(x, return_counts=True) for x in (token, _bigrams(token, context))]
-        cuts = [_cuts(keys, buckets) for keys, _ in parts]
-        own = [b for b in range(buckets) if any(c[b] < c[b + 1] for c in cuts)]
-        kind, chunk = table.column("kind")[0].as_py(), table.column("chunk")[0].as_py()
-        columns: dict[str, list] = {"kind": [kind] * len(own), "chunk": [chunk] * len(own), "bucket": own}
-        for name, (keys, n), cut in zip(("word", "pair"), parts, cuts, strict=True):
-            columns[f"{name}_keys"] = [_packed_keys(keys[cut[b] : cut[b + 1]]) for b in own]
-            columns[f"{name}_n"] = [_packed(n[cut[b] : cut[b + 1]].astype(np.uint32)) for b in own]
-        return pa.table(columns, pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), *[(x, pa.binary()) for x in ("word_keys", "word_n", "pair_keys", "pair_n")]]))
-
-    sent = chunked.groupBy("kind", "chunk").applyInArrow(send, "kind int, chunk long, bucket int, word_keys binary, word_n binary, pair_keys binary, pair_n binary")
+    begin = np.append(0, np.cumsum(np.concatenate(sizes))) if sizes else np.zeros(1, np.int64)
+    pair = mix(_before(token, begin, BEGIN) * _U(0x9FB21C651E98DF25) + token)
+    triple = mix(_before(pair, begin, BEGIN) * _U(0xA0761D6478BD642F) + token)
+    return [token, pair & ~_U(255), triple & ~_U(255)], begin
+
+
+def _before(values: np.ndarray, begin: np.ndarray, first: float | np.uint64) -> np.ndarray:
+    """What stands before each value in its text; ``first`` at the begin."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[begin[:-1]] = first
+    return out
+
+
+def count(chunks: DataFrame, buckets: int) -> DataFrame:
+    """For each chunk and bucket the totals of the chunk's words, bigrams and trigrams, in the order of their hashes."""
+    sent_kind = "kind int, chunk long, bucket long, " + ", ".join(f"{x}_keys binary, {x}_n binary" for x in ORDERS)
+    binaries = [pa.field(f"{x}_{y}", pa.binary()) for x in ORDERS for y in ("keys", "n")]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                grams, _ = _grams(texts_of(np.asarray(batch.column(4)[i].values), batch.column(5)[i].as_py()))
+                parts = []
+                for x in grams:
+                    keys, n = np.unique(x, return_counts=True)
+                    parts.append({b: (keys[of], n[of].astype(np.uint32)) for b, of in zip(*by_bucket(keys, buckets), strict=True)})
+                own = sorted(set().union(*parts))
+                none = (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+                columns = []
+                for part in parts:
+                    columns += [pa.array([steps(part.get(b, none)[0]) for b in own], pa.binary()), pa.array([planes(part.get(b, none)[1]) for b in own], pa.binary())]
+                fixed = [pa.array([batch.column(0)[i].as_py()] * len(own), pa.int32()), pa.array([batch.column(1)[i].as_py()] * len(own), pa.int64()), pa.array(own, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*fixed, *columns], schema=pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int64()), *binaries]))
+
+    sums = ("tokens", "types", "fold_tokens")
+    answer_schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int64()), *[(f"{x}{y}", pa.binary()) for x in ORDERS for y in ("", "_fold")], *[(x, pa.int64()) for x in sums]])
 
     def answer(table: pa.Table) -> pa.Table:
         kinds = np.array(table.column("kind").to_pylist())
-        columns: dict[str, list] = {"kind": kinds.tolist(), "chunk": table.column("chunk").to_pylist(), "bucket": table.column("bucket").to_pylist()}
+        columns: dict[str, list] = {x: table.column(x).to_pylist() for x in ("kind", "chunk", "bucket")}
         tokens = types = fold_tokens = 0
-        for name in ("word", "pair"):
-            keys = [np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in table.column(f"{name}_keys").to_pylist()]
-            n, size = _u32(table.column(f"{name}_n")), np.array([len(x) for x in keys])
+        for name in ORDERS:
+            keys = [of_steps(x) for x in table.column(f"{name}_keys").to_pylist()]
+            n, size = [of_planes(x, np.uint32) for x in table.column(f"{name}_n").to_pylist()], np.array([len(x) for x in keys])
             distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
             times, kind = np.concatenate(n), np.repeat(kinds, size)
             total = np.bincount(place, times * (kind != HELD_OUT), len(distinct))
@@ -116,114 +109,115 @@ def count(chunked: DataFrame, buckets: int) -> DataFrame:
             if name == "word":
                 tokens, types, fold_tokens = int(total.sum()), int((total > 0).sum()), int(fold.sum())
             split = np.cumsum(size)[:-1]
-            columns[name] = [_packed(x.astype(np.uint32)) for x in np.split(total[place], split)]
-            columns[f"{name}_fold"] = [_packed(x.astype(np.uint32)) if k == FOLD else b"" for k, x in zip(kinds, np.split(fold[place], split), strict=True)]
+            columns[name] = [planes(x.astype(np.uint32)) for x in np.split(total[place], split)]
+            columns[f"{name}_fold"] = [planes(x.astype(np.uint32)) if k == FOLD else b"" for k, x in zip(kinds, np.split(fold[place], split), strict=True)]
         rest = [0] * (len(kinds) - 1)
         columns |= {"tokens": [tokens, *rest], "types": [types, *rest], "fold_tokens": [fold_tokens, *rest]}
-        return pa.table(columns, pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), *[(x, pa.binary()) for x in ("word", "word_fold", "pair", "pair_fold")], *[(x, pa.int64()) for x in ("tokens", "types", "fold_tokens")]]))
+        return pa.table(columns, answer_schema)
 
-    out = "kind int, chunk long, bucket int, word binary, word_fold binary, pair binary, pair_fold binary, tokens long, types long, fold_tokens long"
-    return sent.groupBy("bucket").applyInArrow(answer, out)
+    out = "kind int, chunk long, bucket long, " + ", ".join(f"{x} binary, {x}_fold binary" for x in ORDERS) + ", " + ", ".join(f"{x} long" for x in sums)
+    return chunks.mapInArrow(send, sent_kind).groupBy("bucket").applyInArrow(answer, out)
 
 
 def _totals(answers: pa.Table, name: str) -> np.ndarray:
     order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
     parts = answers.column(name).to_pylist()
-    return np.concatenate([_unpacked(parts[i], np.uint32) for i in order]).astype(np.float64) if parts else np.zeros(0)
-
+    return np.concatenate([of_planes(parts[i], np.uint32) for i in order]).astype(np.float64) if parts else np.zeros(0)
 
-def _looked_up(texts: pa.ChunkedArray, answers: pa.Table, names: tuple[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of each token, of its bigram, and where each text's tokens begin."""
-    token, context, begin = _tokens(texts)
-    _, word = np.unique(token, return_inverse=True)
-    _, pair = np.unique(_bigrams(token, context), return_inverse=True)
-    return _totals(answers, names[0])[word], _totals(answers, names[1])[pair], begin
 
+def _looked_up(chunk: pa.Table, answers: pa.Table, endings: tuple[str, ...]) -> tuple[list[list[np.ndarray]], np.ndarray]:
+    """For each ending the counts of each token's word, bigram and trigram; and where each text's tokens begin."""
+    grams, begin = _grams(texts_of(chunk.column("sizes")[0].values.to_numpy(), chunk.column("texts")[0].as_py()))
+    places = [np.unique(x, return_inverse=True)[1] for x in grams]
+    return [[_totals(answers, f"{name}{e}")[p] for name, p in zip(ORDERS, places, strict=True)] for e in endings], begin
 
-def _contexts(words: np.ndarray, begin: np.ndarray, documents: float) -> np.ndarray:
-    """How often each token's context was seen; the begin of a text as often as the end."""
-    seen = np.empty_like(words)
-    seen[1:] = words[:-1]
-    seen[begin[:-1]] = documents
-    return seen
 
+def estimates(words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, begin: np.ndarray, tokens: float, documents: float) -> tuple[np.ndarray, np.ndarray]:
+    """(trigram, bigram and unigram maximum-likelihood estimates of each token, 0 after an unseen context; context bucket)."""
+    two, one = _before(pairs, begin, documents), _before(words, begin, documents)
+    share = lambda n, of: np.where(of > 0, n / np.maximum(of, 1), 0.0)
+    power = lambda n: np.clip(np.log2(np.maximum(n, 1)).astype(np.int64), 0, POWERS - 1)
+    bucket = np.where(two > 0, power(two), np.where(one > 0, POWERS + power(one), 2 * POWERS))
+    return np.stack([share(triples, two), share(pairs, one), words / max(tokens, 1)]), bucket
 
-def _context_bucket(seen: np.ndarray) -> np.ndarray:
-    return np.clip(np.log2(np.maximum(seen, 1)).astype(np.int64), 0, CONTEXTS - 1)
 
+def learn_weights(bucket: np.ndarray, times: np.ndarray, ratios: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Weights (CONTEXTS x 4) of the three estimates and the equal share, by expectation maximisation.
 
-def learn_weights(histogram: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Mixture weight of the bigram estimate for each context bucket; rows of histogram: counts by ratio bin."""
-    bins = histogram.shape[1]
-    ratio = np.concatenate([[0.0], 2.0 ** (LOWEST + (np.arange(bins - 1) + 0.5) / STEPS)])
-    weights = np.full(len(histogram), 0.5)
-    total = histogram.sum(1)
+    times: how often tokens of a context bucket have those ratios (3 x cells) of their estimates to the equal share.
+    """
+    cells = np.concatenate([ratios, np.ones((1, len(times)))])
+    total = np.bincount(bucket, times, CONTEXTS)
+    weights = np.full((CONTEXTS, 4), 0.25)
     for _ in range(rounds):
-        w = weights[:, None]
-        share = (histogram * (w * ratio / (w * ratio + 1 - w))).sum(1)
-        weights = np.clip(np.where(total > 0, share / np.maximum(total, 1), 0.5), 1e-4, 1 - 1e-4)
-    # buckets without held-out tokens take the weight of the nearest one below, or above
+        part = weights[bucket].T * cells
+        part *= times / part.sum(0)
+        new = np.stack([np.bincount(bucket, x, CONTEXTS) for x in part], 1) / np.maximum(total, 1)[:, None]
+        new = np.maximum(new, 1e-6)
+        weights = np.where(total[:, None] > 0, new / new.sum(1, keepdims=True), weights)
+    # buckets without held-out tokens take the weights of the nearest one
     some = np.flatnonzero(total > 0)
     if len(some):
-        weights = np.array([weights[some[some <= i][-1]] if (some <= i).any() else weights[some[0]] for i in range(len(weights))])
-    return weights
+        weights = weights[some[np.abs(np.arange(CONTEXTS)[:, None] - some).argmin(1)]]
+    # an order that the context rules out has no share
+    weights[POWERS:, 0] = 0
+    weights[2 * POWERS :, 1] = 0
+    return weights / weights.sum(1, keepdims=True)
 
 
 def score(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), remainder().alias("rest"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    chunks, buckets = max(1, -(-size // CHUNK_BYTES)), max(1, -(-size // BUCKET_BYTES))
     kind = F.when(F.col("rest") == 2, HELD_OUT).when(F.col("rest") == 3, FOLD).otherwise(TRAIN)
-    share = F.when(F.col("kind") == TRAIN, -(-5 * chunks // 7)).otherwise(-(-chunks // 7))
-    chunked = rows.select("doc_id", "text", kind.cast("int").alias("kind")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), share))
-    answers = settle(count(chunked, buckets))
+    chunks = settle(packed(rows.select("doc_id", F.lit(0).cast("long").alias("rank"), "text", kind.cast("int").alias("kind"))))
+    size = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    docs = lambda k: F.coalesce(F.sum(F.when(F.expr(k), F.size("ids"))), F.lit(0))
+    found = chunks.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), docs(f"kind <> {HELD_OUT}").alias("train"), docs(f"kind = {FOLD}").alias("fold")).first()
+    train_documents, fold_documents = found["train"], found["fold"]
+    answers = settle(count(chunks, max(1, -(-found["bytes"] // BUCKET_BYTES))))
     release(spark)
     sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "fold_tokens")]).first()
     n, v, n_fold = sums["tokens"], sums["types"], sums["fold_tokens"]
-    train_documents, fold_documents = (chunked.where(c).count() for c in (f"kind <> {HELD_OUT}", f"kind = {FOLD}"))
 
-    def measure(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+    def measure(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
         del key
-        word, pair, begin = _looked_up(texts.column("text"), answers, ("word", "pair"))
-        word_fold, pair_fold, _ = _looked_up(texts.column("text"), answers, ("word_fold", "pair_fold"))
-        seen = _contexts(word - word_fold, begin, train_documents - fold_documents)
-        low = (word - word_fold + 1) / (n - n_fold + v + 1)
-        ratio = np.where(seen > 0, (pair - pair_fold) / np.maximum(seen, 1), 0) / low
-        place = np.zeros(len(ratio), np.int64)
-        some = ratio > 0
-        place[some] = 1 + np.clip(((np.log2(ratio[some]) - LOWEST) * STEPS).astype(np.int64), 0, (HIGHEST - LOWEST) * STEPS - 1)
-        cell, times = np.unique((_context_bucket(seen) * (1 + (HIGHEST - LOWEST) * STEPS) + place)[seen > 0], return_counts=True)
-        return pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(times, pa.int64())})
-
-    needed = answers.select("kind", "chunk", "bucket", "word", "word_fold", "pair", "pair_fold")
-    fold = chunked.where(f"kind = {FOLD}").groupBy("kind", "chunk").cogroup(needed.where(f"kind = {FOLD}").groupBy("kind", "chunk"))
-    cells = fold.applyInArrow(measure, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    width = 1 + (HIGHEST - LOWEST) * STEPS
-    histogram = np.zeros(CONTEXTS * width)
-    for r in cells:
-        histogram[r["cell"]] = r["n"]
-    weights = learn_weights(histogram.reshape(CONTEXTS, width))
-
-    def finish(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        word, pair, begin = _looked_up(texts.column("text"), answers, ("word", "pair"))
-        seen = _contexts(word, begin, train_documents)
-        low = (word + 1) / (n + v + 1)
-        weight = np.where(seen > 0, weights[_context_bucket(seen)], 0.0)
-        full = weight * np.where(seen > 0, pair / np.maximum(seen, 1), 0) + (1 - weight) * low
+        (counts, folds), begin = _looked_up(chunk, answers, ("", "_fold"))
+        found, bucket = estimates(*[a - b for a, b in zip(counts, folds, strict=True)], begin, n - n_fold, train_documents - fold_documents)
+        ratio = found * (v + 1)
+        cell = bucket
+        for x in ratio:
+            octave = np.where(x > 0, 1 + np.clip(np.floor(np.log2(np.maximum(x, 1e-30))).astype(np.int64) - LOWEST, 0, OCTAVES - 1), 0)
+            cell = cell * (OCTAVES + 1) + octave
+        cell, place, times = np.unique(cell, return_inverse=True, return_counts=True)
+        columns = {"cell": pa.array(cell, pa.int64()), "n": pa.array(times, pa.int64())}
+        return pa.table(columns | {f"r{i}": pa.array(np.bincount(place, x, len(cell))) for i, x in enumerate(ratio)})
+
+    needed = ["kind", "chunk", "bucket", *ORDERS]
+    fold = chunks.where(f"kind = {FOLD}").groupBy("kind", "chunk").cogroup(answers.where(f"kind = {FOLD}").select(*needed, *[f"{x}_fold" for x in ORDERS]).groupBy("kind", "chunk"))
+    cells = fold.applyInArrow(measure, "cell long, n long, r0 double, r1 double, r2 double").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "r0", "r1", "r2")]).orderBy("cell").collect()
+    times = np.array([r["n"] for r in cells], float)
+    ratios = np.array([[r["r0"], r["r1"], r["r2"]] for r in cells], float).reshape(-1, 3).T / times
+    weights = learn_weights(np.array([r["cell"] // (OCTAVES + 1) ** 3 for r in cells], np.int64), times, ratios)
+
+    def finish(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        (counts,), begin = _looked_up(chunk, answers, ("",))
+        found, bucket = estimates(*counts, begin, n, train_documents)
+        w = weights[bucket].T
+        full = (w[:3] * found).sum(0) + w[3] / (v + 1)
+        low = (counts[0] + 1) / (n + v + 1)
         start = begin[:-1]
         return pa.table({
-            "doc_id": texts.column("doc_id"),
+            "doc_id": pc.list_flatten(chunk.column("ids")),
             "held_out": pa.array(np.full(len(start), key[0].as_py() == HELD_OUT)),
             "n_tokens": pa.array(np.diff(begin), pa.int64()),
-            "n_known": pa.array(np.add.reduceat((word > 0).astype(np.int64), start), pa.int64()),
+            "n_known": pa.array(np.add.reduceat((counts[0] > 0).astype(np.int64), start), pa.int64()),
             "train_tokens": pa.array(np.full(len(start), n), pa.int64()),
             "base_score": pa.array(np.add.reduceat(np.log10(low), start)),
             "score": pa.array(np.add.reduceat(np.log10(full), start)),
         })
 
-    both = chunked.groupBy("kind", "chunk").cogroup(needed.select("kind", "chunk", "bucket", "word", "pair").groupBy("kind", "chunk"))
+    both = chunks.groupBy("kind", "chunk").cogroup(answers.select(*needed).groupBy("kind", "chunk"))
     return both.applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
