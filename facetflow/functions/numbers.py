@@ -49,6 +49,17 @@ def finite_or_null(column: Column) -> Column:
     return F.when(F.isnan(column) | (F.abs(column) == float("inf")), None).otherwise(column)
 
 
+def general(column: Column, digits: int = 6) -> Column:
+    """Text of at most ``digits`` significant digits, with an exponent below -4 and from ``digits`` on."""
+    rough = F.format_string(f"%.{digits - 1}e", column.cast("double"))
+    power = F.substring_index(rough, "e", -1).cast("int")
+    bare = lambda text: F.when(F.contains(text, F.lit(".")), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
+    out = F.concat(bare(F.substring_index(rough, "e", 1)), F.lit("e"), F.substring_index(rough, "e", -1))
+    for k in range(-4, digits):
+        out = F.when(power == k, bare(F.format_string(f"%.{max(0, digits - 1 - k)}f", column.cast("double")))).otherwise(out)
+    return F.when(column == 0, "0").otherwise(out)
+
+
 def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 

@@ -101,31 +101,40 @@ def apply(df: DataFrame, kind: str, columns: list[str], bins: int = 5, low: floa
     raise ValueError(f"no transform {kind!r}")
 
 
-def statistic(df: DataFrame, columns: list[str], strategy: str, value: float | str | None = None) -> dict[str, object]:
-    """What ``impute`` puts in each column. Median: mean of the two middle values; ``median_low``: the lower of them."""
+def statistic(df: DataFrame, columns: list[str], strategy: str, value: float | str | None = None, strict: bool = False) -> dict[str, object]:
+    """What ``impute`` puts in each column. Median: mean of the two middle values; ``median_low``: the lower of them.
+
+    strict: a column without values raises; else a numeric one gets 0.
+    """
     if strategy == "zero":
         return dict.fromkeys(columns, 0.0)
     if strategy == "custom":
         return dict.fromkeys(columns, value)
-    types = dict(df.dtypes)
-
-    def stat(c: str) -> Column:
-        if strategy == "mode" or types[c] == "string":
-            return F.mode(F.col(c), True)
-        return {"mean": F.avg(c), "median": F.percentile(c, 0.5), "median_low": F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{c}`)")}[strategy]
+    from facetflow.operators.quantiles import exact_mode, exact_quantiles
 
-    found = df.agg(*[stat(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
-    return {c: found[f"s{i}"] if found[f"s{i}"] is not None else (None if types[c] == "string" else 0.0) for i, c in enumerate(columns)}
-
-
-def impute(df: DataFrame, columns: list[str], strategy: str = "mean", value: float | str | None = None) -> DataFrame:
+    types = dict(df.dtypes)
+    modal = [c for c in columns if strategy == "mode" or types[c] == "string"]
+    numeric = [c for c in columns if c not in modal]
+    found: dict[str, object] = {c: exact_mode(df, c) for c in modal}
+    if strategy == "mean" and numeric:
+        s = df.agg(*[F.avg(c).alias(f"s{i}") for i, c in enumerate(numeric)]).first()
+        found |= {c: s[f"s{i}"] for i, c in enumerate(numeric)}
+    elif numeric:
+        quantiles = exact_quantiles(df, numeric, [0.5], lower={"median": False, "median_low": True}[strategy])
+        found |= {c: q for c, (q,) in zip(numeric, quantiles, strict=True)}
+    if strict and any(v is None for v in found.values()):
+        raise ValueError(f"no values in {[c for c, v in found.items() if v is None]}")
+    return {c: found[c] if found[c] is not None else (None if types[c] == "string" else 0.0) for c in columns}
+
+
+def impute(df: DataFrame, columns: list[str], strategy: str = "mean", value: float | str | None = None, strict: bool = False) -> DataFrame:
     """Missing cells filled by mean, median, median_low, mode, zero, custom, forward or backward.
 
-    Text columns take their mode (ties: the smallest value) for mean and median. A numeric column without values gets 0.
+    Text columns take their mode (ties: the smallest value) for mean and median. A numeric column without values gets 0, or raises if ``strict``.
     """
     if strategy in ("forward", "backward"):
         from facetflow.operators.rows import fill
 
         return fill(df, columns, strategy)
-    put = statistic(df, columns, strategy, value)
+    put = statistic(df, columns, strategy, value, strict)
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in put.items() if v is not None})

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -33,14 +33,20 @@ def matrix(a: np.ndarray, b: np.ndarray, kernel: str, gamma: float, degree: int,
     raise ValueError("kernel is rbf, linear or poly")
 
 
-def rbf_pairs(df: DataFrame, key: str, features: list[str], gamma: float, most: int = 2_000) -> DataFrame:
+def kernel_pairs(df: DataFrame, key: str, features: list[str], kernel: str = "rbf", gamma: float = 1.0, degree: int = 3, coef0: float = 0.0, most: int = 2_000) -> DataFrame:
     """i, j, k of all pairs i <= j of a table of at most ``most`` rows, as rows of a table."""
     if df.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} rows")
     a = df.select(F.col(key).alias("i"), *[F.col(c).alias(f"a{n}") for n, c in enumerate(features)])
     b = df.select(F.col(key).alias("j"), *[F.col(c).alias(f"b{n}") for n, c in enumerate(features)])
+    dot = sum((F.col(f"a{n}") * F.col(f"b{n}") for n in range(len(features))), F.lit(0.0))
     apart = sum(((F.col(f"a{n}") - F.col(f"b{n}")) * (F.col(f"a{n}") - F.col(f"b{n}")) for n in range(len(features))), F.lit(0.0))
-    return a.join(F.broadcast(b), F.col("i") <= F.col("j")).select("i", "j", F.exp(-gamma * apart).alias("k"))  # at most ``most`` rows
+    value = {"rbf": F.exp(-gamma * apart), "linear": dot, "poly": F.pow(gamma * dot + coef0, F.lit(float(degree)))}[{"polynomial": "poly"}.get(kernel, kernel)]
+    return a.join(F.broadcast(b), F.col("i") <= F.col("j")).select("i", "j", value.alias("k"))  # at most ``most`` rows
+
+
+def rbf_pairs(df: DataFrame, key: str, features: list[str], gamma: float, most: int = 2_000) -> DataFrame:
+    return kernel_pairs(df, key, features, "rbf", gamma, most=most)
 
 
 def centered(pairs: DataFrame) -> DataFrame:
@@ -65,6 +71,12 @@ class KernelModel:
     def ratios(self) -> np.ndarray:
         return 100 * self.eigenvalues[: self.vectors.shape[1]] / self.eigenvalues.sum()
 
+    def variance(self, spark: SparkSession) -> DataFrame:
+        """pc, eigenvalue, ratio_pct, cumulative_pct."""
+        ratios = self.ratios
+        rows = [(f"PC{i + 1}", float(self.eigenvalues[i]), float(r), float(c)) for i, (r, c) in enumerate(zip(ratios, np.cumsum(ratios), strict=True))]
+        return spark.createDataFrame(rows, "pc string, eigenvalue double, ratio_pct double, cumulative_pct double")
+
     def transform(self, df: DataFrame, compat: bool = False) -> DataFrame:
         """``df`` with PC1 to PCk: centred kernel times vector by sqrt(eigenvalue); compat: by eigenvalue again, as some
         implementations give for training rows."""
@@ -72,7 +84,7 @@ class KernelModel:
         weights = self.vectors / np.sqrt(self.eigenvalues[:k]) / (self.eigenvalues[:k] if compat else 1)
         train, means, how = self.train, self.means, self.how
         schema = StructType([*df.schema.fields, *[StructField(f"PC{i + 1}", DoubleType()) for i in range(k)]])
-        extra = df.withColumns({f"__k{i}": e for i, e in enumerate(self.preprocess.expressions())})
+        extra = self.preprocess.prepared(df).select(*[F.col(f"`{c}`") for c in df.columns], *[e.alias(f"__k{i}") for i, e in enumerate(self.preprocess.expressions())])
         m, width = train.shape[1], len(df.columns)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +103,7 @@ def fit(df: DataFrame, features: list[str], k: int = 2, kernel: str = "rbf", gam
     """gamma: by default one by the number of features. Of preprocessing only scale_only, snv and vector_norm apply."""
     given = preprocess or Preprocess(center=False)
     pre = Preprocess(center=False, scale_only=given.scale_only, snv=given.snv, vector_norm=given.vector_norm).fit(df, features)
-    rows = df.select(*[e.alias(f"x{i}") for i, e in enumerate(pre.expressions())]).na.drop().limit(MOST_ROWS + 1).collect()
+    rows = pre.prepared(df).select(*[e.alias(f"x{i}") for i, e in enumerate(pre.expressions())]).na.drop().limit(MOST_ROWS + 1).collect()
     if len(rows) > MOST_ROWS:
         raise ValueError(f"kernel PCA takes at most {MOST_ROWS} rows")
     if len(rows) < 2 or not 1 <= k <= len(rows):

@@ -1,10 +1,10 @@
 """Linear principal component analysis: fit, scores, diagnostics, limits, and models as JSON.
 
-A fit is one aggregate for the preprocessing, one for the Gram matrix of the preprocessed features (which are centred
-before they are multiplied), and an eigendecomposition of features x features on the driver. Up to DECLARED features
-the Gram matrix is one declarative aggregate; beyond, each task adds up its rows' products and the sums meet by blocks of
-rows, so that what is gathered is one matrix. Scores, T^2 and residuals are projections: lazy, without Python, and as
-good on streams.
+A fit is one pass over the features for counts, means and co-moments, from which the moments of the preprocessed features
+follow (robust scaling also asks for medians), and an eigendecomposition of features x features on the driver. Up to
+DECLARED features the pass is one declarative aggregate; beyond, each task adds up its rows' products, and the sums meet
+as binary blocks of matrix rows, so that what is gathered is one matrix of doubles. Scores, T^2 and residuals are
+projections: lazy, without Python, and as good on streams.
 
 Components are given the sign that makes their largest loading positive (within 1e-9 the first feature counts).
 """
@@ -17,8 +17,6 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -26,47 +24,83 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetflow.functions.numbers import f_quantile, normal_quantile
-from facetflow.operators.preprocess import Preprocess
+from facetflow.operators.preprocess import DIVISOR, SHIFT, Preprocess, total
 
 #: Features up to which the Gram matrix is a declarative aggregate, and at most.
-DECLARED, MOST_FEATURES = 48, 8192
+DECLARED, MOST_FEATURES = 16, 8192
+#: Bytes of a block of matrix rows.
+BLOCK_BYTES = 1 << 20
 ALPHA = 0.001
 VERSION = "1.0"
 
 
-def _sum(parts: list[Column]) -> Column:
-    return reduce(add, parts)
+@dataclass
+class Moments:
+    """Of a table's features: rows, how many values each has, means and sums of products of deviations (complete rows)."""
+
+    rows: int
+    counts: np.ndarray
+    means: np.ndarray
+    products: np.ndarray
+
+    @property
+    def complete(self) -> bool:
+        return bool((self.counts == self.rows).all())
 
 
-def gram(df: DataFrame, parts: list[Column]) -> tuple[np.ndarray, int]:
-    """(sums of products of the columns, rows); rows with a null are left out."""
+def moments(df: DataFrame, parts: list[Column]) -> Moments:
+    """Moments of the columns in one pass; only those of complete tables are meaningful, ``counts`` tell."""
     m = len(parts)
-    names = [f"x{i}" for i in range(m)]
-    x = df.select(*[p.alias(n) for p, n in zip(parts, names, strict=True)]).na.drop()
+    if m > MOST_FEATURES:
+        raise ValueError(f"{m} features; at most {MOST_FEATURES}")
     if m <= DECLARED:
+        x = df.select(*[p.alias(f"x{i}") for i, p in enumerate(parts)])
         cells = [(i, j) for i in range(m) for j in range(i, m)]
-        s = x.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"g{i}_{j}") for i, j in cells]).first()
-        out = np.zeros((m, m))
+        s = x.agg(F.count(F.lit(1)).alias("n"), *[f(f"x{i}").alias(f"{k}{i}") for i in range(m) for k, f in (("c", F.count), ("m", F.avg))], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"g{i}_{j}") for i, j in cells]).first()
+        products = np.zeros((m, m))
         for i, j in cells:
-            out[i, j] = out[j, i] = s[f"g{i}_{j}"] or 0.0
-        return out, s["n"]
-    if m > MOST_FEATURES:
-        raise ValueError(f"{m} features; at most {MOST_FEATURES}")
+            products[i, j] = products[j, i] = s["n"] * (s[f"g{i}_{j}"] or 0.0)
+        return Moments(s["n"], np.array([s[f"c{i}"] for i in range(m)]), np.array([s[f"m{i}"] or 0.0 for i in range(m)], float), products)
+    return _wide_moments(df.select(F.array(*parts).alias("x")), m)
 
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((m, m)), 0
-        for b in batches:
-            v = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1)
-            total, n = total + v.T @ v, n + len(v)
-        yield pa.RecordBatch.from_pydict({"i": range(m), "n": [n] * m, "g": list(total)}, pa.schema([("i", pa.int32()), ("n", pa.int64()), ("g", pa.list_(pa.float64()))]))
 
-    def meet(t: pa.Table) -> pa.Table:
-        total = np.sum([np.asarray(r) for r in t.column("g").to_pylist()], axis=0)
-        return pa.table({"i": t.column("i")[:1], "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "g": pa.array([total], pa.list_(pa.float64()))})
+def _wide_moments(x: DataFrame, m: int) -> Moments:
+    """Of an array column: each task merges its batches, and blocks of rows of the matrices are merged by block."""
+    step = max(1, BLOCK_BYTES // (8 * m))
+    kind = "block int, n long, counts binary, means binary, products binary"
+    schema = pa.schema([("block", pa.int32()), ("n", pa.int64()), ("counts", pa.binary()), ("means", pa.binary()), ("products", pa.binary())])
 
-    kind = "i int, n long, g array<double>"
-    rows = x.mapInArrow(products, kind).groupBy("i").applyInArrow(meet, kind).orderBy("i").collect()
-    return (np.array([r["g"] for r in rows]), rows[0]["n"]) if rows else (np.zeros((m, m)), 0)
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, counts, means, sums = 0, np.zeros(m), np.zeros(m), np.zeros((m, m))
+        for batch in batches:
+            v = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+            counts += (~np.isnan(v)).sum(0)
+            mean = v.mean(0) if len(v) else means
+            n, means, sums = _met(n, means, sums, len(v), mean, (v - mean).T @ (v - mean))
+        for b, i in enumerate(range(0, m, step)):
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((b, n, counts.tobytes(), means.tobytes(), sums[i : i + step].tobytes()), schema, strict=True)], schema=schema)
+
+    def meet(table: pa.Table) -> pa.Table:
+        b = table.column("block")[0].as_py()
+        rows = slice(b * step, (b + 1) * step)
+        n, counts, means, sums = 0, np.zeros(m), np.zeros(m), np.zeros((min(step, m - b * step), m))
+        for k, c, mu, raw in zip(*[table.column(x).to_pylist() for x in ("n", "counts", "means", "products")], strict=True):
+            counts = counts + np.frombuffer(c)
+            n, means, sums = _met(n, means, sums, k, np.frombuffer(mu), np.frombuffer(raw).reshape(-1, m), rows)
+        return pa.table([pa.array([x], f.type) for x, f in zip((b, n, counts.tobytes(), means.tobytes(), sums.tobytes()), schema, strict=True)], schema=schema)
+
+    found = x.mapInArrow(products, kind).groupBy("block").applyInArrow(meet, kind).orderBy("block").collect()  # one m x m matrix
+    if not found:
+        return Moments(0, np.zeros(m), np.zeros(m), np.zeros((m, m)))
+    return Moments(found[0]["n"], np.frombuffer(found[0]["counts"]), np.frombuffer(found[0]["means"]), np.concatenate([np.frombuffer(r["products"]).reshape(-1, m) for r in found]))
+
+
+def _met(n: int, means: np.ndarray, sums: np.ndarray, k: int, mean: np.ndarray, own: np.ndarray, rows: slice = slice(None)) -> tuple[int, np.ndarray, np.ndarray]:
+    """Moments of two sets of rows together."""
+    if not k or not n:
+        return (k, mean, own) if k else (n, means, sums)
+    apart = mean - means
+    return n + k, means + apart * (k / (n + k)), sums + own + np.outer(apart[rows], apart) * (n * k / (n + k))
 
 
 def signed(vectors: np.ndarray) -> np.ndarray:
@@ -103,8 +137,8 @@ class PCAModel:
     @property
     def ratios(self) -> np.ndarray:
         """Shares of the total variance in per cent."""
-        total = self.eigenvalues.sum()
-        return 100 * self.eigenvalues[: self.k] / total if total > 0 else np.zeros(self.k)
+        whole = self.eigenvalues.sum()
+        return 100 * self.eigenvalues[: self.k] / whole if whole > 0 else np.zeros(self.k)
 
     def variance(self, spark: SparkSession) -> DataFrame:
         """pc, eigenvalue, ratio_pct, cumulative_pct."""
@@ -123,7 +157,7 @@ class PCAModel:
 
     def score_columns(self) -> list[Column]:
         x = self.preprocess.expressions()
-        return [_sum([x[j] * float(self.loadings[j, i]) for j in range(len(x))]) for i in range(self.k)]
+        return [total([x[j] * float(self.loadings[j, i]) for j in range(len(x))]) for i in range(self.k)]
 
     def aligned(self, df: DataFrame) -> DataFrame:
         missing = [f for f in self.features if f not in df.columns]
@@ -131,19 +165,43 @@ class PCAModel:
             raise ValueError(f"features are missing: {missing}")
         return df
 
+    def _projected(self, df: DataFrame) -> DataFrame:
+        """``df`` prepared, with the scores.
+
+        Models of incomplete tables regress each row on the cells that are there, a component after the other.
+        """
+        df = self.preprocess.prepared(self.aligned(df))
+        if not self.extra.get("incomplete"):
+            return df.withColumns(dict(zip(self.labels, self.score_columns(), strict=True)))
+        cells = self.preprocess.expressions()
+        names = [f"__x{j}" for j in range(len(cells))]
+        df = df.withColumns({n: F.when(~F.isnan(c), c) for n, c in zip(names, cells, strict=True)})
+        for i, p in enumerate(self.labels):
+            w = self.loadings[:, i]
+            top = total([F.coalesce(F.col(n) * float(v), F.lit(0.0)) for n, v in zip(names, w, strict=True)])
+            under = total([F.when(F.col(n).isNotNull(), float(v * v)).otherwise(0.0) for n, v in zip(names, w, strict=True)])
+            df = df.withColumn(p, F.coalesce(F.try_divide(top, under), F.lit(0.0))).withColumns({n: F.col(n) - F.col(p) * float(v) for n, v in zip(names, w, strict=True)})
+        return df
+
     def transform(self, df: DataFrame) -> DataFrame:
-        """``df`` with PC1 to PCk; a row with a null feature gets null scores. Order and further columns don't matter."""
-        return self.aligned(df).withColumns(dict(zip(self.labels, self.score_columns(), strict=True)))
+        """``df`` with PC1 to PCk; a row with a null feature gets null scores, unless the model is of incomplete rows.
+
+        Order and further columns don't matter.
+        """
+        return self._projected(df).drop(SHIFT, DIVISOR, *[f"__x{j}" for j in range(len(self.features))])
 
     def diagnostics(self, df: DataFrame) -> DataFrame:
         """transform(), t2, mahalanobis, rss (of preprocessed features) and is_outlier (T^2 beyond its 99.9 % limit)."""
-        out = self.transform(df)
+        out = self._projected(df)
         inverse = self.inverse_covariance()
         t = [F.col(p) for p in self.labels]
-        t2 = _sum([t[i] * t[j] * float(inverse[i, j]) for i in range(self.k) for j in range(self.k)])
-        x = self.preprocess.expressions()
-        rest = [x[j] - _sum([t[i] * float(self.loadings[j, i]) for i in range(self.k)]) for j in range(len(x))]
-        out = out.withColumns({"t2": t2, "rss": _sum([r * r for r in rest])})
+        t2 = total([t[i] * t[j] * float(inverse[i, j]) for i in range(self.k) for j in range(self.k)])
+        if self.extra.get("incomplete"):
+            rest = [F.coalesce(F.col(f"__x{j}"), F.lit(0.0)) for j in range(len(self.features))]
+        else:
+            x = self.preprocess.expressions()
+            rest = [x[j] - total([t[i] * float(self.loadings[j, i]) for i in range(self.k)]) for j in range(len(x))]
+        out = out.withColumns({"t2": t2, "rss": total([r * r for r in rest])}).drop(SHIFT, DIVISOR, *[f"__x{j}" for j in range(len(self.features))])
         limit = self.t2_limit(1 - ALPHA)
         return out.withColumns({"mahalanobis": F.sqrt(F.greatest("t2", F.lit(0.0))), "is_outlier": F.col("t2") > limit if limit > 0 else F.lit(False)})
 
@@ -185,7 +243,7 @@ class PCAModel:
     def to_json(self, description: str = "") -> str:
         pre = self.preprocess
         return json.dumps({
-            "metadata": {"analysis_id": str(uuid.uuid4()), "software_version": VERSION, "created_at": datetime.now(UTC).isoformat(), "description": description, "config": {"method": self.method, "n_components": self.k}},
+            "metadata": {"analysis_id": str(uuid.uuid4()), "software_version": VERSION, "created_at": datetime.now(UTC).isoformat(), "description": description, "config": {"method": self.method, "n_components": self.k, "missing_strategy": "native" if self.extra.get("incomplete") else "error"}},
             "preprocessing": {
                 "mean_center": pre.center, "standard_scale": pre.scale == "standard", "robust_scale": pre.scale == "robust", "scale_only": pre.scale_only, "snv": pre.snv, "vector_norm": pre.vector_norm,
                 "parameters": {"feature_means": pre.means, "feature_stddevs": pre.deviations, "feature_medians": pre.medians, "feature_mads": pre.mads},
@@ -211,7 +269,7 @@ class PCAModel:
         if len(loadings) != len(pre.features) or (scale == "robust" and len(pre.medians) != len(pre.features)) or len(pre.deviations) != len(pre.features):
             raise ValueError("loadings, features and fitted parameters don't match")
         cov = m.get("score_covariance")
-        return PCAModel(pre, loadings, np.array(m.get("eigenvalues", m["explained_variance"]), float), m.get("n_samples", 0), d["metadata"]["config"].get("method", "svd"), None if cov is None else np.array(cov))
+        return PCAModel(pre, loadings, np.array(m.get("eigenvalues", m["explained_variance"]), float), m.get("n_samples", 0), d["metadata"]["config"].get("method", "svd"), None if cov is None else np.array(cov), {"incomplete": d["metadata"]["config"].get("missing_strategy") == "native"})
 
     def config(self) -> dict:
         return asdict(self.preprocess) | {"k": self.k, "method": self.method}
@@ -230,22 +288,33 @@ def fit(df: DataFrame, features: list[str], k: int = 2, preprocess: Preprocess |
         raise ValueError("method is svd or nipals; see operators.kernel for kernels")
     if missing == "native" and method != "nipals":
         raise ValueError("native handling of missing values needs nipals")
+    if not features:
+        raise ValueError("needs at least one feature")
     x = df.select(*[F.col(c).cast("double").alias(c) for c in features])
     x = x.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in features])
-    s = x.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(features)]).first()
-    gaps = any(s[f"c{i}"] < s["n"] for i in range(len(features)))
-    if gaps:
+
+    def measured(x: DataFrame) -> Moments:
+        return moments(pre.prepared(x, features), pre.rows(features))
+
+    found = measured(x)
+    if not found.complete:
         if missing == "error":
             raise ValueError("missing values; name a strategy")
         if missing == "native":
             return nipals_missing(x, features, k, pre.center)
         x = x.na.drop() if missing == "drop" else impute(x, features, missing)
-    pre = pre.fit(x, features)
-    g, n = gram(x, pre.expressions())
-    if n < 2 or not features:
-        raise ValueError("needs at least two rows and one feature")
+        found = measured(x)
+    n = found.rows
+    if n < 2:
+        raise ValueError("needs at least two rows")
     if not 1 <= k <= min(n, len(features)):
         raise ValueError(f"components must be from 1 to {min(n, len(features))}")
+    deviations = np.sqrt(np.maximum(np.diag(found.products), 0) / (n - 1))
+    pre = pre.fitted(pre.normalised(x, features) if pre.scale == "robust" else x, features, found.means.tolist(), deviations.tolist())
+    shift, scale = np.array(pre.shifts_and_scales()).T
+    mean = (found.means - shift) / scale
+    covariance = found.products / np.outer(scale, scale)
+    g = covariance + n * np.outer(mean, mean)
     values, vectors = np.linalg.eigh(g / (n - 1))
     values, vectors = np.maximum(values[::-1], 0), signed(vectors[:, ::-1])
     values = values[: min(n, len(features))]
@@ -254,9 +323,7 @@ def fit(df: DataFrame, features: list[str], k: int = 2, preprocess: Preprocess |
         values = np.concatenate([values[:k], np.full(len(values) - k, values[k:].sum() / (len(values) - k))])
     model = PCAModel(pre, vectors[:, :k], values, n, method, extra={"spread": spread})
     if not pre.center or pre.scale_only:  # scores aren't centred, so their covariance is not diagonal
-        means = x.agg(*[F.avg(e).alias(f"m{i}") for i, e in enumerate(pre.expressions())]).first()
-        mean = np.array([means[i] for i in range(len(features))]) @ model.loadings
-        model.score_cov = (model.loadings.T @ g @ model.loadings - n * np.outer(mean, mean)) / (n - 1)
+        model.score_cov = model.loadings.T @ covariance @ model.loadings / (n - 1)
     return model
 
 
@@ -265,7 +332,8 @@ def nipals_missing(x: DataFrame, features: list[str], k: int, center: bool = Tru
 
     A round is one aggregate over the table: with loadings p a row's score is its regression on p, and the new loadings
     are the columns' regressions on those scores, so scores are never stored. Former components are subtracted in the
-    same projection. Raises if a component doesn't settle.
+    same projection. What the components leave is spread evenly over the eigenvalues beyond them. Raises if a component
+    doesn't settle.
     """
     m = len(features)
     means = x.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)]).first()
@@ -274,8 +342,8 @@ def nipals_missing(x: DataFrame, features: list[str], k: int, center: bool = Tru
     zero = F.lit(0.0)
 
     def score(cells: list[Column], p: np.ndarray) -> Column:
-        top = _sum([F.coalesce(c * float(w), zero) for c, w in zip(cells, p, strict=True)])
-        return F.coalesce(F.try_divide(top, _sum([F.when(c.isNotNull(), float(w * w)).otherwise(0.0) for c, w in zip(cells, p, strict=True)])), zero)
+        top = total([F.coalesce(c * float(w), zero) for c, w in zip(cells, p, strict=True)])
+        return F.coalesce(F.try_divide(top, total([F.when(c.isNotNull(), float(w * w)).otherwise(0.0) for c, w in zip(cells, p, strict=True)])), zero)
 
     names = [f"x{i}" for i in range(m)]
     work, found, variances = table, [], []
@@ -304,7 +372,11 @@ def nipals_missing(x: DataFrame, features: list[str], k: int, center: bool = Tru
             work = work.withColumn("t", score(cells, p)).select(*[(F.col(c) - F.col("t") * float(w)).alias(c) for c, w in zip(names, p, strict=True)], "t")
             variances.append(float(work.agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0) / max(n - 1, 1))
             work = work.drop("t")
+        if found and len(found) < m:
+            left = work.agg(*[F.sum(F.col(c) * F.col(c)).alias(c) for c in names]).first()
+            rest = sum(v or 0.0 for v in left) / max(n - 1, 1)
+            variances += [rest / (m - len(found))] * (m - len(found))
     finally:
         table.unpersist()
     pre = Preprocess(center=center, features=tuple(features), means=tuple(shift), deviations=(1.0,) * m)
-    return PCAModel(pre, np.array(found).T if found else np.zeros((m, 0)), np.array(variances), n, "nipals")
+    return PCAModel(pre, np.array(found).T if found else np.zeros((m, 0)), np.array(variances), n, "nipals", extra={"incomplete": True})

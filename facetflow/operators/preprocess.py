@@ -1,8 +1,8 @@
 """Row- and column-wise preprocessing with fitted statistics.
 
-Rows first: standard normal variate (over vector norm), recomputed for every row. Then columns, by precedence robust,
-scale only, centre and standard. Statistics are fitted on the row-normalised table, in one aggregate (two for robust
-scaling), and applied as literals, so the whole of it is one projection.
+Rows first: standard normal variate (over vector norm), recomputed for every row: its mean and deviation are columns of
+their own (``prepared``), so expressions stay linear in the number of features. Then columns, by precedence robust, scale
+only, centre and standard. Statistics are fitted on the row-normalised table and applied as literals.
 """
 
 from __future__ import annotations
@@ -14,11 +14,22 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetflow.operators.quantiles import exact_quantiles
+
 #: Below this a deviation or norm counts as zero.
 NEAR_ZERO = 1e-8
+#: Columns of a prepared table: what each row's features lose and are divided by.
+SHIFT, DIVISOR = "__row_shift", "__row_divisor"
 MAD_FACTOR = 1.4826
 
 
+def total(parts: list[Column]) -> Column:
+    """Sum of columns as a balanced tree, so that expressions of many features stay shallow."""
+    while len(parts) > 1:
+        parts = [reduce(add, parts[i : i + 8]) for i in range(0, len(parts), 8)]
+    return parts[0]
+
+
 @dataclass(frozen=True)
 class Preprocess:
     """What to do; ``fit`` gives a copy with the statistics of the columns."""
@@ -43,35 +54,43 @@ class Preprocess:
     def does_anything(self) -> bool:
         return self.center or self.scale != "none" or self.scale_only or self.snv or self.vector_norm
 
+    def prepared(self, df: DataFrame, features: list[str] | tuple[str, ...] | None = None) -> DataFrame:
+        """``df`` with what rows() and expressions() refer to: each row's shift and divisor, where rows are normalised."""
+        x = [F.col(c).cast("double") for c in (features if features is not None else self.features)]
+        if self.snv:
+            df = df.withColumn(SHIFT, total(x) / len(x))
+            apart = [(c - F.col(SHIFT)) * (c - F.col(SHIFT)) for c in x]
+            spread = F.sqrt(total(apart) / (len(x) - 1)) if len(x) > 1 else F.lit(0.0)
+        elif self.vector_norm:
+            df = df.withColumn(SHIFT, F.lit(0.0))
+            spread = F.sqrt(total([c * c for c in x]))
+        else:
+            return df
+        return df.withColumn(DIVISOR, F.when(spread > NEAR_ZERO, spread).when(spread.isNotNull(), 1.0))
+
     def rows(self, features: list[str] | tuple[str, ...]) -> list[Column]:
-        """The row-normalised features."""
+        """The row-normalised features of a table of prepared()."""
         x = [F.col(c).cast("double") for c in features]
-        n = len(x)
-        if self.snv:
-            mean = reduce(add, x) / n
-            sd = F.sqrt(reduce(add, [(c - mean) * (c - mean) for c in x]) / (n - 1)) if n > 1 else F.lit(0.0)
-            return [(c - mean) / F.when(sd > NEAR_ZERO, sd).otherwise(1.0) for c in x]
-        if self.vector_norm:
-            norm = F.sqrt(reduce(add, [c * c for c in x]))
-            return [c / F.when(norm > NEAR_ZERO, norm).otherwise(1.0) for c in x]
-        return x
+        return [(c - F.col(SHIFT)) / F.col(DIVISOR) for c in x] if self.snv or self.vector_norm else x
 
     def normalised(self, df: DataFrame, features: list[str] | tuple[str, ...]) -> DataFrame:
-        return df.withColumns(dict(zip(features, self.rows(features), strict=True)))
+        return self.prepared(df, features).withColumns(dict(zip(features, self.rows(features), strict=True))).drop(SHIFT, DIVISOR)
 
     def fit(self, df: DataFrame, features: list[str]) -> Preprocess:
-        table = self.normalised(df, features).select(*features)
+        table = self.normalised(df, features).select(*[F.col(c).cast("double").alias(c) for c in features])
         wanted = [(f"m{i}", F.avg(c)) for i, c in enumerate(features)] + [(f"s{i}", F.stddev_samp(c)) for i, c in enumerate(features)]
-        if self.scale == "robust":
-            wanted += [(f"d{i}", F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{c}`)")) for i, c in enumerate(features)]
         s = table.agg(*[e.alias(n) for n, e in wanted]).first()
         k = range(len(features))
-        out = replace(self, features=tuple(features), means=tuple(s[f"m{i}"] or 0.0 for i in k), deviations=tuple(s[f"s{i}"] or 0.0 for i in k))
+        return self.fitted(table, features, [s[f"m{i}"] or 0.0 for i in k], [s[f"s{i}"] or 0.0 for i in k])
+
+    def fitted(self, table: DataFrame, features: list[str], means: list[float], deviations: list[float]) -> Preprocess:
+        """fit(), given moments of the row-normalised ``table``; medians are found only for robust scaling."""
+        out = replace(self, features=tuple(features), means=tuple(means), deviations=tuple(deviations))
         if self.scale == "robust":
-            medians = tuple(s[f"d{i}"] or 0.0 for i in k)
-            apart = table.select(*[F.abs(F.col(c) - medians[i]).alias(f"a{i}") for i, c in enumerate(features)])
-            mad = apart.agg(*[F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY a{i})").alias(f"a{i}") for i in k]).first()
-            out = replace(out, medians=medians, mads=tuple(MAD_FACTOR * (mad[f"a{i}"] or 0.0) for i in k))
+            medians = [x or 0.0 for (x,) in exact_quantiles(table, features, [0.5], lower=True)]
+            apart = table.select(*[F.abs(F.col(c) - medians[i]).alias(c) for i, c in enumerate(features)])
+            mads = exact_quantiles(apart, features, [0.5], lower=True)
+            out = replace(out, medians=tuple(medians), mads=tuple(MAD_FACTOR * (x or 0.0) for (x,) in mads))
         return out
 
     def shifts_and_scales(self) -> list[tuple[float, float]]:
@@ -84,12 +103,12 @@ class Preprocess:
         return [(m if self.center else 0.0, safe(s) if self.scale == "standard" else 1.0) for m, s in zip(self.means, self.deviations, strict=True)]
 
     def expressions(self) -> list[Column]:
-        """The preprocessed features, in order."""
+        """The preprocessed features of a table of prepared(), in order."""
         return [(x - m) / s for x, (m, s) in zip(self.rows(self.features), self.shifts_and_scales(), strict=True)]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with preprocessed features; other columns stay."""
-        return df.withColumns(dict(zip(self.features, self.expressions(), strict=True)))
+        return self.prepared(df).withColumns(dict(zip(self.features, self.expressions(), strict=True))).drop(SHIFT, DIVISOR)
 
     def inverse(self, df: DataFrame) -> DataFrame:
         """The column steps undone."""

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from facetflow.functions.numbers import parse_number
 from facetflow.operators.correlate import pearson_matrix
+from facetflow.operators.quantiles import distinct_counts, exact_quantiles
 
 BINS = 10
+#: Values that a histogram and a distribution's label ask for.
+LEAST = 10
 
 
 def _rows(pairs: list[tuple[str, list[Column]]]) -> Column:
@@ -29,16 +32,18 @@ def kurtosis(c: str) -> Column:
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a column: counts, moments and exact interpolated quartiles, from one aggregate."""
-    stats = {
-        "count": F.count, "missing": lambda c: F.count(F.when(F.col(c).isNull(), 1)), "distinct": F.count_distinct, "mean": F.avg, "median": lambda c: F.percentile(c, 0.5), "std": F.stddev_pop,
-        "min": F.min, "max": F.max, "q1": lambda c: F.percentile(c, 0.25), "q3": lambda c: F.percentile(c, 0.75), "skewness": skewness, "kurtosis": kurtosis,
-    }
-    whole = {"count", "missing", "distinct"}
+    """One row a column: counts, moments and exact interpolated quartiles; distinct values are grouped, not gathered."""
+    stats = {"count": F.count, "missing": lambda c: F.count(F.when(F.col(c).isNull(), 1)), "mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max, "skewness": skewness, "kurtosis": kurtosis}
+    order = ["count", "missing", "distinct", "mean", "median", "std", "min", "max", "q1", "q3", "skewness", "kurtosis", "iqr"]
     typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    one = typed.agg(*[f(c).alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in stats.items()])
-    found = one.select(_rows([(c, [F.col(f"{k}_{i}").cast("long" if k in whole else "double").alias(k) for k in stats]) for i, c in enumerate(columns)])).select("x.*")
-    return found.withColumn("iqr", F.col("q3") - F.col("q1"))
+    one = typed.agg(*[f(c).alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in stats.items()]).first()
+    distinct = {r["column"]: r["n_distinct"] for r in distinct_counts(typed, columns).collect()}  # a row a column
+    rows = []
+    for i, (c, (q1, q2, q3)) in enumerate(zip(columns, exact_quantiles(typed, columns, [0.25, 0.5, 0.75]), strict=True)):
+        own = {k: one[f"{k}_{i}"] for k in stats} | {"distinct": distinct.get(c, 0), "q1": q1, "median": q2, "q3": q3, "iqr": None if q1 is None else q3 - q1}
+        rows.append((c, *[own[k] if k in ("count", "missing", "distinct") or own[k] is None else float(own[k]) for k in order]))
+    kinds = ", ".join(f"`{k}` {'long' if k in ('count', 'missing', 'distinct') else 'double'}" for k in order)
+    return df.sparkSession.createDataFrame(rows, f"column string, {kinds}")
 
 
 def categorical_profile(df: DataFrame, column: str) -> DataFrame:
@@ -54,7 +59,7 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     x = F.col(column).cast("double")
     s = df.agg(F.min(x).alias("a"), F.max(x).alias("b"), F.count(x).alias("n")).first()
     spark, kind = df.sparkSession, "bin int, low double, high double, n long"
-    if s["n"] < 10 or not s["b"] > s["a"]:
+    if s["n"] < LEAST or not s["b"] > s["a"]:
         return spark.createDataFrame([], kind)
     a, width = s["a"], (s["b"] - s["a"]) / bins
     counts = df.where(x.isNotNull()).groupBy(F.least(F.floor((x - a) / width), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -63,8 +68,8 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
 
 
 def distribution(skew: float | None, kurt: float | None, counts: list[int]) -> str:
-    """normal, right-skewed, left-skewed, bimodal or unknown."""
-    if skew is None or kurt is None:
+    """normal, right-skewed, left-skewed, bimodal or unknown; fewer than ten values are unknown."""
+    if skew is None or kurt is None or sum(counts) < LEAST:
         return "unknown"
     if abs(skew) < 0.5 and abs(kurt) < 1:
         return "normal"
@@ -161,12 +166,3 @@ def quality_report(df: DataFrame, numeric: list[str], categorical: list[str] = (
         "rows": n, "missing_pct": pct, "duplicates": repeated, "profile": profile, "outliers": out_counts, "correlated": strong, "issues": issues, "recommendations": sorted({(k, advice[k]) for _, k, _ in issues}),
         "score": min(100.0, max(0.0, score)), "column_scores": by_column,
     }
-
-
-def readiness(df: DataFrame, numeric: list[str]) -> list[tuple[str, str]]:
-    """(level, message): what stands against a component analysis of these columns."""
-    n = df.limit(2).count()
-    said = [("ERROR", "fewer than two rows")] * (n < 2) + [("ERROR", "fewer than two numeric columns")] * (len(numeric) < 2)
-    if n and numeric:
-        said += [("WARNING", f"{r['column']} has missing values") for r in missing_profile(df, numeric).where("n_missing > 0").collect()]
-    return said or [("INFO", "ready")]

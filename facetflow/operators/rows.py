@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Ranges of an ordered table, at most, and rows of a range, at least.
 RANGES, RANGE_ROWS = 4096, 10_000
+#: Values whose ranks are broadcast, at most, and rows that make a value a hot one.
+HOT, SHARED = 10_000, 10_000
 
 
 def parse_ranges(text: str) -> list[tuple[int, int]]:
@@ -41,20 +43,49 @@ def _in_ranges(ranges: list[tuple[int, int]]) -> Column:
     return found
 
 
-def exclude(df: DataFrame, rows: str | list[int] = "", columns: list[str] | None = None) -> DataFrame:
-    """``df`` without those rows (ranges from 1, or row numbers from 0) and columns."""
+def _check_rows(df: DataFrame, last: int, first: int = 0) -> None:
+    n = (df.agg(F.max("row_idx")).first()[0] if last >= 0 else None) or 0
+    if first < 0 or last > n:
+        raise ValueError(f"rows are from 0 to {n}, not {first if first < 0 else last}")
+
+
+def named(df: DataFrame, columns: list[str | int]) -> list[str]:
+    """Columns by name, or by number from 1 over those that aren't row_idx or row_name."""
+    data = [c for c in df.columns if c not in ("row_idx", "row_name")]
+    out = []
+    for c in columns:
+        if isinstance(c, int) or (c not in df.columns and c.isdigit()):
+            if not 1 <= int(c) <= len(data):
+                raise ValueError(f"columns are from 1 to {len(data)}, not {c}")
+            out.append(data[int(c) - 1])
+        elif c in df.columns:
+            out.append(c)
+        else:
+            raise ValueError(f"no such column: {c}")
+    return out
+
+
+def exclude(df: DataFrame, rows: str | list[int] = "", columns: list[str | int] | None = None, check: bool = True) -> DataFrame:
+    """``df`` without those rows (ranges from 1, or row numbers from 0) and columns (by name, or by number from 1).
+
+    check: rows beyond the table raise, for which its last row number is looked up.
+    """
     if rows:
-        gone = _in_ranges(parse_ranges(rows)) if isinstance(rows, str) else F.col("row_idx").isin(*rows)
-        df = df.where(~gone)
-    missing = [c for c in columns or [] if c not in df.columns]
-    if missing:
-        raise ValueError(f"no such columns: {missing}")
-    return df.drop(*columns or [])
+        ranges = parse_ranges(rows) if isinstance(rows, str) else [(r, r) for r in sorted(set(rows))]
+        if check:
+            _check_rows(df, ranges[-1][1], ranges[0][0])
+        df = df.where(~(_in_ranges(ranges) if isinstance(rows, str) else F.col("row_idx").isin(*rows)))
+    return df.drop(*named(df, list(columns or [])))
 
 
-def select(df: DataFrame, rows: list[int], columns: list[str]) -> DataFrame:
-    """The listed rows in the order of the list, repeated as often as there, renumbered, with the listed columns."""
+def select(df: DataFrame, rows: list[int], columns: list[str], check: bool = True) -> DataFrame:
+    """The listed rows in the order of the list, repeated as often as there, renumbered, with the listed columns.
+
+    check: rows beyond the table raise.
+    """
     spark = df.sparkSession
+    if check and rows:
+        _check_rows(df, max(rows), min(rows))
     places = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "__place long, __row long")
     found = places.join(df, places["__row"] == df["row_idx"], "inner")
     return found.select(F.col("__place").alias("row_idx"), *columns)
@@ -139,8 +170,17 @@ def average_rank(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
     before = sums.select("__cut", (F.sum("__s").over(Window.orderBy("__cut").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__s")).alias("__b"))
     w = Window.partitionBy("__cut").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
     through = F.sum("__n").over(w)
-    ranked = values.join(F.broadcast(before), "__cut").select("__x", (F.col("__b") + through - (F.col("__n") - 1) / 2).alias(name))  # 256 rows
-    return df.join(ranked, x == ranked["__x"], "left").drop("__x")
+    ranked = values.join(F.broadcast(before), "__cut").select("__x", "__n", (F.col("__b") + through - (F.col("__n") - 1) / 2).alias(name))  # 256 rows
+    few = ranked.orderBy(F.desc("__n"), "__x").limit(HOT)
+    if ranked.limit(HOT + 1).count() <= HOT:
+        return df.join(F.broadcast(few.drop("__n")), x == F.col("__x"), "left").drop("__x")
+    # values that many rows share are looked up where the rows are; only the others are shuffled
+    hot = few.where(f"__n > {SHARED}").select(F.col("__x").alias("__h"), F.col(name).alias("__hot"))
+    marked = df.join(F.broadcast(hot), x == F.col("__h"), "left")  # at most HOT rows
+    cold = ranked.drop("__n").withColumnRenamed(name, "__cold")
+    key = F.when(F.col("__hot").isNull(), x).otherwise(-F.pmod(F.xxhash64("row_idx") if "row_idx" in df.columns else F.monotonically_increasing_id(), F.lit(1 << 20)).cast("double") - 0.5)
+    joined = marked.withColumn("__key", key).join(cold, (F.col("__key") == F.col("__x")) & F.col("__hot").isNull(), "left")
+    return joined.withColumn(name, F.coalesce("__hot", "__cold")).drop("__h", "__hot", "__cold", "__x", "__key")
 
 
 def head_and_tail(df: DataFrame, head: int = 20, tail: int = 5) -> DataFrame:

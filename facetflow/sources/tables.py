@@ -8,12 +8,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from facetflow.functions.numbers import READER_TOKENS, finite_or_null, is_missing, is_numeric, parse_number
 
 
+#: Blocks of files whose row numbers are broadcast, at most.
+BLOCKS = 100_000
+
+
 @dataclass(frozen=True)
 class ReadOptions:
     delimiter: str = ","
@@ -26,6 +31,7 @@ class ReadOptions:
     max_rows: int | None = None
     columns: tuple[str, ...] = ()
     sample_rows: int | None = 10
+    multi_line: bool = False
 
 
 DEFAULT = ReadOptions()
@@ -61,24 +67,30 @@ def sniff(spark: SparkSession, path: str) -> ReadOptions:
 def with_row_index(df: DataFrame) -> DataFrame:
     """row_idx for a table read from files: a place within a file's block and the rows of the blocks before it.
 
-    Blocks are read in one go, so ids within them are consecutive; only a row a block is gathered, nothing is shuffled.
+    Blocks are read in one go, so ids within them are consecutive. What is summed up is a row a block; these are broadcast
+    only up to BLOCKS of them.
     """
     placed = df.select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__i"))
-    blocks = sorted((r["__f"], r["__b"], r["i"], r["n"]) for r in placed.groupBy("__f", "__b").agg(F.min("__i").alias("i"), F.count(F.lit(1)).alias("n")).collect())
-    rows, total = [], 0
-    for f, b, i, n in blocks:
-        rows.append((f, b, total - i))
-        total += n
-    table = df.sparkSession.createDataFrame(rows, "__f string, __b long, __shift long")
-    out = placed.join(F.broadcast(table), ["__f", "__b"])  # a row a block of a file
+    blocks = placed.groupBy("__f", "__b").agg(F.min("__i").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a block
+    shifts = blocks.select("__f", "__b", (before - F.col("__first")).alias("__shift"))
+    few = placed.select("__f", "__b").distinct().limit(BLOCKS + 1).count() <= BLOCKS
+    out = placed.join(F.broadcast(shifts) if few else shifts, ["__f", "__b"])
     return out.select((F.col("__i") + F.col("__shift")).alias("row_idx"), *df.columns)
 
 
-def read_text(spark: SparkSession, path: str, options: ReadOptions = DEFAULT) -> DataFrame:
-    """All cells as trimmed text, with row_idx, and row_name if the first column names rows."""
-    df = spark.read.csv(path, sep=options.delimiter, header=options.header, inferSchema=False, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+def read_text(spark: SparkSession, path: str, options: ReadOptions = DEFAULT, ragged: str | None = None) -> DataFrame:
+    """All cells as trimmed text, with row_idx, and row_name if the first column names rows.
+
+    Rows of another width are padded or cut; ``ragged`` names a column that holds the raw text of such rows, else null.
+    """
+    how = {"sep": options.delimiter, "header": options.header, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "multiLine": options.multi_line}
+    df = spark.read.csv(path, inferSchema=False, **how)
+    if ragged:
+        kind = StructType([*[StructField(c, StringType()) for c in df.columns], StructField(ragged, StringType())])
+        df = spark.read.schema(kind).csv(path, columnNameOfCorruptRecord=ragged, enforceSchema=True, **how)
     df = with_row_index(df)
-    names = df.columns[1:]
+    names = [c for c in df.columns[1:] if c != ragged]
     if options.row_names and names:
         df = df.withColumnRenamed(names[0], "row_name")
         names = names[1:]
@@ -87,7 +99,62 @@ def read_text(spark: SparkSession, path: str, options: ReadOptions = DEFAULT) ->
     if options.max_rows is not None:
         df = df.where(F.col("row_idx") < options.max_rows)
     keep = [c for c in names if not options.columns or c in options.columns]
-    return df.select("row_idx", *(["row_name"] if options.row_names and "row_name" in df.columns else []), *keep)
+    return df.select("row_idx", *(["row_name"] if options.row_names and "row_name" in df.columns else []), *keep, *([ragged] if ragged else []))
+
+
+def read_wizard(spark: SparkSession, path: str, delimiter: str = ",", header_row: int = 0, row_name_column: str | None = None, columns: tuple[str, ...] = (), max_rows: int | None = None) -> DataFrame:
+    """Text cells of a file whose header stands in line ``header_row`` (from 0); lines above it are left out."""
+    lines = with_row_index(spark.read.text(path))
+    names = [c.strip() for c in lines.where(F.col("row_idx") == header_row).first()["value"].split(delimiter)]
+    if row_name_column is not None and row_name_column not in names:
+        raise ValueError(f"no such column: {row_name_column}")
+    schema = ", ".join(f"`{c}` string" for c in names)
+    cells = F.from_csv("value", F.lit(schema), {"sep": delimiter, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    rows = lines.where(F.col("row_idx") > header_row).select((F.col("row_idx") - header_row - 1).alias("row_idx"), cells.alias("c"))
+    if max_rows is not None:
+        rows = rows.where(F.col("row_idx") < max_rows)
+    keep = [c for c in names if c != row_name_column and (not columns or c in columns)]
+    return rows.select("row_idx", *([F.col("c")[row_name_column].alias("row_name")] if row_name_column else []), *[F.col("c")[c].alias(c) for c in keep])
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """Records of JSON lines, with row_idx."""
+    return with_row_index(spark.read.json(path))
+
+
+def format_of(name: str, head: bytes = b"") -> str:
+    """csv, tsv, excel or json, by the name's ending, else by the first bytes."""
+    ending = name.rpartition(".")[2].lower() if "." in name else ""
+    known = {"csv": "csv", "tsv": "tsv", "xlsx": "excel", "xls": "excel", "json": "json"}
+    if ending in known:
+        return known[ending]
+    if head.startswith((b"\xd0\xcf\x11\xe0", b"PK\x03\x04")):
+        return "excel"
+    text = head[:512].decode("utf-8", "replace").strip()
+    if text.startswith(("{", "[")):
+        return "json"
+    return "tsv" if text.count("\t") > 2 * text.count(",") else "csv"
+
+
+def file_format(spark: SparkSession, path: str) -> str:
+    """format_of() for one file, by Spark's reader."""
+    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 512).alias("head")).first()
+    return format_of(path, bytes(head["head"]) if head else b"")
+
+
+@dataclass
+class Preview:
+    rows: DataFrame
+    roles: dict[str, str]
+    n_rows: int
+    n_columns: int
+
+
+def preview(spark: SparkSession, path: str, options: ReadOptions = DEFAULT, most: int = 100) -> Preview:
+    """The first rows of a file, the roles of its columns, and its size."""
+    text = read_text(spark, path, options)
+    data = [c for c in text.columns if c not in ("row_idx", "row_name")]
+    return Preview(text.where(F.col("row_idx") < most), infer_roles(text, replace(options, sample_rows=most)), text.count(), len(data))
 
 
 def is_target(column: str, targets: tuple[str, ...] = ()) -> bool:
@@ -119,15 +186,17 @@ def read_mixed(spark: SparkSession, path: str, options: ReadOptions = DEFAULT) -
 
 
 def read_numeric(spark: SparkSession, path: str, options: ReadOptions = DEFAULT) -> DataFrame:
-    """All columns as numbers; the first cell that is neither a number nor missing raises."""
-    text = read_text(spark, path, options)
-    columns = [c for c in text.columns if c not in ("row_idx", "row_name")]
+    """All columns as numbers; cells that are neither numbers nor missing, and rows of another width, raise."""
+    text = read_text(spark, path, options, ragged="__ragged")
+    columns = [c for c in text.columns if c not in ("row_idx", "row_name", "__ragged")]
     ok = lambda c: is_numeric(F.coalesce(F.col(c), F.lit("")), options.decimal, options.tokens)
-    bad = text.agg(*[F.count(F.when(~ok(c), 1)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    bad = text.agg(F.count("__ragged").alias("ragged"), F.count("row_idx").alias("n"), *[F.count(F.when(~ok(c), 1)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    if bad["ragged"]:
+        raise ValueError(f"{bad['ragged']} rows have another number of cells than the header")
     wrong = [c for i, c in enumerate(columns) if bad[f"c{i}"]]
     if wrong:
         raise ValueError(f"not numeric: {wrong}")
-    return text.select(*[parse_number(c, options.decimal, options.tokens).alias(c) if c in columns else F.col(c) for c in text.columns])
+    return text.select(*[parse_number(c, options.decimal, options.tokens).alias(c) if c in columns else F.col(c) for c in text.columns if c != "__ragged"])
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
@@ -143,18 +212,25 @@ def features(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if (f.metadata or {}).get("role") == "numeric"]
 
 
-def write_csv(df: DataFrame, path: str, options: ReadOptions = DEFAULT, digits: int | None = None) -> None:
-    """Rows with missing cells as the first token; row_idx is left out."""
+def write_csv(df: DataFrame, path: str, options: ReadOptions = DEFAULT, digits: int | None = None, nan: str | None = None) -> None:
+    """Rows with missing cells as the first token, infinities as Inf; row_idx is left out, the header over row_name is empty.
+
+    digits: fixed decimals, else the shortest form. nan: text of NaN, which by default counts as missing.
+    """
 
     def cell(c: str, t: str):
         if t not in ("double", "float"):
             return F.col(c)
-        text = F.format_string(f"%.{digits}f", F.col(c)) if digits is not None else F.col(c).cast("string")
-        text = F.when(F.isnan(c), None).otherwise(text)
-        return (F.replace(text, F.lit("."), F.lit(",")) if options.decimal == "," else text).alias(c)
+        x = F.col(c)
+        text = F.format_string(f"%.{digits}f", x) if digits is not None else x.cast("string")
+        text = F.replace(text, F.lit("."), F.lit(",")) if options.decimal == "," else text
+        return F.when(F.isnan(x), F.lit(nan)).when(x == float("inf"), "Inf").when(x == float("-inf"), "-Inf").otherwise(text).alias(c)
 
     rows = df.drop("row_idx")
-    rows.select(*[cell(c, t) for c, t in rows.dtypes]).write.csv(path, sep=options.delimiter, header=options.header, nullValue=options.tokens[0], emptyValue="")
+    rows = rows.select(*[cell(c, t) for c, t in rows.dtypes])
+    if options.row_names and "row_name" in rows.columns:
+        rows = rows.select(F.col("row_name").alias(" "), *[c for c in rows.columns if c != "row_name"])
+    rows.write.csv(path, sep=options.delimiter, header=options.header, nullValue=options.tokens[0], emptyValue="", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
 
 
 def scores_json(scored: DataFrame, name: str, components: list[str]) -> DataFrame:

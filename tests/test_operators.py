@@ -3,11 +3,12 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from facetflow.functions import numbers, transforms
-from facetflow.operators import correlate, edits, kernel, pca, profile, rows, views
+from facetflow.operators import analysis, correlate, edits, kernel, pca, profile, quantiles, rows, validate, views
 from facetflow.operators.preprocess import Preprocess
 from facetflow.sources import tables
 from facetflow.streaming import scoring
@@ -107,7 +108,7 @@ def test_files_in_and_out(spark, tmp_path):
     path.write_text("id;a;b;c#target\n" + "".join(f"r{i};{i},5;{'x' if i % 2 else 'NA'};{i}\n" for i in range(30)))
     options = tables.sniff(spark, str(path))
     assert (options.delimiter, options.decimal, options.header) == (";", ",", True)
-    df = tables.read_any(spark, str(path)) if False else tables.read_mixed(spark, str(path), options)
+    df = tables.read_mixed(spark, str(path), options)
     assert tables.features(df) == ["a"]
     got = df.orderBy("row_idx").collect()
     assert [r.row_idx for r in got] == list(range(30)) and got[3].a == 3.5 and got[2].b is None and got[4]["c#target"] == 4
@@ -130,7 +131,7 @@ def test_empty_tables(spark):
     assert correlate.ellipses(df, "g", "x", "y").collect() == []
     assert views.density(df, "x", "y").collect() == [] and profile.histogram(df, "x").collect() == []
     assert rows.average_rank(df, "x").collect() == [] and rows.fill(df, ["x"]).collect() == []
-    assert profile.readiness(df, ["x", "y"])[0][0] == "ERROR"
+    assert validate.readiness(df, ["x", "y"])[0][0] == "ERROR"
     assert correlate.pearson_matrix(df, ["x", "y"]).first().r == 0
 
 
@@ -150,3 +151,70 @@ def test_streams_are_scored(spark, tmp_path):
     scoring.write(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
     got = {r.row_idx: r.t2 for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r.row_idx: r.t2 for r in model.diagnostics(df).collect()}
+
+
+@pytest.mark.parametrize("lower", [False, True])
+def test_quantiles_of_long_tables_are_those_of_short_ones(spark, lower, monkeypatch):
+    monkeypatch.setattr(quantiles, "FEW", 50)
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random(5000) < 0.4, 0.0, rng.normal(size=5000).round(2))
+    df = spark.createDataFrame([(float(v), None if i % 3 else float(i % 7)) for i, v in enumerate(x)], "x double, y double")
+    probabilities = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    assert quantiles.exact_quantiles(df, ["x", "y"], probabilities, lower, built_in=0) == pytest.approx(np.array(quantiles.exact_quantiles(df, ["x", "y"], probabilities, lower)))
+    assert quantiles.exact_mode(df, "x") == 0.0 and quantiles.exact_mode(df, "y") == 0.0
+
+
+def test_spectra_of_a_thousand_wavelengths(spark):
+    x = np.random.default_rng(5).normal(size=(60, 1000)) + np.linspace(0, 3, 1000)
+    names = [f"w{i}" for i in range(1000)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names)).repartition(3)
+    model = pca.fit(df, names, 3, Preprocess(snv=True))
+    z = (x - x.mean(1, keepdims=True)) / x.std(1, ddof=1, keepdims=True)
+    s = np.linalg.svd(z - z.mean(0), compute_uv=False)
+    assert np.allclose(model.eigenvalues[:59], s[:59] ** 2 / 59)
+
+
+def test_incomplete_rows_leave_residual_variance_and_have_scores(spark):
+    x = np.random.default_rng(8).normal(size=(50, 4)) @ np.diag([4, 2, 1, 0.5])
+    names = [f"f{j}" for j in range(4)]
+    df = _frame(spark, x.tolist()).withColumn("f2", F.when(F.col("row_idx") % 9 != 0, F.col("f2")))
+    model = pca.fit(df, names, 2, method="nipals", missing="native")
+    assert len(model.eigenvalues) == 4 and 0 < model.ratios.sum() < 100 and model.q_limit(0.95) > 0
+    scored = model.diagnostics(df)
+    assert scored.where("PC1 is null or PC2 is null or t2 is null or rss is null").count() == 0
+    s = scored.agg(*[(F.sum(F.col(p) * F.col(p)) / 49).alias(p) for p in model.labels]).first()
+    assert np.allclose([s[p] for p in model.labels], model.eigenvalues[:2])
+    assert pca.PCAModel.from_json(model.to_json()).transform(df).where("PC1 is null").count() == 0
+
+
+def test_hot_values_are_ranked_like_others(spark, monkeypatch):
+    monkeypatch.setattr(rows, "HOT", 3)
+    monkeypatch.setattr(rows, "SHARED", 20)
+    values = [0.0] * 50 + [float(i % 17) for i in range(100)] + [None]
+    df = spark.createDataFrame(list(enumerate(values)), "row_idx long, x double")
+    got = {r.row_idx: r["rank"] for r in rows.average_rank(df, "x").collect()}
+    known = sorted(v for v in values if v is not None)
+    assert len(got) == len(values)
+    for i, v in enumerate(values):
+        assert got[i] == (None if v is None else (known.index(v) + len(known) - known[::-1].index(v) - 1) / 2 + 0.5)
+
+
+def test_conventions_are_tried_in_turn(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("n;a\n" + "".join(f"r{i};{i},25\n" for i in range(5)))
+    assert tables.features(tables.read_any(spark, str(path))) == ["a"]
+    assert tables.file_format(spark, str(path)) == "csv"
+
+
+def test_all_groups_without_ellipses_raise(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0)], "g string, x double, y double")
+    assert analysis.ellipses_at_levels(df, "g", [("x", "y")]).count() == 0
+    with pytest.raises(ValueError):
+        analysis.ellipses_at_levels(df, "g", [("x", "y")], required=True)
+
+
+def test_analyses_by_kernel(spark):
+    found = analysis.analyse(_frame(spark, POINTS), ["f0", "f1"], 2, method="kernel", kernel_type="linear")
+    assert found.scores.count() == 10 and found.variance.count() == 2
+    with pytest.raises(ValueError):
+        analysis.analyse(_frame(spark, POINTS), ["f0"], 1, method="kernel", kernel_type="sigmoid")

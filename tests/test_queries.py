@@ -21,7 +21,7 @@ def duck():
 
 def _same(a, b):
     if isinstance(a, float) or isinstance(b, float):
-        return (a is None) == (b is None) and (a is None or math.isclose(a, float(b), rel_tol=1e-6, abs_tol=2e-5))
+        return (a is None) == (b is None) and (a is None or math.isclose(a, float(b), rel_tol=1e-9, abs_tol=1e-9))
     return a == b
 
 
