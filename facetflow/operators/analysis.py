@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetflow.functions.numbers import CHI_SQUARE_2
 from facetflow.operators import correlate, kernel, pca, rows, validate
-from facetflow.operators.preprocess import Preprocess
+from facetflow.operators.preprocess import Preprocess, scale_ratio
 
 
 @dataclass
@@ -53,6 +53,9 @@ def analyse(
         model = pca.fit(table, features, k, preprocess, method, missing)
         scores = model.diagnostics(table)
         out = Analysis(model, scores, model.variance(df.sparkSession), model.loading_rows(df.sparkSession), model.limits(), model.overview())
+        out.overview["scale_ratio"] = scale_ratio(table, features)
+        if (preprocess or Preprocess()).scale == "none" and (out.overview["scale_ratio"] or 1) > 100:
+            out.overview["warning"] = "the features' variances differ widely; scale them"
     labels = [c for c in scores.columns if c in {f"PC{i + 1}" for i in range(k)}]
     if numeric or categorical:
         out.correlations = correlate.eigencorrelations(scores, labels, list(numeric), list(categorical), correlation)
@@ -88,3 +91,33 @@ def score_covariance(scores: DataFrame, labels: list[str], ridge: float = 0.0) -
     pairs = [(a, b) for i, a in enumerate(labels) for b in labels[i:]]
     s = scores.agg(*[(F.covar_samp(a, b) + (ridge if a == b else 0.0)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     return s.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("covariance")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+
+
+def report(found: Analysis) -> dict[str, DataFrame]:
+    """Tables for a console: the first and last scores, loadings by component, variance and limits."""
+    labels = [c for c in found.scores.columns if c.startswith("PC") and c[2:].isdigit()]
+    scores = found.scores.select(*[c for c in ("row_idx", "row_name") if c in found.scores.columns], *labels)
+    out = {"scores": rows.head_and_tail(scores) if "row_idx" in scores.columns else scores.limit(20), "variance": found.variance}
+    if found.loadings is not None:
+        of = [F.max(F.when(F.col("pc") == p, F.col("value"))).alias(p) for p in labels]
+        out["loadings"] = found.loadings.groupBy("feature_idx", "feature").agg(*of).orderBy("feature_idx").drop("feature_idx")
+        out["limits"] = found.variance.sparkSession.createDataFrame(list(found.limits.items()), "name string, value double")
+    return out
+
+
+def save(found: Analysis, path: str, description: str = "") -> None:
+    """The model as JSON, and scores with all preserved columns, loadings, correlations and ellipses as Parquet, below ``path``.
+
+    Scores stay distributed; the JSON holds what has the size of the model.
+    """
+    spark = found.scores.sparkSession
+    if isinstance(found.model, pca.PCAModel):
+        spark.createDataFrame([(found.model.to_json(description),)], "value string").coalesce(1).write.text(f"{path}/model")
+    for name in ("scores", "variance", "loadings", "correlations", "ellipses"):
+        table = getattr(found, name)
+        if table is not None:
+            table.write.parquet(f"{path}/{name}")
+
+
+def load_model(spark: SparkSession, path: str) -> pca.PCAModel:
+    return pca.PCAModel.from_json("".join(r["value"] for r in spark.read.text(f"{path}/model").collect()))  # one line

@@ -30,6 +30,8 @@ from facetflow.operators.preprocess import DIVISOR, SHIFT, Preprocess, total
 DECLARED, MOST_FEATURES = 16, 8192
 #: Bytes of a block of matrix rows.
 BLOCK_BYTES = 1 << 20
+#: Patterns of gaps whose sums are gathered, at most.
+PATTERNS = 2048
 ALPHA = 0.001
 VERSION = "1.0"
 
@@ -327,18 +329,82 @@ def fit(df: DataFrame, features: list[str], k: int = 2, preprocess: Preprocess |
     return model
 
 
-def nipals_missing(x: DataFrame, features: list[str], k: int, center: bool = True, tolerance: float = 1e-8, rounds: int = 500) -> PCAModel:
+def nipals_missing(x: DataFrame, features: list[str], k: int, center: bool = True, tolerance: float = 1e-8, rounds: int = 1000) -> PCAModel:
     """NIPALS on incomplete rows: loadings and scores are regressions over the cells that are there.
 
-    A round is one aggregate over the table: with loadings p a row's score is its regression on p, and the new loadings
-    are the columns' regressions on those scores, so scores are never stored. Former components are subtracted in the
-    same projection. What the components leave is spread evenly over the eigenvalues beyond them. Raises if a component
-    doesn't settle.
+    Rows with the same gaps share the weights of those regressions, so all that a round asks for follows from the sums of
+    products by pattern of gaps: they take one aggregate, and rounds and deflation work on them alone. With more than
+    PATTERNS patterns a round is an aggregate over the table, in which scores are a projection and never stored. What the
+    components leave is spread evenly over the eigenvalues beyond them. Raises if a component doesn't settle.
     """
     m = len(features)
     means = x.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)]).first()
     shift = [float(means[i] or 0.0) if center else 0.0 for i in range(m)]
-    table = x.select(*[(F.col(c) - shift[i]).alias(f"x{i}") for i, c in enumerate(features)]).cache()
+    table = x.select(*[(F.col(c) - shift[i]).alias(f"x{i}") for i, c in enumerate(features)])
+    sums = _pattern_sums(table, m) if m <= DECLARED else None
+    if sums is None:
+        loadings, variances, n = _nipals_by_rounds(table, m, k, tolerance, rounds)
+    else:
+        loadings, variances, n = _nipals_by_patterns(*sums, k, tolerance, rounds)
+    pre = Preprocess(center=center, features=tuple(features), means=tuple(shift), deviations=(1.0,) * m)
+    return PCAModel(pre, loadings, np.array(variances), n, "nipals", extra={"incomplete": True})
+
+
+def _pattern_sums(table: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray, int] | None:
+    """(which cells are there, sums of products) by pattern of gaps, and the number of rows; None for too many patterns."""
+    names = [f"x{i}" for i in range(m)]
+    mask = total([F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(names)]).alias("mask")
+    cells = [(i, j) for i in range(m) for j in range(i, m)]
+    grouped = table.groupBy(mask).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"g{i}_{j}") for i, j in cells])
+    rows = grouped.limit(PATTERNS + 1).collect()
+    if len(rows) > PATTERNS:
+        return None
+    there = np.array([[bool(r["mask"] >> i & 1) for i in range(m)] for r in rows]).reshape(-1, m)
+    products = np.zeros((len(rows), m, m))
+    for i, j in cells:
+        products[:, i, j] = products[:, j, i] = [r[f"g{i}_{j}"] or 0.0 for r in rows]
+    return there, products, sum(r["n"] for r in rows)
+
+
+def _nipals_by_patterns(there: np.ndarray, products: np.ndarray, n: int, k: int, tolerance: float, rounds: int) -> tuple[np.ndarray, list[float], int]:
+    m = there.shape[1]
+    found, variances = [], []
+    for _ in range(k):
+        power = np.einsum("pii->i", products)
+        if power.max(initial=0) / max(n, 1) < tolerance:
+            break
+        p = np.zeros(m)
+        p[int(power.argmax())] = 1.0
+        for _ in range(rounds):
+            own = there * p
+            weight = (own**2).sum(1)
+            scale = np.where(weight > 0, 1 / np.where(weight > 0, weight, 1), 0)  # of a row's product to its score
+            both = np.einsum("pij,pj->pi", products, own) * scale[:, None]
+            square = (both * own).sum(1) * scale
+            under = there.T.astype(float) @ square
+            new = np.where(under > 0, both.sum(0) / np.where(under > 0, under, 1), 0.0)
+            new /= np.linalg.norm(new) or 1.0
+            move, p = float(np.linalg.norm(new - p)), new
+            if move < tolerance:
+                break
+        else:
+            raise ArithmeticError("a component did not converge")
+        p = signed(p[:, None])[:, 0]
+        own = there * p
+        weight = (own**2).sum(1)
+        scale = np.where(weight > 0, 1 / np.where(weight > 0, weight, 1), 0)
+        found.append(p)
+        variances.append(float((np.einsum("pi,pij,pj->p", own, products, own) * scale**2).sum()) / max(n - 1, 1))
+        step = np.eye(m) - own[:, :, None] * own[:, None, :] * scale[:, None, None]
+        products = step @ products @ step.transpose(0, 2, 1)
+    rest = float(np.einsum("pii->", products)) / max(n - 1, 1)
+    if found and len(found) < m:
+        variances += [rest / (m - len(found))] * (m - len(found))
+    return np.array(found).T if found else np.zeros((m, 0)), variances, n
+
+
+def _nipals_by_rounds(table: DataFrame, m: int, k: int, tolerance: float, rounds: int) -> tuple[np.ndarray, list[float], int]:
+    table = table.cache()
     zero = F.lit(0.0)
 
     def score(cells: list[Column], p: np.ndarray) -> Column:
@@ -378,5 +444,4 @@ def nipals_missing(x: DataFrame, features: list[str], k: int, center: bool = Tru
             variances += [rest / (m - len(found))] * (m - len(found))
     finally:
         table.unpersist()
-    pre = Preprocess(center=center, features=tuple(features), means=tuple(shift), deviations=(1.0,) * m)
-    return PCAModel(pre, np.array(found).T if found else np.zeros((m, 0)), np.array(variances), n, "nipals", extra={"incomplete": True})
+    return np.array(found).T if found else np.zeros((m, 0)), variances, n

@@ -133,6 +133,14 @@ def roles(df: DataFrame, columns: list[str], decimal: str = ".") -> DataFrame:
 def quality_report(df: DataFrame, numeric: list[str], categorical: list[str] = (), key: str = "row_idx") -> dict[str, object]:
     """Profiles, outlier counts, correlations, issues, recommendations and scores (0 to 100). Its size is that of the schema."""
     columns = [*numeric, *categorical]
+    df = df.select(*dict.fromkeys([*([key] if key in df.columns else []), *columns])).persist()  # read several times
+    try:
+        return _report(df, numeric, columns, key)
+    finally:
+        df.unpersist()
+
+
+def _report(df: DataFrame, numeric: list[str], columns: list[str], key: str) -> dict[str, object]:
     n = df.count()
     missing = {r["column"]: r for r in missing_profile(df, columns).collect()}
     profile = {r["column"]: r.asDict() for r in numeric_profile(df, numeric).collect()} if numeric else {}

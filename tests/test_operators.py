@@ -218,3 +218,23 @@ def test_analyses_by_kernel(spark):
     assert found.scores.count() == 10 and found.variance.count() == 2
     with pytest.raises(ValueError):
         analysis.analyse(_frame(spark, POINTS), ["f0"], 1, method="kernel", kernel_type="sigmoid")
+
+
+def test_patterns_and_rounds_agree(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(60, 5)) @ np.diag([5, 3, 2, 1, 1])
+    names = [f"f{j}" for j in range(5)]
+    df = _frame(spark, x.tolist()).withColumn("f1", F.when(F.col("row_idx") % 7 != 0, F.col("f1"))).withColumn("f3", F.when(F.col("row_idx") % 5 != 1, F.col("f3")))
+    one = pca.fit(df, names, 2, method="nipals", missing="native")
+    monkeypatch.setattr(pca, "PATTERNS", 1)
+    other = pca.fit(df, names, 2, method="nipals", missing="native")
+    assert np.allclose(one.loadings, other.loadings, atol=1e-6) and np.allclose(one.eigenvalues, other.eigenvalues)
+
+
+def test_analyses_are_saved_and_loaded(spark, tmp_path):
+    df = _frame(spark, POINTS).withColumn("g", F.when(F.col("row_idx") % 2 == 0, "a").otherwise("b"))
+    found = analysis.analyse(df, ["f0", "f1"], 2, group="g", categorical=["g"])
+    assert {k: v.count() for k, v in analysis.report(found).items()} == {"scores": 10, "variance": 2, "loadings": 2, "limits": 4}
+    analysis.save(found, str(tmp_path / "a"))
+    again = analysis.load_model(spark, str(tmp_path / "a"))
+    assert np.allclose(again.loadings, found.model.loadings)
+    assert spark.read.parquet(str(tmp_path / "a" / "scores")).columns == found.scores.columns
