@@ -8,16 +8,20 @@ Candidates. Table keys combine pairs from two smaller collections: m left and m
 m * m tables of 2 r minima, for 2 m r minhashes instead of 2 m m r. m is the least for which a pair at the threshold is
 missed with a probability of at most ``miss`` (a pair is found when it agrees in some left and in some right hash).
 Links. Texts of equal word sequences are one node. Nodes that share buckets, directly or through others, form a
-cluster. A cluster of up to GROUP nodes is compared within one task: counts of shared shingles by matrix products, of
-which only links come out. In a larger one all pairs are never compared: a pivot, the member whose shingles
-most others hold, is compared with each member. Let x not be linked with pivot P, and y be any other member. If x and y are linked, then
-either they share a shingle that P lacks, or both have so many shingles in common with P that those alone could reach
-the threshold. The second case names few pairs, which are compared. For the first, members meet again in buckets of
-(P, shingle that P lacks), where it is enough that x enters with as many of those shingles, rarest first, as leave no
-room for the overlap it needs (prefix filtering; any one order serves, so rarity is that of a table of fixed size).
-Buckets of one component are done. Of others, those of up to PAIRED members compare their members of different
-components with each other, and larger ones take a pivot of their own and go through the same round, until none is
-left. So within a cluster no link between components is lost.
+cluster. A cluster of up to GROUP nodes and BYTES of text is compared within one task: counts of shared shingles by
+matrix products, of which a star a component comes out. In a larger one all pairs are never compared: a pivot, the
+member whose shingles most others hold, is compared with each member. Let x and y be members that are linked, x not
+linked with pivot P. Either both hold a shingle that P lacks: members meet again in buckets of (P, shingle that P
+lacks), where it is enough that x enters with as many of those shingles, rarest first, as leave no room for the overlap
+it needs (prefix filtering; any one order serves, so rarity is that of a table of fixed size). Or all that they share
+lies in P: then each has the share ``threshold`` of its own shingles there, and their sizes differ by no more than that
+ratio, so they meet in buckets of (P, shingle of P, band of sizes), by the same kind of prefix and in two neighbouring bands.
+Buckets of one component are done. Of others, those of up to PAIRED members compare members of different components with
+each other; larger ones join their members to smaller clusters, which go the same way with pivots of
+their own until none is left; beside the central one, some members of the smallest components are pivots, so that a few
+strangers among many copies are soon done with. A member that was a pivot has met all others of its cluster and leaves. So
+within a cluster no link between components is lost: all ways are exact, and
+GROUP, BYTES and PAIRED only choose the cheaper one.
 Verification reads both texts and compares the full sets of 64-bit shingle hashes.
 
 Nothing is gathered at the driver; tables between rounds lie in the shared folder. Null and empty texts have
@@ -35,15 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.llm._shared import components, release, settle, with_keys
+from facetflow.llm._shared import bucket_components, components, counted, release, settle, with_keys
 from facetflow.llm._words import blocks, mix, shingles
 
 #: Minima in each left or right hash.
 ROWS = 3
-#: Documents that are compared within one task, and shared shingles to a matrix product.
-GROUP, COLUMNS = 256, 2048
-#: Members of a bucket that are compared with each other.
-PAIRED = 64
+#: Documents and bytes of text that are compared within one task, and shared shingles to a matrix product.
+GROUP, BYTES, COLUMNS = 2048, 16 << 20, 2048
+#: Pivots of small components in a round, and members of a bucket that are compared with each other.
+STRANGERS, PAIRED = 4, 24
 #: Size of the table of rarities, as a power of two.
 BITS = 21
 #: Pairs of ids (16 bytes each) that are broadcast.
@@ -151,33 +155,33 @@ def centrality(texts: DataFrame, rare: np.ndarray, k: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, texts: DataFrame, rare: np.ndarray, k: int, numerator: int, denominator: int) -> DataFrame:
-    """For pairs (pivot, doc): sizes of both sets, of what they share, and shingles of doc that the pivot lacks.
+    """For pairs (pivot, doc): sizes of both sets, of what they share, and shingles of doc that the pivot lacks and has.
 
-    Of those shingles as many as prefix filtering asks for, rarest first.
+    Of those shingles as many as prefix filtering asks for, rarest first; of those that the pivot has none where they
+    alone could not reach the threshold.
     """
     shared = pairs.sparkSession.sparkContext.broadcast(rare)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts_of, mask = shared.value, _U((1 << BITS) - 1)
         for batch in batches:
-            sizes, lacking, at = [], [], [0]
+            sizes, lacking, inside = [], [], []
             for (n, x, bx, _), (_, y, by, _) in _together(batch.column(2), batch.column(3), k):
                 for i in range(n):
                     p, q = np.unique(x[bx[i] : bx[i + 1]]), np.unique(y[by[i] : by[i + 1]])
-                    own = np.setdiff1d(q, p, assume_unique=True)
-                    both = len(q) - len(own)
-                    least = max(1, -(-(numerator * len(q) - denominator * both) // denominator))
-                    order = np.lexsort((own, counts_of[(own & mask).astype(np.int64)]))
-                    own = own[order[: max(0, len(own) - least + 1)]]
+                    q = q[np.lexsort((q, counts_of[(q & mask).astype(np.int64)]))]
+                    has = np.isin(q, p, assume_unique=True)
+                    both = int(has.sum())
+                    least = -(-(numerator * len(q) - denominator * both) // denominator)  # shared beyond the pivot
                     sizes.append((len(p), len(q), both))
-                    lacking.append(own)
-                    at.append(at[-1] + len(own))
-            flat = np.concatenate(lacking) if lacking else np.zeros(0, np.uint64)
+                    lacking.append(q[~has][: max(0, len(q) - both - max(1, least) + 1)])
+                    inside.append(q[has][: both + 1 - -(-numerator * len(q) // denominator)] if least <= 0 else q[:0])
             counts = np.array(sizes, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(counts[:, i]) for i in range(3)], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))],
-                names=["pivot", "doc", "pivot_size", "size", "both", "lacking"],
-            )
+            lists = []
+            for own in (lacking, inside):
+                flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
+                lists.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in own])), pa.int32()), pa.array(flat.view(np.int64))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(counts[:, i]) for i in range(3)], *lists], names=["pivot", "doc", "pivot_size", "size", "both", "lacking", "inside"])
 
     left = texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("text_p"))
     right = texts.select(F.col("doc_id").alias("doc"), F.col("text").alias("text_d"))
@@ -185,7 +189,7 @@ def compared(pairs: DataFrame, texts: DataFrame, rare: np.ndarray, k: int, numer
         pairs = F.broadcast(pairs)
         right = right.join(F.broadcast(pairs.select("doc").distinct()), "doc", "left_semi")
     both = pairs.join(left, "pivot").join(right, "doc").select("pivot", "doc", "text_p", "text_d")
-    return both.mapInArrow(run, "pivot long, doc long, pivot_size long, size long, both long, lacking array<long>")
+    return both.mapInArrow(run, "pivot long, doc long, pivot_size long, size long, both long, lacking array<long>, inside array<long>")
 
 
 def _together(left: pa.Array, right: pa.Array, k: int, rows: int = 64) -> Iterator[tuple]:
@@ -228,64 +232,81 @@ def near_duplicates(documents: DataFrame, k: int = 3, numerator: int = 85, denom
 
 def _link(buckets: DataFrame, texts: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
     """(node_id, label) of all documents that have links."""
-    first = buckets.groupBy("key").agg(F.min("doc").alias("a"))
-    edges = buckets.join(first, "key").select("a", F.col("doc").alias("b")).distinct()
-    clusters = components(edges).select(F.col("node").alias("doc"), F.col("label").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    clusters = settle(clusters.join(sizes, "cluster"))
-    links = settle(_within(clusters.where(f"n <= {GROUP}"), texts, k, numerator, denominator))
-    large = clusters.where(f"n > {GROUP}")
-    if not large.isEmpty():
-        members = large.select(F.col("doc").alias("doc_id"))
-        rare = rarity(texts.join(members, "doc_id", "left_semi"), k)
-        central = settle(centrality(texts.join(members, "doc_id", "left_semi"), rare, k))
-        links = _rounds(large.select(F.col("cluster").alias("key"), "doc"), central, links, texts, rare, k, numerator, denominator)
+    clusters, large = _clusters(buckets, texts)
+    links = settle(_within(clusters.where("together"), texts, k, numerator, denominator))
+    if large:
+        groups = clusters.where("NOT together").select(F.col("cluster").alias("key"), "doc")
+        members = settle(texts.join(groups.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"))
+        rare = rarity(members, k)
+        central = settle(centrality(members, rare, k))
+        links = _rounds(groups, central, links, members, rare, k, numerator, denominator)
     return components(links).select(F.col("node").alias("node_id"), "label")
 
 
+def _clusters(buckets: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
+    """(doc, cluster, whether the cluster is small enough to be compared in one task) of documents that share buckets, and
+    how many are in larger ones."""
+    clusters = settle(bucket_components(buckets))
+    bytes_of = texts.select(F.col("doc_id").alias("doc"), F.octet_length("text").cast("long").alias("bytes"))
+    sizes = clusters.join(bytes_of, "doc").groupBy("cluster").agg((F.expr(f"count(1) <= {GROUP} AND sum(bytes) <= {BYTES}")).alias("together"))
+    return counted(clusters.join(sizes, "cluster").select("doc", "cluster", "together"), ~F.col("together"))
+
+
 def _rounds(groups: DataFrame, central: DataFrame, links: DataFrame, texts: DataFrame, rare: np.ndarray, k: int, numerator: int, denominator: int) -> DataFrame:
-    """``links`` and those within ``groups`` (key, doc)."""
+    """``links`` and those within ``groups`` (key, doc), which are disjoint."""
     linked = f"{denominator} * both >= {numerator} * (size + pivot_size - both)"
     edge = (F.col("pivot").alias("a"), F.col("doc").alias("b"))
+    labels = components(links).select(F.col("node").alias("doc"), "label")
     while True:
-        ranked = groups.join(central, "doc")
-        pivot = ranked.groupBy("key").agg(F.max(F.struct("degree", "doc")).alias("top")).select("key", F.col("top.doc").alias("pivot"))
-        pairs = settle(ranked.join(pivot, "key").where("doc <> pivot").select("pivot", "doc").distinct())
+        ranked = groups.join(central, "doc").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+        sizes = ranked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("alike"))
+        ranked = settle(ranked.join(sizes, ["key", "label"]))
+        strangers = [F.min(F.struct("alike", F.xxhash64("doc", F.lit(i)).alias("h"), "doc")).alias(f"p{i}") for i in range(STRANGERS)]
+        pivots = ranked.groupBy("key").agg(F.max(F.struct("degree", "doc")).alias("top"), *strangers)
+        pivots = settle(pivots.select("key", F.col("top.doc").alias("main"), F.array_distinct(F.array("top.doc", *[f"p{i}.doc" for i in range(STRANGERS)])).alias("pivots")))
+        pairs = settle(ranked.join(pivots, "key").select("doc", F.explode("pivots").alias("pivot")).where("doc <> pivot"))
         found = settle(compared(pairs, texts, rare, k, numerator, denominator))
         links = settle(links.union(found.where(linked).select(*edge)))
-        labels = components(links).select(F.col("node").alias("node_id"), "label")
-
-        # what unlinked members share with the pivot may alone reach the threshold with a smaller member
-        enough = f"({numerator + denominator}) * least(x.both, y.both) >= {numerator} * (x.size + y.size)"
-        alone = found.where(f"NOT ({linked})").alias("x").join(found.alias("y"), F.expr(f"x.pivot = y.pivot AND x.doc <> y.doc AND {enough}"))
-        alone = alone.select(F.col("x.doc").alias("pivot"), F.col("y.doc").alias("doc"))
-
-        met = found.select("doc", F.explode("lacking").alias("shingle"), "pivot").select(F.xxhash64("pivot", "shingle").alias("key"), "doc").distinct()
-        more = met.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        met = met.join(more, "key").join(labels, F.col("doc") == F.col("node_id"), "left").select("key", "doc", "members", F.coalesce("label", "doc").alias("label"))
-        met = settle(met)
+        labels = components(links).select(F.col("node").alias("doc"), "label")
+
+        done = pivots.select(F.explode("pivots").alias("doc"))
+        rest = found.join(pivots.select(F.col("main").alias("pivot")), "pivot", "left_semi").join(done, "doc", "left_anti")
+        band = F.floor(F.log(F.col("size").cast("double")) / (max(math.log(denominator / numerator), 1e-9) * 1.000001))
+        within = rest.select("doc", "pivot", F.explode("inside").alias("shingle"), F.array(band, band + 1).alias("bands"))
+        within = within.select("doc", "pivot", "shingle", F.explode("bands").alias("band")).select(F.xxhash64("pivot", "shingle", "band").alias("key"), "doc")
+        met = rest.select("doc", F.explode("lacking").alias("shingle"), "pivot").select(F.xxhash64("pivot", "shingle").alias("key"), "doc").union(within).distinct()
+        met = settle(met.join(labels, "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label")))
         mixed = met.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        met = settle(met.join(mixed, "key"))
+        more = met.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+        met, many = counted(met.join(mixed, "key").join(more, "key"), F.col("members") > PAIRED)
         few = met.where(f"members <= {PAIRED}")
         few = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key AND x.doc < y.doc AND x.label <> y.label")).select(F.col("x.doc").alias("pivot"), F.col("y.doc").alias("doc"))
-        direct = settle(_apart(alone.union(few).distinct(), labels))
+        direct = settle(few.distinct())
         links = settle(links.union(compared(direct, texts, rare, k, numerator, denominator).where(linked).select(*edge)))
-        many = met.where(f"members > {PAIRED}")
-        if many.isEmpty():
+        if not many:
             return links
-        groups = many.select("key", "doc")
+        clusters, large = _clusters(met.where(f"members > {PAIRED}"), texts)
+        links = settle(links.union(_within(clusters.where("together"), texts, k, numerator, denominator)))
+        if not large:
+            return links
+        groups = clusters.where("NOT together").select(F.col("cluster").alias("key"), "doc")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose members are of different components."""
-    one = labels.select(F.col("node_id").alias("pivot"), F.col("label").alias("one"))
-    other = labels.select(F.col("node_id").alias("doc"), F.col("label").alias("other"))
-    both = pairs.join(one, "pivot", "left").join(other, "doc", "left")
-    return both.where(F.coalesce("one", "pivot") != F.coalesce("other", "doc")).select("pivot", "doc")
+def _smallest(docs: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """The smallest of the documents that links lead to, for each one."""
+    label, done = docs.copy(), np.zeros(len(docs), bool)
+    for start in np.argsort(docs, kind="stable"):
+        if not done[start]:
+            reached = front = np.arange(len(docs)) == start
+            while front.any():
+                front = linked[front].any(0) & ~reached
+                reached = reached | front
+            label[reached], done = docs[start], done | reached
+    return label
 
 
 def _within(clusters: DataFrame, texts: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
-    """Links within clusters of at most GROUP documents, each compared in one task."""
+    """(a, b): a star a component of clusters that are compared in one task each."""
 
     def run(table: pa.Table) -> pa.Table:
         docs = table.column("doc_id").to_numpy()
@@ -308,21 +329,14 @@ def _within(clusters: DataFrame, texts: DataFrame, k: int, numerator: int, denom
                 there[owner[part], code[part] - c * COLUMNS] = 1
                 both += there @ there.T
         linked = denominator * both.astype(np.int64) >= numerator * (size[:, None] + size - both.astype(np.int64))
-        i, j = np.nonzero(np.triu(linked, 1))
-        return pa.table({"a": docs[i], "b": docs[j]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        first = _smallest(docs, linked)
+        rest = first != docs
+        return pa.table({"a": first[rest], "b": docs[rest]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     members = clusters.select(F.col("doc").alias("doc_id"), "cluster")
     return members.join(texts, "doc_id").groupBy("cluster").applyInArrow(run, "a long, b long")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose members are of different components."""
-    one = labels.select(F.col("node_id").alias("pivot"), F.col("label").alias("one"))
-    other = labels.select(F.col("node_id").alias("doc"), F.col("label").alias("other"))
-    both = pairs.join(one, "pivot", "left").join(other, "doc", "left")
-    return both.where(F.coalesce("one", "pivot") != F.coalesce("other", "doc")).select("pivot", "doc")
-
-
 def kept_documents(documents: DataFrame, **how: int | float) -> DataFrame:
     """The rows of which each component keeps one, that of the smallest doc_id (nulls last), with all their columns.
 
@@ -330,8 +344,10 @@ def kept_documents(documents: DataFrame, **how: int | float) -> DataFrame:
     """
     rows = with_keys(documents)
     text = rows.select(F.col("__key").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = settle(near_duplicates(text, **how).where("kept").select(F.col("doc_id").alias("__key"), "n_shingles"))
-    bare = rows.join(found.where("coalesce(n_shingles, 0) = 0").select("__key"), "__key", "left_semi")
-    one = bare.where("text is not null").groupBy("text").agg(F.min("__key").alias("__key")).select("__key")
-    keep = found.where("n_shingles > 0").select("__key").union(one).union(bare.where("text is null").select("__key"))
+    found = settle(near_duplicates(text, **how).select(F.col("doc_id").alias("__key"), "n_shingles", F.col("component_id").alias("__group")))
+    bare = rows.join(found.where("coalesce(n_shingles, 0) = 0").select("__key"), "__key", "left_semi").select("__key", "doc_id", "text")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__key"))
+    one = bare.where("text is not null").groupBy("text").agg(first.alias("f")).select("f.__key")
+    group = rows.select("__key", "doc_id").join(found.where("n_shingles > 0"), "__key").groupBy("__group").agg(first.alias("f")).select("f.__key")
+    keep = group.union(one).union(bare.where("text is null").select("__key"))
     return rows.join(keep, "__key", "left_semi").select(*documents.columns)

@@ -171,11 +171,12 @@ def test_packing_covers_every_id_once(documents):
         assert at <= 4096
 
 
-def test_near_duplicates_against_brute_force(documents):
+def _components(texts, k=3, numerator=85, denominator=100):
+    """Sizes of sets and smallest linked ids by comparing all pairs."""
     sets = {}
-    for r in documents.collect():
-        w = words(r.text)
-        sets[r.doc_id] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set())
+    for d, text in texts.items():
+        w = words(text)
+        sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
     label = {d: d for d in sets}
 
     def root(d):
@@ -187,11 +188,46 @@ def test_near_duplicates_against_brute_force(documents):
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             both = len(sets[a] & sets[b])
-            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if denominator * both >= numerator * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((root(a), root(b)))
                 label[y] = x
+    return {d: (len(sets[d]), root(d)) for d in sets}
+
+
+def test_near_duplicates_against_brute_force(documents):
     got = neardup.near_duplicates(documents).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {d: (len(sets[d]), root(d)) for d in sets}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == _components({r.doc_id: r.text for r in documents.collect()})
+
+
+@pytest.mark.parametrize("group, strangers, copies", [(256, 4, 257), (12, 1, 60), (20, 4, 90), (256, 4, 120)])
+def test_near_duplicates_in_clusters_of_each_size(spark, monkeypatch, group, strangers, copies):
+    """Groups that drift apart, lie within longer texts, or share a template that alone is just too little."""
+    monkeypatch.setattr(neardup, "GROUP", group)
+    monkeypatch.setattr(neardup, "STRANGERS", strangers)
+    rng = np.random.default_rng(group + copies)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    texts, drift = {}, list(base)
+    for i in range(copies):
+        text = list(base)
+        if i % 4 == 1:  # a chain
+            drift[int(rng.integers(0, 120))] = f"c{i}"
+            text = list(drift)
+        elif i % 4 == 2:  # within the base, and alike among themselves
+            text = base[: 84 + i % 7] + [f"t{i % 9}"]
+        elif i % 4 == 3:  # a template with words of one's own
+            text = base[:110] + [f"o{i}-{j}" for j in range(int(rng.integers(1, 14)))]
+        texts[i] = " ".join(text)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    # one bucket for all: what is tested is what becomes of a cluster
+    monkeypatch.setattr(neardup, "signatures", _one_bucket(neardup.signatures))
+    got = neardup.near_duplicates(rows).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == _components(texts)
+
+
+def _one_bucket(signatures):
+    from pyspark.sql import functions as F
+
+    return lambda *how: signatures(*how).withColumn("keys", F.array(F.lit(1).cast("long")))
 
 
 def test_encoding_is_that_of_the_library(documents):
