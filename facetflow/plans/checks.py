@@ -119,17 +119,25 @@ def _customers(spark: SparkSession, folder: str) -> DataFrame:
     return _t(spark, folder, "customer").select(*CUSTOMER)
 
 
-def _lines(spark: SparkSession, rows_: DataFrame, header: str, cells: list, separator: str) -> str:
-    """One text file of a header and the rows in order of c_custkey."""
+def _cells(spark: SparkSession, rows_: DataFrame, header: str, cells: list, separator: str) -> str:
+    """Delimited files of the rows in order of c_custkey, each with the header."""
     path = _folder(spark)
-    body = rows_.select(F.col("c_custkey").alias("i"), F.concat_ws(separator, *cells).alias("value"))
-    spark.createDataFrame([(-1, header)], "i long, value string").unionByName(body).repartition(1).sortWithinPartitions("i").select("value").write.text(path)
+    named = [(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(cells, header.split(separator), strict=True)]
+    rows_.orderBy("c_custkey").select(*named).write.csv(path, header=True, sep=separator)
+    return path
+
+
+def _lines(spark: SparkSession, rows_: DataFrame, top: list[str], cells: list, separator: str) -> str:
+    """Text files of the lines ``top`` and the rows in order of c_custkey; null cells leave their rows too narrow."""
+    path = _folder(spark)
+    head = spark.createDataFrame([(i - len(top), x) for i, x in enumerate(top)], "i long, value string")
+    head.unionByName(rows_.select(F.col("c_custkey").alias("i"), F.concat_ws(separator, *cells).alias("value"))).orderBy("i").select("value").write.text(path)
     return path
 
 
 def _european(spark: SparkSession, folder: str) -> str:
     balance = F.when(F.col("c_custkey") % 5 == 0, F.lit("NA")).otherwise(F.replace(F.col("c_acctbal").cast("string"), F.lit("."), F.lit(",")))
-    return _lines(spark, _customers(spark, folder), "name;balance;segment;key#target", [F.concat(F.lit("C"), F.col("c_custkey")), balance, "c_mktsegment", F.col("c_custkey").cast("string")], ";")
+    return _cells(spark, _customers(spark, folder), "name;balance;segment;key#target", [F.concat(F.lit("C"), F.col("c_custkey")), balance, "c_mktsegment", F.col("c_custkey").cast("string")], ";")
 
 
 _READ = "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_idx, 'C' || c_custkey AS row_name, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_acctbal AS DOUBLE) END AS balance, c_mktsegment AS segment, CAST(c_custkey AS DOUBLE) AS \"key#target\" FROM customer"
@@ -157,7 +165,7 @@ def read_part_of_csv(spark, folder):
 def read_numeric_csv(spark, folder):
     from dataclasses import replace
 
-    path = _lines(spark, _customers(spark, folder), "key,balance", [F.col("c_custkey").cast("string"), F.col("c_acctbal").cast("string")], ",")
+    path = _cells(spark, _customers(spark, folder), "key,balance", [F.col("c_custkey").cast("string"), F.col("c_acctbal").cast("string")], ",")
     return tables.read_numeric(spark, path, replace(tables.DEFAULT, row_names=False))
 
 
@@ -167,8 +175,8 @@ def refused_csv(spark, folder):
     from dataclasses import replace
 
     plain = replace(tables.DEFAULT, row_names=False)
-    text = _lines(spark, _customers(spark, folder), "key,segment", [F.col("c_custkey").cast("string"), "c_mktsegment"], ",")
-    ragged = _lines(spark, _customers(spark, folder), "key,balance", [F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey").cast("string")), F.col("c_acctbal").cast("string")], ",")
+    text = _cells(spark, _customers(spark, folder), "key,segment", [F.col("c_custkey").cast("string"), "c_mktsegment"], ",")
+    ragged = _lines(spark, _customers(spark, folder), ["key,balance"], [F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey").cast("string")), F.col("c_acctbal").cast("string")], ",")
     said = []
     for name, path in (("text", text), ("ragged", ragged)):
         try:
@@ -183,19 +191,16 @@ def read_quoted_newlines(spark, folder):
     from dataclasses import replace
 
     path = _folder(spark)
-    rows_ = _customers(spark, folder).select("c_custkey", F.concat("c_mktsegment", F.lit("\nx, y")).alias("note")).repartition(1).sortWithinPartitions("c_custkey").select("note")
-    rows_.write.csv(path, header=True, quoteAll=True)
+    rows_ = _customers(spark, folder).select("c_custkey", F.concat("c_mktsegment", F.lit("\nx, y")).alias("note"))
+    rows_.orderBy("c_custkey").select("note").write.csv(path, header=True, quoteAll=True)
     return tables.read_text(spark, path, replace(tables.DEFAULT, row_names=False, multi_line=True))
 
 
 @query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_idx, 'C' || c_custkey AS row_name, c_mktsegment AS segment FROM customer WHERE c_custkey < (SELECT min(c_custkey) + 50 FROM customer)")
 def wizard_import(spark, folder):
     """A title line above the header, names in a later column, chosen columns, a limit of rows."""
-    body = _customers(spark, folder)
-    path = _folder(spark)
-    lines = body.select(F.col("c_custkey").alias("i"), F.concat_ws("\t", F.col("c_acctbal").cast("string"), F.concat(F.lit("C"), F.col("c_custkey")), "c_mktsegment").alias("value"))
-    top = spark.createDataFrame([(-2, "Customers of the year"), (-1, "balance\tname\tsegment")], "i long, value string")
-    top.unionByName(lines).repartition(1).sortWithinPartitions("i").select("value").write.text(path)
+    cells = [F.col("c_acctbal").cast("string"), F.concat(F.lit("C"), F.col("c_custkey")), "c_mktsegment"]
+    path = _lines(spark, _customers(spark, folder), ["Customers of the year", "balance\tname\tsegment"], cells, "\t")
     return tables.read_wizard(spark, path, "\t", header_row=1, row_name_column="name", columns=("segment",), max_rows=50)
 
 
@@ -208,7 +213,7 @@ def file_formats(spark, folder):
 @query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_idx, CAST(c_custkey AS BIGINT) AS c_custkey, CAST(c_acctbal AS DOUBLE) AS c_acctbal, c_mktsegment FROM customer")
 def read_json_records(spark, folder):
     path = _folder(spark)
-    _customers(spark, folder).repartition(1).sortWithinPartitions("c_custkey").write.json(path)
+    _customers(spark, folder).orderBy("c_custkey").write.json(path)
     return tables.read_json(spark, path).select("row_idx", "c_custkey", "c_acctbal", "c_mktsegment")
 
 
