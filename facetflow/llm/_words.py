@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
+# what Arrow frees goes back to the system at once, as several workers share an executor's memory
+pa.set_memory_pool(pa.system_memory_pool())
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -87,6 +89,16 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def run_hashes(values: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` values from each one on, for whole numbers."""
+    n = len(values)
+    if n < size:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(values.astype(np.uint64)) * _power(_BASE, n), out=total[1:])
+    return mix((total[size:] - total[: n - size + 1]) * _power(_INVERSE, n)[: n - size + 1])
+
+
 def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts in a row, and where each begins; nulls are empty."""
     if pa.types.is_dictionary(texts.type):
