@@ -164,6 +164,8 @@ def is_target(column: str, targets: tuple[str, ...] = ()) -> bool:
 def infer_roles(text: DataFrame, options: ReadOptions = DEFAULT) -> dict[str, str]:
     """numeric, categorical or target by column; from the first ``sample_rows`` rows, or all where that is None."""
     columns = [c for c in text.columns if c not in ("row_idx", "row_name")]
+    if not columns:
+        return {}
     rows = text if options.sample_rows is None else text.where(F.col("row_idx") < options.sample_rows)
     s = rows.agg(*[F.coalesce(F.every(is_numeric(F.coalesce(F.col(c), F.lit("")), options.decimal, options.tokens)), F.lit(True)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     return {c: "target" if is_target(c, options.targets) else "numeric" if s[f"c{i}"] else "categorical" for i, c in enumerate(columns)}

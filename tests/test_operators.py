@@ -196,7 +196,7 @@ def test_hot_values_are_ranked_like_others(spark, monkeypatch):
     known = sorted(v for v in values if v is not None)
     assert len(got) == len(values)
     for i, v in enumerate(values):
-        assert got[i] == (None if v is None else (known.index(v) + len(known) - known[::-1].index(v) - 1) / 2 + 0.5)
+        assert got[i] == (None if v is None else (known.index(v) + 1 + len(known) - known[::-1].index(v)) / 2)
 
 
 def test_conventions_are_tried_in_turn(spark, tmp_path):
