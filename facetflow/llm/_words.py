@@ -8,7 +8,9 @@ a block of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,20 @@ _BYTES[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
 _powers: dict[str, np.ndarray] = {}
 
 
+def trimmed(run: Callable) -> Callable:
+    """``run`` over batches, after which the worker gives the memory of the task back to the system."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return task
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers in which every bit depends on all."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetflow.llm._words import trimmed
 from facetflow.llm.wordbpe import WordEncoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -182,4 +183,4 @@ def pack(
         yield from out()
 
     loss_from = F.col(loss_column).cast("long") if loss_column else F.lit(0).cast("long")
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), loss_from.alias("loss_from")).mapInArrow(run, SCHEMA)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), loss_from.alias("loss_from")).mapInArrow(trimmed(run), SCHEMA)

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.llm._shared import settle
+from facetflow.llm._words import trimmed
 
 #: Letters that a character may stand for, besides itself.
 LOOKS = {
@@ -49,7 +50,7 @@ PREFIXES = (4, 5, 6)
 #: Stands for both ends of a word, and for letters beyond the alphabet.
 BOUND, OTHER = "^", "\ufffd"
 #: Words and log probabilities that a task remembers.
-KNOWN = 200_000
+KNOWN = 60_000
 
 
 def _doubled(word: str) -> bool:
@@ -280,7 +281,7 @@ def character_counts(documents: DataFrame, alphabet: int) -> dict[str, int]:
                 n = np.bincount(place, times[own[:-2][own[2:] == own[:-2]]], len(gram)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], names=["gram", "n"])
 
-    found = settle(documents.select(F.col("text").cast("string")).mapInArrow(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    found = settle(documents.select(F.col("text").cast("string")).mapInArrow(trimmed(grams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     low = 2097151
     letters = found.groupBy(F.col("gram").bitwiseAND(F.lit(low)).alias("letter")).agg(F.sum("n").alias("n")).where(F.col("letter") != ord(BOUND)).orderBy(F.desc("n"), "letter").limit(alphabet)
     common = [r["letter"] for r in letters.collect()] + [ord(BOUND)]
@@ -320,7 +321,7 @@ def learn(
                 yield pa.RecordBatch.from_arrays([names, pa.array(np.append(cell % 2, [0, 1]), pa.int32()), pa.array(np.append(n, np.bincount(toxic, minlength=2)), pa.int64())], names=["feature", "toxic", "n"])
 
     of = lambda label: F.sum(F.when(F.col("toxic") == label, F.col("n")).otherwise(0))
-    counts = settle(rows.mapInArrow(count, "feature string, toxic int, n long").groupBy("feature").agg(of(1).alias("t"), of(0).alias("c")))
+    counts = settle(rows.mapInArrow(trimmed(count), "feature string, toxic int, n long").groupBy("feature").agg(of(1).alias("t"), of(0).alias("c")))
     size = counts.where("feature = ''").first()
     n_toxic, n_clean = (size["t"], size["c"]) if size else (0, 0)
     prior = math.log((n_toxic + 0.5) / (n_clean + 0.5)) if n_toxic + n_clean else -1.0
@@ -345,7 +346,7 @@ def _fit(model: ToxicityModel, rows: DataFrame, steps: int, penalty: float) -> N
                 at = np.searchsorted(text, np.arange(batch.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(feature, pa.int32()))], names=["toxic", "features"])
 
-    same = rows.mapInArrow(run, "toxic int, features array<int>").groupBy("toxic", "features").agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "features").collect()
+    same = rows.mapInArrow(trimmed(run), "toxic int, features array<int>").groupBy("toxic", "features").agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "features").collect()
     label, times = np.array([r["toxic"] for r in same], float), np.array([r["n"] for r in same], float)
     sizes = np.array([len(r["features"]) for r in same])
     column, row = np.array([f for r in same for f in r["features"]], np.int64), np.repeat(np.arange(len(same)), sizes)
@@ -372,7 +373,7 @@ def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(trimmed(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def kept_documents(documents: DataFrame, labels: DataFrame, **how: int | float) -> DataFrame:
@@ -386,4 +387,4 @@ def kept_documents(documents: DataFrame, labels: DataFrame, **how: int | float)
             for batch in _rows(whole):
                 yield batch.filter(pa.array(own.scores(batch.column(text)) < 0.5))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(trimmed(run), documents.schema)
