@@ -79,10 +79,37 @@ def op10_quotation_linking(spark: SparkSession, folder: str) -> DataFrame:
     return formatted(reply_ordered(linked_messages(_table(spark, folder, "conversations"))))
 
 
+def op13_radix_selection(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from facetflow.llm.negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(_table(spark, folder, "embeddings"), F.col("id") % 50 == 0, label=label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()]
     return {f.__name__: f for f in found}
 
 
+#: Rows whose vectors take part, and all windows by plain joins and ranks.
+OP13_SQL = """
+with v as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.id as anchor, b.id, a.label = b.label as same, list_inner_product(a.q, b.q)::bigint as score
+  from v a join v b on a.id % 50 = 0 and a.id <> b.id
+), p as (
+  select anchor, id, score from s where same qualify row_number() over (partition by anchor order by score desc, id) <= 5
+)
+select p.anchor as anchor_id, p.id as positive_id, (row_number() over (partition by p.anchor, p.id order by s.score desc, s.id))::int as rank,
+  s.id as negative_id, p.score as positive_score, s.score as negative_score
+from p join s on p.anchor = s.anchor and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score
+qualify row_number() over (partition by p.anchor, p.id order by s.score desc, s.id) <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_radix_selection": OP13_SQL}
