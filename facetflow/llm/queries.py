@@ -79,6 +79,12 @@ def op10_quotation_linking(spark: SparkSession, folder: str) -> DataFrame:
     return formatted(reply_ordered(linked_messages(_table(spark, folder, "conversations"))))
 
 
+def op11_cover_tree(spark: SparkSession, folder: str) -> DataFrame:
+    from facetflow.llm.covertree import near_duplicates
+
+    return near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def op13_radix_selection(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -93,6 +99,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Links by a plain join of each label, components by following them.
+OP11_SQL = """
+with recursive v as (
+  select vec_id as id, label, list_transform(embedding, lambda x: x::double) as x from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.id as a, b.id as b from v a join v b on a.label = b.label and a.id <> b.id and list_cosine_similarity(a.x, b.x) >= 0.93
+), reach(id, other) as (
+  select vec_id, vec_id from embeddings union select r.id, l.b from reach r join links l on l.a = r.other
+)
+select e.vec_id, (select count(*) from links l where l.a = e.vec_id) as n_links, c.component_id, c.component_id = e.vec_id as kept
+from embeddings e join (select id, min(other) as component_id from reach group by id) c on c.id = e.vec_id
+"""
+
 #: Rows whose vectors take part, and all windows by plain joins and ranks.
 OP13_SQL = """
 with v as (
@@ -112,4 +132,4 @@ qualify row_number() over (partition by p.anchor, p.id order by s.score desc, s.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_radix_selection": OP13_SQL}
+    return {"op11_cover_tree": OP11_SQL, "op13_radix_selection": OP13_SQL}
