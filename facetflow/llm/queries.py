@@ -85,6 +85,12 @@ def op11_cover_tree(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "embeddings"))
 
 
+def op12_radix_tries(spark: SparkSession, folder: str) -> DataFrame:
+    from facetflow.llm.tries import divergence
+
+    return divergence(_table(spark, folder, "documents"))
+
+
 def op13_radix_selection(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -113,6 +119,40 @@ select e.vec_id, (select count(*) from links l where l.a = e.vec_id) as n_links,
 from embeddings e join (select id, min(other) as component_id from reach group by id) c on c.id = e.vec_id
 """
 
+#: A row a term, and every kept term for every group.
+OP12_SQL = r"""
+with d as (
+  select row_number() over () as row_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents
+), t as (
+  select row_id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d
+), kept as (
+  select lang, term from t group by lang, term having count(distinct row_id) >= 30
+), c as (
+  select lang, source, term, count(*) as n from t semi join kept using (lang, term) group by all
+), g as (
+  select distinct lang, source from d
+), every as (
+  select g.lang, g.source, kept.term, coalesce(c.n, 0) as n from g join kept on g.lang = kept.lang left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term
+), v as (
+  select lang, count(*) as v from kept group by lang
+), l as (
+  select lang, term, 1 + (1000000000::hugeint * (sum(n) + 5)) // (sum(sum(n)) over (partition by lang) + 5 * v) as q from every join v using (lang) group by lang, term, v
+), p as (
+  select lang, source, term, n, 1 + (1000000000::hugeint * (n + 5)) // (sum(n) over (partition by lang, source) + 5 * v) as p from every join v using (lang)
+), pairs as (
+  select a.lang, a.source, b.source as item, coalesce(s.value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+    left join (select x.lang, x.source, y.source as other, sum(abs(x.p - y.p)) as value from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all) s
+    on s.lang = a.lang and s.source = a.source and s.other = b.source
+), parts as (
+  select lang, source, 'pair' as part, item, value from pairs
+  union all select p.lang, p.source, 'term', p.term, p.p - l.q from p join l using (lang, term) where p.n > 0 and p.p > l.q
+)
+select lang, source, part, item, value::bigint as value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+from parts qualify part = 'pair' or rank <= 50
+"""
+
 #: Rows whose vectors take part, and all windows by plain joins and ranks.
 OP13_SQL = """
 with v as (
@@ -132,4 +172,4 @@ qualify row_number() over (partition by p.anchor, p.id order by s.score desc, s.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_cover_tree": OP11_SQL, "op13_radix_selection": OP13_SQL}
+    return {"op11_cover_tree": OP11_SQL, "op12_radix_tries": OP12_SQL, "op13_radix_selection": OP13_SQL}
