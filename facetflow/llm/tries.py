@@ -28,7 +28,8 @@ from facetflow.llm._shared import settle
 from facetflow.llm._words import as_bytes
 
 PIECE = 4_096
-FLUSH_LEAVES = 400_000  # of a task's counters, before they are written as tries
+SHARED = 24  # bytes at most that a leaf shares with the one before
+FLUSH_LEAVES = 1_000_000  # of a task's counters, before they are written as tries
 SLICE_BYTES = 4 << 20  # of a long text, cut between terms
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _COUNTED = "lang string, source string, place long, leaves long, trie binary"
@@ -55,18 +56,13 @@ def terms_of(text: bytes) -> Iterator[list[bytes]]:
 
 def frozen(terms: list[bytes], documents: np.ndarray, sizes: np.ndarray, source: np.ndarray, counts: np.ndarray, sources: list[str]) -> bytes:
     """A trie of sorted terms in pre-order; sizes: counters a leaf; source, counts: of the counters, leaf by leaf."""
-    shared, before = [], b""
-    for term in terms:
-        n = 0
-        if before[:1] == term[:1]:
-            most = min(len(before), len(term))
-            while n < most and before[n] == term[n]:
-                n += 1
-        shared.append(n)
-        before = term
-    own = [t[n:] for t, n in zip(terms, shared, strict=True)]
+    lengths = np.array([len(t) for t in terms], np.int32)
+    heads = np.array(terms, f"S{SHARED}").view(np.uint8).reshape(len(terms), SHARED)
+    same = np.logical_and.accumulate(heads[1:] == heads[:-1], axis=1).sum(1)
+    shared = np.append(0, np.minimum(same, np.minimum(lengths[1:], lengths[:-1]))).astype(np.int32)
+    own = [t[n:] for t, n in zip(terms, shared.tolist(), strict=True)]
     columns = {
-        "shared": np.array(shared, np.int32), "own": own, "documents": np.asarray(documents, np.int64), "sizes": np.asarray(sizes, np.int32),
+        "shared": shared, "own": own, "documents": np.asarray(documents, np.int64), "sizes": np.asarray(sizes, np.int32),
         "source": np.asarray(source, np.int32), "counts": np.asarray(counts, np.int64), "sources": sources,
     }
     batch = pa.record_batch({k: pa.array([v], pa.list_(pa.binary())) if k == "own" else pa.array([v]) for k, v in columns.items()})
@@ -94,15 +90,17 @@ def place(term: bytes) -> int:
 
 def _written(lang: str, documents: Counter, by_source: dict[str, Counter]) -> Iterator[dict]:
     terms, sources = sorted(documents), sorted(by_source)
+    at = {t: i for i, t in enumerate(terms)}
+    leaf = np.concatenate([np.fromiter(map(at.__getitem__, by_source[s]), np.int64, len(by_source[s])) for s in sources])
+    counts = np.concatenate([np.fromiter(by_source[s].values(), np.int64, len(by_source[s])) for s in sources])
+    source = np.repeat(np.arange(len(sources), dtype=np.int32), [len(by_source[s]) for s in sources])
+    order = np.argsort(leaf, kind="stable")
+    leaf, counts, source = leaf[order], counts[order], source[order]
+    in_docs = np.fromiter(map(documents.__getitem__, terms), np.int64, len(terms))
     for i in range(0, len(terms), PIECE):
         some = terms[i : i + PIECE]
-        sizes, source, counts = [], [], []
-        for term in some:
-            held = [(s, by_source[name][term]) for s, name in enumerate(sources) if term in by_source[name]]
-            sizes.append(len(held))
-            source += [s for s, _ in held]
-            counts += [c for _, c in held]
-        yield {"lang": lang, "source": None, "place": place(some[0]), "leaves": len(some), "trie": frozen(some, [documents[t] for t in some], sizes, source, counts, sources)}
+        a, b = np.searchsorted(leaf, [i, i + len(some)]).tolist()
+        yield {"lang": lang, "source": None, "place": place(some[0]), "leaves": len(some), "trie": frozen(some, in_docs[i : i + PIECE], np.bincount(leaf[a:b] - i, minlength=len(some)), source[a:b], counts[a:b], sources)}
 
 
 def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
@@ -215,7 +213,7 @@ def _streamed(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.Record
             yield _batch(out, _PARTS)
 
 
-def divergence(documents: DataFrame, least_documents: int = 30, top: int = 50, range_leaves: int = 200_000) -> DataFrame:
+def divergence(documents: DataFrame, least_documents: int = 30, top: int = 50, range_leaves: int = 1_000_000) -> DataFrame:
     """lang, source, part, item, value, rank: every source's distance from each other source of its language, and the
     ``top`` terms that it holds more of than its language does."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
