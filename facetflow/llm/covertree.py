@@ -103,8 +103,9 @@ def grow(tree: Tree, u: np.ndarray, offset: int, floor: float) -> tuple[int, np.
     return root, order
 
 
-def traverse(tree: Tree, a: np.ndarray, b: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """From the pairs of nodes (a, b): pairs to compare member by member, and pairs that are linked as a whole."""
+def traverse(tree: Tree, a: np.ndarray, b: np.ndarray, reach: float, ends_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """From the pairs of nodes (a, b): pairs to compare member by member, and pairs that are linked as a whole,
+    which are leaves only if asked for."""
     compare, whole = [], []
     while len(a):
         parts = [slice(i, i + 65_536) for i in range(0, len(a), 65_536)]
@@ -113,6 +114,8 @@ def traverse(tree: Tree, a: np.ndarray, b: np.ndarray, reach: float) -> tuple[np
         near = apart - both <= reach + MARGIN
         a, b, apart, both = a[near], b[near], apart[near], both[near]
         inside = np.where(a == b, 2 * tree.radius[a], apart + both) <= reach - MARGIN
+        if ends_only:
+            inside &= (tree.children[a] == 0) & (tree.children[b] == 0)
         whole.append(np.stack([a[inside], b[inside]], 1))
         a, b = a[~inside], b[~inside]
         ends = (tree.children[a] == 0) & (tree.children[b] == 0)
@@ -259,7 +262,7 @@ def _buckets(nodes: dict[str, np.ndarray], measured: dict[int, float], reach: fl
             waiting.append((tree.add(nodes["centre"][c], cover[c], c, 1), c))
             tree.children[at] += 1
     tree.done()
-    compare, whole = (tree.start[p] for p in traverse(tree, np.array(starts), np.array(starts), reach))
+    compare, whole = (tree.start[p] for p in traverse(tree, np.array(starts), np.array(starts), reach, True))
     order = lambda p: np.sort(p, 1)  # noqa: E731  coarse nodes have smaller numbers
     compare = order(compare)
     return {int(a): np.unique(compare[(compare[:, 0] == a) & (compare[:, 1] != a), 1]) for a in np.unique(compare[:, 0])}, order(whole)
