@@ -111,13 +111,14 @@ def save(found: Analysis, path: str, description: str = "") -> None:
     Scores stay distributed; the JSON holds what has the size of the model.
     """
     spark = found.scores.sparkSession
-    if isinstance(found.model, pca.PCAModel):
-        spark.createDataFrame([(found.model.to_json(description),)], "value string").coalesce(1).write.text(f"{path}/model")
+    text = found.model.to_json(description) if isinstance(found.model, pca.PCAModel) else found.model.to_json()
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/model")
     for name in ("scores", "variance", "loadings", "correlations", "ellipses"):
         table = getattr(found, name)
         if table is not None:
             table.write.parquet(f"{path}/{name}")
 
 
-def load_model(spark: SparkSession, path: str) -> pca.PCAModel:
-    return pca.PCAModel.from_json("".join(r["value"] for r in spark.read.text(f"{path}/model").collect()))  # one line
+def load_model(spark: SparkSession, path: str) -> pca.PCAModel | kernel.KernelModel:
+    text = "".join(r["value"] for r in spark.read.text(f"{path}/model").collect())  # one line
+    return kernel.KernelModel.from_json(text) if '"kind": "kernel"' in text[:40] else pca.PCAModel.from_json(text)

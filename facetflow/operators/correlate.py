@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.functions.numbers import CHI_SQUARE_2, correlation_p_value
-from facetflow.functions.transforms import levels
-from facetflow.operators.rows import average_rank
+from facetflow.operators import pairwise
+from facetflow.operators.ranks import mean_ranks
+
+#: Pairs up to which correlations are one declarative aggregate.
+DECLARED_PAIRS = 6
 
 
 def pearson(x: str, y: str) -> Column:
@@ -26,29 +32,62 @@ def _stacked(df: DataFrame, pairs: list[tuple[str, str]], names: tuple[str, str]
 
 
 def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, r, n for every pair of columns a before b."""
-    return _stacked(df, [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]], ("a", "b"))
+    """a, b, r, n for every pair of columns a before b: one aggregate for a few, products of masked matrices for more."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    return _stacked(df, pairs, ("a", "b")) if len(pairs) <= DECLARED_PAIRS else pairwise.pairs(df, columns)
+
+
+def _with_levels(df: DataFrame, components: list[str], column: str) -> DataFrame:
+    """variable, pc, r, n of the 0/1 column of each level of a category with each component, by one grouping: a level's
+    count and sum of a component's deviations are all that its correlation asks for, however many levels there are."""
+    x = [F.col(c).cast("double") for c in components]
+    x = [F.when(~F.isnan(v), v) for v in x]
+    whole = df.agg(*[f(v).alias(f"{k}{i}") for i, v in enumerate(x) for k, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop))]).first()
+    text = F.col(f"__of_{column}").cast("string")
+    own = df.where(text.isNotNull() & (F.trim(text) != "")).groupBy(text.alias("level"))
+    sums = own.agg(*[e for i, v in enumerate(x) for e in (F.count(v).alias(f"k{i}"), F.sum(v - F.lit(whole[f"m{i}"])).alias(f"d{i}"))])
+    rows = []
+    for i, c in enumerate(components):
+        n, s = whole[f"n{i}"], whole[f"s{i}"] or 0.0
+        share = F.col(f"k{i}") / F.lit(float(max(n, 1)))
+        r = F.coalesce(F.try_divide(F.col(f"d{i}") / F.lit(float(max(n, 1))), F.sqrt(share * (1 - share)) * s), F.lit(0.0))
+        rows.append(F.struct(F.lit(c).alias("pc"), r.alias("r"), F.lit(n).cast("long").alias("n")))
+    return sums.select("level", F.explode(F.array(*rows)).alias("x")).select(F.concat(F.lit(f"{column}_"), "level").alias("variable"), "x.*")
 
 
 def eigencorrelations(scores: DataFrame, components: list[str], numeric: list[str], categorical: list[str] = (), method: str = "pearson") -> DataFrame:
     """variable, pc, r, n, p_value for components against metadata columns of the same rows; r and p are 0 below 3 pairs.
 
-    Categories become 0/1 columns ``name_level``. Spearman ranks each column over all its values first, ties by their mean.
+    Each level of a category counts as a 0/1 column ``name_level``, with no limit on levels. Spearman ranks each column
+    over all its values first, ties by their mean; ranks of a 0/1 column are as good as the column itself.
     """
-    df, variables = scores, list(numeric)
-    for c in categorical:
-        text = F.coalesce(F.col(c).cast("string"), F.lit(""))
-        own = levels(df, c, 1000) or []
-        df = df.withColumns({f"{c}_{v}": F.when(text == v, 1.0).otherwise(0.0) for v in own})
-        variables += [f"{c}_{v}" for v in own]
-    if method == "spearman":
-        for c in [*components, *variables]:
-            df = average_rank(df, c, "__rank").drop(c).withColumnRenamed("__rank", c)
-    elif method != "pearson":
+    if method not in ("pearson", "spearman"):
         raise ValueError("method is pearson or spearman")
-    found = _stacked(df, [(v, p) for v in variables for p in components], ("variable", "pc")).collect()  # a row a variable and component
-    rows = [(r["variable"], r["pc"], r["r"] if r["n"] >= 3 else 0.0, r["n"], correlation_p_value(r["r"], r["n"])) for r in found]
-    return scores.sparkSession.createDataFrame(rows, "variable string, pc string, r double, n long, p_value double")
+    measures = list(dict.fromkeys([*components, *numeric]))
+    numeric = list(dict.fromkeys(numeric))
+    df = scores.select(*measures, *[F.col(c).alias(f"__of_{c}") for c in categorical])
+    if method == "spearman":
+        df = mean_ranks(df, measures)
+    parts = []
+    if numeric:
+        pairs = [(v, p) for v in numeric for p in components]
+        found = _stacked(df, pairs, ("variable", "pc")) if len(pairs) <= DECLARED_PAIRS else pairwise.pairs(df, numeric, components)
+        parts.append(found.toDF("variable", "pc", "r", "n"))
+    parts += [_with_levels(df, components, c) for c in categorical]
+    if not parts:
+        return scores.sparkSession.createDataFrame([], "variable string, pc string, r double, n long, p_value double")
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+
+    def with_p(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r, n = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            kept = [x if m >= 3 else 0.0 for x, m in zip(r, n, strict=True)]
+            p = [correlation_p_value(x, m) for x, m in zip(r, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.float64()), batch.column(3), pa.array(p, pa.float64())], names=["variable", "pc", "r", "n", "p_value"])
+
+    return found.mapInArrow(with_p, "variable string, pc string, r double, n long, p_value double")
 
 
 def ordered_by_first(correlations: DataFrame, first: str = "PC1") -> DataFrame:

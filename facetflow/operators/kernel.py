@@ -1,17 +1,21 @@
 """Kernel matrices and kernel PCA of at most MOST_ROWS training rows.
 
-The size is a property of the method (the matrix is rows x rows and its eigenvectors are found at one place), so more
-rows are refused. New rows are scored in Arrow batches against the training rows, which are of that bounded size.
+Training rows are broadcast (their number is checked; a model keeps them in any case). The kernel, rows x rows, never
+exists as a whole beyond LOCAL_ROWS: tasks make blocks of its rows and multiply them with a few vectors, and the leading
+eigenvectors are found in the space of such products (a block Krylov space, a job a step), so the driver holds rows x a
+few dozen numbers. New rows are scored in Arrow batches against the training rows.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -20,6 +24,10 @@ from facetflow.operators.pca import signed
 from facetflow.operators.preprocess import Preprocess
 
 MOST_ROWS = 10_000
+#: Rows up to which the kernel is made and decomposed at once.
+LOCAL_ROWS = 1_000
+#: Rows of a block of the kernel, and the residual, as a share of the leading eigenvalue, at which a vector is found.
+BLOCK_ROWS, TOLERANCE, STEPS = 512, 1e-10, 60
 LEAST_EIGENVALUE = 1e-10
 
 
@@ -66,10 +74,32 @@ class KernelModel:
     eigenvalues: np.ndarray
     how: tuple[str, float, int, float]
     means: np.ndarray
+    #: Sum of all eigenvalues, where not all are known.
+    total: float | None = None
 
     @property
     def ratios(self) -> np.ndarray:
-        return 100 * self.eigenvalues[: self.vectors.shape[1]] / self.eigenvalues.sum()
+        return 100 * self.eigenvalues[: self.vectors.shape[1]] / (self.total or self.eigenvalues.sum())
+
+    def to_json(self) -> str:
+        """All that scoring asks for; the training rows are part of it."""
+        return json.dumps({
+            "kind": "kernel", "preprocess": asdict(self.preprocess), "train": self.train.tolist(), "vectors": self.vectors.tolist(), "eigenvalues": self.eigenvalues.tolist(),
+            "kernel": dict(zip(("type", "gamma", "degree", "coef0"), self.how, strict=True)), "means": self.means.tolist(), "total": self.total,
+        })
+
+    @staticmethod
+    def from_json(text: str) -> KernelModel:
+        d = json.loads(text)
+        missing = [k for k in ("preprocess", "train", "vectors", "eigenvalues", "kernel", "means") if k not in d]
+        if missing:
+            raise ValueError(f"not a kernel model, without {missing}")
+        pre = Preprocess(**{k: tuple(v) if isinstance(v, list) else v for k, v in d["preprocess"].items()})
+        train, vectors, values, means = (np.array(d[k], float) for k in ("train", "vectors", "eigenvalues", "means"))
+        if train.ndim != 2 or vectors.ndim != 2 or len(vectors) != len(train) or len(means) != len(train) or train.shape[1] != len(pre.features) or len(values) < vectors.shape[1]:
+            raise ValueError("training rows, vectors, eigenvalues and features don't match")
+        how = d["kernel"]
+        return KernelModel(pre, train, vectors, values, (how["type"], how["gamma"], how["degree"], how["coef0"]), means, d.get("total"))
 
     def variance(self, spark: SparkSession) -> DataFrame:
         """pc, eigenvalue, ratio_pct, cumulative_pct."""
@@ -99,7 +129,7 @@ class KernelModel:
         return extra.mapInArrow(run, schema)
 
 
-def fit(df: DataFrame, features: list[str], k: int = 2, kernel: str = "rbf", gamma: float | None = None, degree: int = 3, coef0: float = 0.0, preprocess: Preprocess | None = None) -> KernelModel:
+def fit(df: DataFrame, features: list[str], k: int = 2, kernel: str = "rbf", gamma: float | None = None, degree: int = 3, coef0: float = 0.0, preprocess: Preprocess | None = None, local_rows: int = LOCAL_ROWS) -> KernelModel:
     """gamma: by default one by the number of features. Of preprocessing only scale_only, snv and vector_norm apply."""
     given = preprocess or Preprocess(center=False)
     pre = Preprocess(center=False, scale_only=given.scale_only, snv=given.snv, vector_norm=given.vector_norm).fit(df, features)
@@ -112,6 +142,8 @@ def fit(df: DataFrame, features: list[str], k: int = 2, kernel: str = "rbf", gam
         raise ValueError("gamma and degree must be positive")
     x = np.array(rows, float)
     how = (kernel, gamma or 1 / len(features), degree, coef0)
+    if len(x) > local_rows:
+        return KernelModel(pre, x, *_leading(df.sparkSession, x, how, k))
     g = matrix(x, x, *how)
     means = g.mean(0)
     values, vectors = np.linalg.eigh(g - means - means[:, None] + means.mean())
@@ -119,3 +151,70 @@ def fit(df: DataFrame, features: list[str], k: int = 2, kernel: str = "rbf", gam
     if not math.isfinite(values.sum()):
         raise ArithmeticError("the kernel isn't finite")
     return KernelModel(pre, x, vectors[:, :k], values, how, means)
+
+
+def _products(spark: SparkSession, x: Broadcast, how: tuple[str, float, int, float], v: np.ndarray) -> tuple[np.ndarray, float]:
+    """Kernel times v, and the sum of the kernel's diagonal, from blocks of rows made in tasks."""
+    n, width = len(x.value), v.shape[1]
+    sent = spark.sparkContext.broadcast(v)
+    blocks = -(-n // BLOCK_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, vectors = x.value, sent.value
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                at = slice(block * BLOCK_ROWS, (block + 1) * BLOCK_ROWS)
+                g = matrix(rows[at], rows, *how)
+                own = np.arange(len(g))
+                yield pa.RecordBatch.from_pydict({"block": [block], "product": [(g @ vectors).tobytes()], "diagonal": [float(g[own, own + at.start].sum())]})
+
+    parts = spark.range(0, blocks, 1, blocks).mapInArrow(run, "block long, product binary, diagonal double").orderBy("block").collect()  # n x width numbers
+    sent.destroy()
+    return np.concatenate([np.frombuffer(p["product"]).reshape(-1, width) for p in parts]), sum(p["diagonal"] for p in parts)
+
+
+def _leading(spark: SparkSession, rows: np.ndarray, how: tuple[str, float, int, float], k: int) -> tuple[np.ndarray, np.ndarray, tuple, np.ndarray, float]:
+    """Vectors, eigenvalues, how, row means and the sum of eigenvalues of the centred kernel.
+
+    A block Krylov space grows by the kernel's product with its newest block until the k leading pairs of the kernel
+    within it have settled. The sum is the centred kernel's trace; kernels with negative eigenvalues, which only a
+    polynomial one has, count them in it.
+    """
+    x, n = spark.sparkContext.broadcast(rows), len(rows)
+    sums, diagonal = _products(spark, x, how, np.full((n, 1), 1.0 / n))
+    means = sums[:, 0]
+    whole = float(means.mean())
+    trace = diagonal - n * whole
+    if not math.isfinite(trace) or not np.isfinite(means).all():
+        raise ArithmeticError("the kernel isn't finite")
+
+    def centred(v: np.ndarray) -> np.ndarray:
+        g, _ = _products(spark, x, how, v)
+        across = v.sum(0)
+        return g - means @ v - np.outer(means, across) + whole * across
+
+    width = min(n, max(k + 4, 8))
+    block = np.random.Generator(np.random.PCG64(5)).standard_normal((n, width))
+    block = np.linalg.qr(block - block.mean(0))[0]
+    basis, images = block, centred(block)
+    for _ in range(STEPS):
+        small = basis.T @ images
+        values, turned = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(values)[::-1][: min(k, len(values))]
+        vectors, values = basis @ turned[:, order], values[order]
+        rest = np.linalg.norm(images @ turned[:, order] - vectors * values, axis=0)
+        if (rest <= TOLERANCE * max(abs(values[0]), LEAST_EIGENVALUE)).all() or basis.shape[1] + width > n:
+            break
+        new = images[:, -width:]
+        for _ in range(2):  # once more for what rounding has left
+            new = new - basis @ (basis.T @ new)
+        left, sizes, _ = np.linalg.svd(new, full_matrices=False)
+        block = left[:, sizes > 1e-13 * max(abs(values[0]), LEAST_EIGENVALUE)]
+        if not block.shape[1]:
+            break
+        width = block.shape[1]
+        basis, images = np.hstack([basis, block]), np.hstack([images, centred(block)])
+    else:
+        raise ArithmeticError("the kernel's vectors did not settle")
+    x.destroy()
+    return signed(vectors), np.maximum(values, LEAST_EIGENVALUE), how, means, max(trace, LEAST_EIGENVALUE)

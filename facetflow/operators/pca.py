@@ -149,7 +149,7 @@ class PCAModel:
 
     def loading_rows(self, spark: SparkSession) -> DataFrame:
         """feature_idx, feature, pc, value, correlation (loading * sqrt(eigenvalue) / deviation of the fitted feature)."""
-        spread = np.sqrt(np.maximum((self.loadings**2 * self.eigenvalues[: self.k]).sum(1), 0)) if self.k == len(self.eigenvalues) else self.extra.get("spread", np.ones(len(self.features)))
+        spread = self.spread()
         rows = []
         for j, f in enumerate(self.features):
             for i, p in enumerate(self.labels):
@@ -157,6 +157,17 @@ class PCAModel:
                 rows.append((j, f, p, value, float(value * math.sqrt(max(self.eigenvalues[i], 0)) / spread[j]) if spread[j] > 0 else None))
         return spark.createDataFrame(rows, "feature_idx int, feature string, pc string, value double, correlation double")
 
+    def spread(self) -> np.ndarray:
+        """Deviations of the features as they were fitted, about zero where they weren't centred."""
+        if "spread" in self.extra:
+            return np.asarray(self.extra["spread"], float)
+        pre = self.preprocess
+        if self.extra.get("incomplete") or len(pre.deviations) != len(self.features) or len(pre.means) != len(self.features) or self.rows < 2:
+            raise ValueError("the model doesn't tell the deviations of its features")
+        shift, scale = np.array(pre.shifts_and_scales()).T
+        apart = np.array(pre.means) - shift
+        return np.sqrt(np.array(pre.deviations) ** 2 + apart**2 * (self.rows / (self.rows - 1))) / scale
+
     def score_columns(self) -> list[Column]:
         x = self.preprocess.expressions()
         return [total([x[j] * float(self.loadings[j, i]) for j in range(len(x))]) for i in range(self.k)]
@@ -242,10 +253,14 @@ class PCAModel:
             "kaiser": max(1, int((self.eigenvalues >= 1).sum())) if self.preprocess.scale == "standard" else None,
         }
 
-    def to_json(self, description: str = "") -> str:
+    def to_json(self, description: str = "", software: str = "facetflow") -> str:
+        return json.dumps(self.document(description, software))
+
+    def document(self, description: str = "", software: str = "facetflow") -> dict:
+        """The model as the parts of a document; results are those of operators.document."""
         pre = self.preprocess
-        return json.dumps({
-            "metadata": {"analysis_id": str(uuid.uuid4()), "software_version": VERSION, "created_at": datetime.now(UTC).isoformat(), "description": description, "config": {"method": self.method, "n_components": self.k, "missing_strategy": "native" if self.extra.get("incomplete") else "error"}},
+        return {
+            "metadata": {"software": software, "analysis_id": str(uuid.uuid4()), "software_version": VERSION, "created_at": datetime.now(UTC).isoformat(), "description": description, "config": {"method": self.method, "n_components": self.k, "missing_strategy": "native" if self.extra.get("incomplete") else "error"}},
             "preprocessing": {
                 "mean_center": pre.center, "standard_scale": pre.scale == "standard", "robust_scale": pre.scale == "robust", "scale_only": pre.scale_only, "snv": pre.snv, "vector_norm": pre.vector_norm,
                 "parameters": {"feature_means": pre.means, "feature_stddevs": pre.deviations, "feature_medians": pre.medians, "feature_mads": pre.mads},
@@ -253,16 +268,24 @@ class PCAModel:
             "model": {
                 "loadings": self.loadings.tolist(), "explained_variance": self.eigenvalues[: self.k].tolist(), "explained_variance_ratio": self.ratios.tolist(), "cumulative_variance": np.cumsum(self.ratios).tolist(),
                 "component_labels": self.labels, "feature_labels": list(self.features), "eigenvalues": self.eigenvalues.tolist(), "n_samples": self.rows, "score_covariance": None if self.score_cov is None else self.score_cov.tolist(),
+                "feature_spread": self.spread().tolist(),
             },
             "diagnostics": self.limits(),
-        })
+        }
 
     @staticmethod
     def from_json(text: str) -> PCAModel:
+        """The model of a document, of this library or of another with the same fields.
+
+        The number of rows is that of the model or else of the results' samples. With the kept eigenvalues alone, what the
+        ratios leave is spread evenly over the rest. Raises ValueError for what scores or limits need and the text lacks.
+        """
         d = json.loads(text)
-        missing = [f"{a}.{b}" for a, b in (("preprocessing", "parameters"), ("model", "loadings"), ("model", "feature_labels"), ("model", "explained_variance")) if b not in d.get(a, {})]
+        missing = [f"{a}.{b}" for a, b in (("preprocessing", "parameters"), ("model", "loadings"), ("model", "feature_labels"), ("model", "explained_variance"), ("metadata", "config")) if b not in d.get(a, {})]
         if missing:
             raise ValueError(f"not a model, without {missing}")
+        if d["metadata"]["config"].get("method") == "kernel":
+            raise ValueError("a document of a kernel model holds no training rows to score with")
         p, m = d["preprocessing"], d["model"]
         of = {k: tuple(v or ()) for k, v in p["parameters"].items()}
         scale = "robust" if p.get("robust_scale") else "standard" if p.get("standard_scale") else "none"
@@ -270,8 +293,24 @@ class PCAModel:
         loadings = np.array(m["loadings"], float)
         if len(loadings) != len(pre.features) or (scale == "robust" and len(pre.medians) != len(pre.features)) or len(pre.deviations) != len(pre.features):
             raise ValueError("loadings, features and fitted parameters don't match")
+        rows = m.get("n_samples") or len(d.get("results", {}).get("samples", {}).get("scores") or ())
+        if rows < 2:
+            raise ValueError("the number of fitted rows isn't given, nor are results to count")
+        kept = np.array(m["explained_variance"], float)
+        if len(kept) != loadings.shape[1] or not np.isfinite(loadings).all():
+            raise ValueError("loadings and eigenvalues don't match")
+        values, rank = np.array(m.get("eigenvalues") or kept, float), min(rows, len(loadings))
+        if "eigenvalues" not in m and len(kept) < rank:
+            ratios = np.array(m.get("explained_variance_ratio") or (), float)
+            if len(ratios) != len(kept) or not ratios.sum() > 0:
+                raise ValueError("neither all eigenvalues nor their ratios are given")
+            rest = kept.sum() * max(100 / ratios.sum() - 1, 0)
+            values = np.concatenate([kept, np.full(rank - len(kept), rest / (rank - len(kept)))])
+        extra: dict = {"incomplete": d["metadata"]["config"].get("missing_strategy") == "native"}
+        if m.get("feature_spread"):
+            extra["spread"] = np.array(m["feature_spread"], float)
         cov = m.get("score_covariance")
-        return PCAModel(pre, loadings, np.array(m.get("eigenvalues", m["explained_variance"]), float), m.get("n_samples", 0), d["metadata"]["config"].get("method", "svd"), None if cov is None else np.array(cov), {"incomplete": d["metadata"]["config"].get("missing_strategy") == "native"})
+        return PCAModel(pre, loadings, values, rows, d["metadata"]["config"].get("method", "svd"), None if cov is None else np.array(cov), extra)
 
     def config(self) -> dict:
         return asdict(self.preprocess) | {"k": self.k, "method": self.method}
@@ -338,7 +377,7 @@ def nipals_missing(x: DataFrame, features: list[str], k: int, center: bool = Tru
     components leave is spread evenly over the eigenvalues beyond them. Raises if a component doesn't settle.
     """
     m = len(features)
-    means = x.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)]).first()
+    means = x.agg(*[f(c).alias(f"{k}{i}") for k, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count)) for i, c in enumerate(features)]).first()
     shift = [float(means[i] or 0.0) if center else 0.0 for i in range(m)]
     table = x.select(*[(F.col(c) - shift[i]).alias(f"x{i}") for i, c in enumerate(features)])
     sums = _pattern_sums(table, m) if m <= DECLARED else None
@@ -347,7 +386,9 @@ def nipals_missing(x: DataFrame, features: list[str], k: int, center: bool = Tru
     else:
         loadings, variances, n = _nipals_by_patterns(*sums, k, tolerance, rounds)
     pre = Preprocess(center=center, features=tuple(features), means=tuple(shift), deviations=(1.0,) * m)
-    return PCAModel(pre, loadings, np.array(variances), n, "nipals", extra={"incomplete": True})
+    about_zero = [0.0 if center else (means[f"m{i}"] or 0.0) ** 2 * means[f"n{i}"] / max(means[f"n{i}"] - 1, 1) for i in range(m)]
+    spread = [math.sqrt((means[f"v{i}"] or 0.0) + about_zero[i]) for i in range(m)]
+    return PCAModel(pre, loadings, np.array(variances), n, "nipals", extra={"incomplete": True, "spread": np.array(spread)})
 
 
 def _pattern_sums(table: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray, int] | None:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +9,7 @@ from facetflow.functions import numbers, transforms
 from facetflow.operators import analysis, correlate, edits, kernel, pca, profile, rows, validate, views
 from facetflow.operators.preprocess import Preprocess
 from facetflow.plans.queries import GAPS_SQL, ORDER, ORDER_SQL, _PAIR, _gaps, _orders, _pair_model, _round, _t, query
-from facetflow.sources import tables
+from facetflow.sources import scratch, tables
 
 #: 99.9 % quantile of F with 1 and 99 degrees of freedom, from the density of t.
 F_LIMIT = 11.50247
@@ -110,9 +106,8 @@ def quality_scores(spark, folder):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder for files: below spark.checkpoint.dir, which all executors share, or where that is unset a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return os.path.join(base, "facetflow", uuid.uuid4().hex)
+    """A new folder for files, which all executors share."""
+    return scratch.new_folder(spark)
 
 
 def _customers(spark: SparkSession, folder: str) -> DataFrame:
@@ -400,14 +395,14 @@ def score_covariances(spark, folder):
     return _round(found, ["covariance"])
 
 
-@query(f"WITH {_PAIR} SELECT 2 AS kaiser_or_fewer, CASE WHEN 50 * (1 + r) >= 80 THEN 1 ELSE 2 END AS components_80, 'qty' AS leading FROM c")
+@query(f"WITH {_PAIR} SELECT 1 + (1 - abs(r) >= 1)::INT AS kaiser, CASE WHEN 50 * (1 + r) >= 80 THEN 1 ELSE 2 END AS components_80, 'qty' AS leading FROM c")
 def model_overview(spark, folder):
     found = _pair_model(_orders(spark, folder), 2)
     o = found.overview()
     import numpy as np
 
     leading = found.features[int(np.argmax(np.round(np.abs(found.loadings[:, 0]), 9)))]
-    return spark.createDataFrame([(max(2, o["kaiser"]), o["components_80"], leading)], "kaiser_or_fewer int, components_80 int, leading string")
+    return spark.createDataFrame([(o["kaiser"], o["components_80"], leading)], "kaiser int, components_80 int, leading string")
 
 
 _SMALL = "x AS (SELECT CAST(n_nationkey AS DOUBLE) AS a, CAST(n_regionkey AS DOUBLE) AS b FROM nation), s AS (SELECT corr(a, b) AS r, count(*) AS n FROM x)"

@@ -409,7 +409,7 @@ def quality_report(spark, folder):
 
 
 def queries() -> dict[str, Query]:
-    from facetflow.plans import checks  # noqa: F401 (registers its queries)
+    from facetflow.plans import checks, wide  # noqa: F401 (register their queries)
 
     return {k: f for k, (f, _) in _found.items()}
 
