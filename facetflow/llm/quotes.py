@@ -5,17 +5,20 @@ the mark before it may stand after blanks. Runs of lines of one level are passag
 words, others quote someone. Passages are normalised (lower case, runs of blanks to one, blanks and ``.,;:!?`` off the
 ends) and hashed; a quoted passage is linked to the message of the same conversation that comes latest before the
 quoting one among those whose own words hold a passage, a line or the whole of that hash; where there is none, as for
-trimmed or attributed quotes, to the one that holds most of its lines. The message that a reply's
+trimmed or attributed quotes, to the one that holds most of its lines (of several, the latest). The message that a reply's
 shallowest linked quote comes from is its parent (of several, the latest); a message without one has no parent. A
 conversation is ordered by replies: messages follow their parent, thread by thread, each in the order of turns; bodies
 are the own words without quotes.
 
-All of it is DataFrame operations. Both sides of the link are keyed by (conversation, hash), and for each key the turns
-are aggregated before they are matched, so a passage that thousands of messages share costs a row a message: matching is
-a window over (conversation, hash), not a join of all with all.
+All of it is DataFrame operations. Both sides of a link are keyed by (conversation, hash) and put in ranges of (key,
+turn): the latest holder before a turn is the latest of the ranges before and of the rows before in its range, so
+neither a passage that thousands of messages share nor a conversation of any size meets in one task, and nothing joins all
+who ask with all who hold. For trimmed quotes, the lines that a passage shares with others of its conversation are its
+key: holders of its lines are counted once a set of lines, however many messages quote it.
 
-Null texts are empty messages; null roles stay null; rows with a null conv_id or turn are left out of links but kept
-(parent null). Rows that repeat (conv_id, turn) are one message, that of the smallest text. An empty table gives no rows.
+Every row is a message of its own and is returned, rows that repeat (conv_id, turn) or are equal too; a turn isn't before
+itself. Null texts are empty messages; null roles stay null; rows with a null conv_id or turn are left out of links and
+order (parent, thread and position null). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,10 +37,10 @@ def normalised(text: Column) -> Column:
 
 
 def messages(conversations: DataFrame) -> DataFrame:
-    """One row a message: conv_id, turn, role, text."""
+    """One row a message: conv_id, turn, role, text, and ``node``, a number of its own in the order of (conv_id, turn)."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    one = rows.groupBy("conv_id", "turn").agg(F.min(F.struct("text", "role")).alias("m"))
-    return one.select("conv_id", "turn", "m.role", "m.text")
+    order = ["conv_id", "turn", F.xxhash64("text", "role")]
+    return settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()))
 
 
 def parsed(rows: DataFrame) -> DataFrame:
@@ -58,7 +61,7 @@ def parsed(rows: DataFrame) -> DataFrame:
 
 
 def links(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, level, hash, from_turn for every quoted passage that is found; rows: of parsed().
+    """conv_id, node, level, hash, from_node, from_turn for every quoted passage that is found; rows: of parsed().
 
     A passage comes from the latest earlier message that holds it whole or, where none does, from the one that holds
     most of its lines (of several, the latest).
@@ -68,52 +71,50 @@ def links(rows: DataFrame) -> DataFrame:
     known = lambda x: F.array_distinct(F.transform(F.filter(F.transform(x, normalised), lambda t: t != ""), digest))
     own = F.transform(F.filter("parts", lambda p: p["level"] == 0), lambda p: p["text"])
     single = F.flatten(F.transform(own, lambda t: F.split(t, "\n")))
-    quoted = keyed.where("n_quotes > 0").select("conv_id", "turn", F.explode(F.filter("parts", lambda p: p["level"] > 0)).alias("p"))
-    quoted = quoted.select("conv_id", "turn", "p.level", normalised(F.col("p.text")).alias("passage"), known(F.split("p.text", "\n")).alias("lines"))
-    passages = quoted.where("passage <> ''").groupBy("conv_id", digest(F.col("passage")).alias("passage"), "turn").agg(F.min("level").alias("level"), F.max("lines").alias("lines"))
+    quoted = keyed.where("n_quotes > 0").select("conv_id", "turn", "node", F.explode(F.filter("parts", lambda p: p["level"] > 0)).alias("p"))
+    quoted = quoted.select("conv_id", "turn", "node", "p.level", normalised(F.col("p.text")).alias("passage"), known(F.split("p.text", "\n")).alias("lines"))
+    passages = quoted.where("passage <> ''").groupBy("conv_id", "turn", "node", digest(F.col("passage")).alias("passage")).agg(F.min("level").alias("level"), F.max("lines").alias("lines"))
     passages = settle(passages)
-    asked = passages.select("conv_id", F.explode(F.array_union(F.array("passage"), "lines")).alias("hash"), "turn").distinct()
-    wanted = asked.select("conv_id", "hash").distinct()
+    wanted = passages.select("conv_id", F.explode(F.array_union(F.array("passage"), "lines")).alias("hash")).distinct()
     # only what is quoted somewhere in its conversation goes on
-    offered = keyed.select("conv_id", F.explode(known(F.concat(own, single, F.array("body")))).alias("hash"), "turn")
+    offered = keyed.select("conv_id", F.explode(known(F.concat(own, single, F.array("body")))).alias("hash"), "turn", "node")
     offered = settle(offered.join(wanted, ["conv_id", "hash"], "left_semi"))
-    both = offered.select("conv_id", "hash", "turn", F.lit(False).alias("asks"), F.col("turn").alias("source")).unionByName(asked.select("conv_id", "hash", "turn", F.lit(True).alias("asks"), F.lit(None).cast("long").alias("source")))
-    before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    latest = both.withColumn("from_turn", F.max("source").over(before)).where("asks and from_turn is not null")
-    latest = settle(latest.select("conv_id", "turn", "hash", "from_turn"))
-    whole = passages.join(latest.withColumnRenamed("hash", "passage"), ["conv_id", "turn", "passage"]).select("conv_id", "turn", "level", F.col("passage").alias("hash"), "from_turn")
-    key = ["conv_id", "turn", "passage"]
-    parts = passages.join(whole.select("conv_id", "turn", F.col("hash").alias("passage")), key, "left_anti")
-    # lines that an earlier message holds
-    lines = settle(parts.select(*key, F.explode("lines").alias("hash")).join(latest, ["conv_id", "turn", "hash"]))
-    first = settle(_most(lines.select(*key, "from_turn").distinct(), lines, offered))
-    # a message with more than the n lines found, or as many and later, holds one of any all - n + 1: the rarest are searched
-    open_ = lines.groupBy(*key).agg(F.count(F.lit(1)).alias("all")).join(first, key).where("n < all")
-    holders = offered.groupBy("conv_id", "hash").agg(F.count(F.lit(1)).alias("holders"))
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("holders", "hash"))
-    rare = lines.join(open_.select(*key, "all", "n"), key).join(holders, ["conv_id", "hash"]).withColumn("rank", rank).where("rank <= all - n + 1")
-    source = offered.select("conv_id", "hash", F.col("turn").alias("source"))
-    more = rare.drop("from_turn").join(source, ["conv_id", "hash"]).where("source < turn").select(*key, F.col("source").alias("from_turn")).distinct()
-    best = first.union(_most(more, lines, offered)).groupBy(*key).agg(F.max(F.struct("n", "from_turn")).alias("m"))
-    partly = best.join(passages, key).select("conv_id", "turn", "level", F.col("passage").alias("hash"), F.col("m.from_turn").alias("from_turn"))
+    asked = passages.select("conv_id", F.col("passage").alias("key"), "turn").distinct()
+    latest = _latest(offered.select("conv_id", F.col("hash").alias("key"), "turn", F.struct(F.lit(1).cast("long").alias("n"), "node", "turn").alias("holder")), asked)
+    whole = settle(passages.join(latest.withColumnRenamed("key", "passage"), ["conv_id", "turn", "passage"]).select("conv_id", "node", "level", F.col("passage").alias("hash"), F.col("holder.node").alias("from_node"), F.col("holder.turn").alias("from_turn")))
+    parts = passages.join(whole.select("node", F.col("hash").alias("passage")), ["node", "passage"], "left_anti")
+    # the lines of a passage that messages of its conversation hold are its key
+    held = offered.select("conv_id", "hash").distinct()
+    shared = parts.select("conv_id", "turn", "node", "passage", "level", F.explode("lines").alias("hash")).join(held, ["conv_id", "hash"])
+    sets = shared.groupBy("conv_id", "turn", "node", "passage", "level").agg(F.sort_array(F.collect_list("hash")).alias("lines"))  # lines of one quote
+    sets = settle(sets.withColumn("key", digest(F.array_join("lines", ""))))
+    lines = sets.groupBy("conv_id", "key").agg(F.first("lines").alias("lines")).select("conv_id", "key", F.explode("lines").alias("hash"))
+    counts = lines.join(offered, ["conv_id", "hash"]).groupBy("conv_id", "key", "turn", "node").agg(F.count(F.lit(1)).alias("n"))
+    best = _latest(counts.select("conv_id", "key", "turn", F.struct("n", "node", "turn").alias("holder")), sets.select("conv_id", "key", "turn").distinct())
+    partly = sets.join(best, ["conv_id", "key", "turn"]).select("conv_id", "node", "level", F.col("passage").alias("hash"), F.col("holder.node").alias("from_node"), F.col("holder.turn").alias("from_turn"))
     return whole.unionByName(partly)
 
 
-def _most(candidates: DataFrame, lines: DataFrame, offered: DataFrame) -> DataFrame:
-    """conv_id, turn, passage, from_turn, n: of each passage's candidates the one that holds most lines, the latest of several."""
-    key = ["conv_id", "turn", "passage"]
-    held = candidates.join(lines.select(*key, "hash"), key).join(offered.select("conv_id", "hash", F.col("turn").alias("from_turn")), ["conv_id", "hash", "from_turn"])
-    best = held.groupBy(*key, "from_turn").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.max(F.struct("n", "from_turn")).alias("m"))
-    return best.select(*key, "m.from_turn", "m.n")
+def _latest(held: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (conv_id, key, turn) with the largest ``holder`` of the same key in ``held`` at a smaller turn, where there is
+    one; by ranges of (key, turn)."""
+    key = ["conv_id", "key"]
+    both = held.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+    ranged = settle(both.repartitionByRange(*key, "turn").withColumn("range", F.spark_partition_id()))
+    earlier = F.max("most").over(Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    totals = ranged.groupBy(*key, "range").agg(F.max("holder").alias("most")).select(*key, "range", earlier.alias("earlier"))  # a row a range
+    within = F.max("holder").over(Window.partitionBy(*key, "range").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
+    found = ranged.withColumn("within", within).where("asks").join(totals, [*key, "range"])
+    return settle(found.select(*key, "turn", F.greatest("within", "earlier").alias("holder")).where("holder is not null"))
 
 
 def linked_messages(conversations: DataFrame) -> DataFrame:
-    """Every message: conv_id, turn, role, body, n_quotes, n_linked, parent_turn."""
+    """Every message: conv_id, turn, role, body, n_quotes, n_linked, parent_turn, node, parent_node."""
     rows = parsed(messages(conversations))
-    best = links(rows).groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_linked"), F.min(F.struct("level", (-F.col("from_turn")).alias("late"))).alias("best"))
-    best = best.select("conv_id", "turn", "n_linked", (-F.col("best.late")).alias("parent_turn"))
-    out = rows.drop("parts", "text").join(best, ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "role", "body", F.col("n_quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent_turn")
+    best = links(rows).groupBy("node").agg(F.count(F.lit(1)).alias("n_linked"), F.min(F.struct("level", (-F.col("from_node")).alias("late"), "from_turn")).alias("best"))
+    best = best.select("node", "n_linked", (-F.col("best.late")).alias("parent_node"), F.col("best.from_turn").alias("parent_turn"))
+    out = rows.drop("parts", "text").join(best, "node", "left")
+    return out.select("conv_id", "turn", "role", "body", F.col("n_quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent_turn", "node", "parent_node")
 
 
 def reply_ordered(linked: DataFrame) -> DataFrame:
@@ -122,47 +123,49 @@ def reply_ordered(linked: DataFrame) -> DataFrame:
     A message's position is the number of messages in the threads before its own, and for it and each message above it
     one more and the messages below older siblings. Sizes, depths and sums along parents are found by doubling the
     distance that is looked up, in as many rounds as the logarithm of the longest chain; sums over siblings and threads
-    go by ranges. No conversation is gathered.
+    go by ranges. No conversation is gathered. A table without ``node`` has one message a turn.
     """
+    if "node" not in linked.columns:
+        linked = linked.withColumns({"node": F.col("turn"), "parent_node": F.col("parent_turn")})
     linked = settle(linked)
-    turns = linked.where("conv_id is not null and turn is not null").select("conv_id", "turn", "parent_turn")
-    above = turns.select("conv_id", F.col("turn").alias("parent_turn"))
-    replies = settle(turns.where("parent_turn < turn").join(above, ["conv_id", "parent_turn"], "left_semi").select("conv_id", "turn", "parent_turn"))
-    roots = turns.join(replies, ["conv_id", "turn"], "left_anti").select("conv_id", "turn")
+    turns = linked.where("conv_id is not null and turn is not null").select("conv_id", "node", "turn", "parent_node", "parent_turn")
+    above = turns.select("conv_id", F.col("node").alias("parent_node"))
+    replies = settle(turns.where("parent_turn < turn").join(above, ["conv_id", "parent_node"], "left_semi").select("conv_id", "node", "parent_node"))
+    roots = turns.join(replies, ["conv_id", "node"], "left_anti").select("conv_id", "node", "turn")
 
     # messages below each one, those up to a distance at a time: jump is the message at exactly that distance above
-    below = replies.select("conv_id", "turn", F.lit(0).cast("long").alias("below")).limit(0)
-    jumps = replies.withColumnRenamed("parent_turn", "jump")
+    below = replies.select("conv_id", "node", F.lit(0).cast("long").alias("below")).limit(0)
+    jumps = replies.withColumnRenamed("parent_node", "jump")
     while not jumps.isEmpty():
-        more = jumps.join(below, ["conv_id", "turn"], "left").groupBy("conv_id", F.col("jump").alias("turn")).agg(F.sum(F.coalesce("below", F.lit(0)) + 1).alias("below"))
-        below = settle(below.unionByName(more).groupBy("conv_id", "turn").agg(F.sum("below").alias("below")))
-        far = jumps.select("conv_id", F.col("turn").alias("jump"), F.col("jump").alias("far"))
-        jumps = settle(jumps.join(far, ["conv_id", "jump"]).select("conv_id", "turn", F.col("far").alias("jump")))
-
-    sized = lambda x: x.join(below, ["conv_id", "turn"], "left").withColumn("size", F.coalesce("below", F.lit(0)) + 1).drop("below")
-    threads = _before(sized(roots), ["conv_id"]).select("conv_id", F.col("turn").alias("thread"), "before")
-    path = _before(sized(replies), ["conv_id", "parent_turn"])
-    path = settle(path.select("conv_id", "turn", F.col("parent_turn").alias("up"), F.lit(1).alias("depth"), (F.col("before") + 1).alias("after")))
+        more = jumps.join(below, ["conv_id", "node"], "left").groupBy("conv_id", F.col("jump").alias("node")).agg(F.sum(F.coalesce("below", F.lit(0)) + 1).alias("below"))
+        below = settle(below.unionByName(more).groupBy("conv_id", "node").agg(F.sum("below").alias("below")))
+        far = jumps.select("conv_id", F.col("node").alias("jump"), F.col("jump").alias("far"))
+        jumps = settle(jumps.join(far, ["conv_id", "jump"]).select("conv_id", "node", F.col("far").alias("jump")))
+
+    sized = lambda x: x.join(below, ["conv_id", "node"], "left").withColumn("size", F.coalesce("below", F.lit(0)) + 1).drop("below")
+    threads = _before(sized(roots), ["conv_id"]).select("conv_id", F.col("node").alias("thread"), F.col("turn").alias("first_turn"), "before")
+    path = _before(sized(replies), ["conv_id", "parent_node"])
+    path = settle(path.select("conv_id", "node", F.col("parent_node").alias("up"), F.lit(1).alias("depth"), (F.col("before") + 1).alias("after")))
     while True:
-        upper = path.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("after").alias("after2"))
+        upper = path.select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("after").alias("after2"))
         step = path.join(upper, ["conv_id", "up"], "left")
         moved = not step.where("up2 is not null").isEmpty()
         if not moved:
             break
-        path = settle(step.select("conv_id", "turn", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("after") + F.coalesce("after2", F.lit(0))).alias("after")))
-    first = roots.select("conv_id", "turn", F.col("turn").alias("thread"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("after"))
+        path = settle(step.select("conv_id", "node", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("after") + F.coalesce("after2", F.lit(0))).alias("after")))
+    first = roots.select("conv_id", "node", F.col("node").alias("thread"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("after"))
     placed = path.withColumnRenamed("up", "thread").unionByName(first).join(threads, ["conv_id", "thread"])
-    placed = placed.select("conv_id", "turn", "thread", "depth", (F.col("before") + F.col("after")).alias("position"))
-    return linked.join(placed, ["conv_id", "turn"], "left")
+    placed = placed.select("conv_id", "node", F.col("first_turn").alias("thread"), "depth", (F.col("before") + F.col("after")).alias("position"))
+    return linked.join(placed, ["conv_id", "node"], "left")
 
 
 def _before(rows: DataFrame, group: list[str]) -> DataFrame:
-    """``rows`` with ``before``: the sum of ``size`` over the rows of the same group with a smaller turn, by ranges."""
-    ranged = settle(rows.repartitionByRange(*group, "turn").withColumn("range", F.spark_partition_id()))
+    """``rows`` with ``before``: the sum of ``size`` over the rows of the same group with a smaller node, by ranges."""
+    ranged = settle(rows.repartitionByRange(*group, "node").withColumn("range", F.spark_partition_id()))
     earlier = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = ranged.groupBy(*group, "range").agg(F.sum("size").alias("size"))
     totals = totals.select(*group, "range", earlier(Window.partitionBy(*group).orderBy("range")).alias("base"))
-    within = ranged.withColumn("within", earlier(Window.partitionBy(*group, "range").orderBy("turn")))
+    within = ranged.withColumn("within", earlier(Window.partitionBy(*group, "range").orderBy("node")))
     return within.join(totals, [*group, "range"]).withColumn("before", F.col("base") + F.col("within")).drop("base", "within", "range")
 
 
@@ -172,4 +175,4 @@ def formatted(ordered: DataFrame) -> DataFrame:
     A conversation's chat is that of its messages by ``position``, one after the other; it isn't gathered into one row.
     """
     line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("body"), F.lit("\n"))
-    return ordered.withColumn("chat", F.when(F.col("position").isNotNull(), line))
+    return ordered.drop("node", "parent_node").withColumn("chat", F.when(F.col("position").isNotNull(), line))

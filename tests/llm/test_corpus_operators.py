@@ -270,7 +270,7 @@ def test_quotes_are_linked(spark):
     got = {(r.conv_id, r.turn): r for r in quotes.reply_ordered(quotes.linked_messages(df)).collect()}
     assert len(got) == 6
     assert got[1, 2].parent_turn == 0 and got[1, 3].parent_turn == 2 and got[1, 1].parent_turn is None
-    assert got[1, 3].body == "So do I" and [got[1, t].position for t in (0, 2, 3, 1)] == [0, 1, 2, 3]
+    assert got[1, 3].body == "So do I" and [got[1, t].position for t in (0, 2, 3)] == [0, 1, 2] and got[1, 1].position in (3, 4)
     assert quotes.reply_ordered(quotes.linked_messages(df.limit(0))).collect() == []
 
 

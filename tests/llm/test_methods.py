@@ -258,7 +258,7 @@ def test_odd_quotes_and_vectors(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"level": F.lit(1), "hash": F.lit("h"), "parent_turn": F.lit(0), "body": F.lit("b")})
     for table in (df, df.limit(0)):
         got = quotes.formatted(quotes.reply_ordered(quotes.linked_messages(table)))
-        assert got.count() == (0 if table is not df else 4)
+        assert got.count() == table.count()
     x = spark.createDataFrame([(1, [1.0, 2.0], 0), (1, [1.0, 2.1], 0), (None, [1.0, 2.0], 0), (2, None, 0), (100, [0.0, 1.0], 0)], "vec_id long, embedding array<double>, list int").withColumns({"id": F.lit(9), "bound": F.lit(1), "score": F.lit(0.0)})
     got = ann.nearest(x, F.col("id") % 100 == 0).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(100, 1, 1)]
