@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import time
 import uuid
 
@@ -11,6 +12,16 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Paths that this thread has settled and not forgotten, in order.
+_mine = threading.local()
+
+
+def _paths() -> list[str]:
+    if not hasattr(_mine, "paths"):
+        _mine.paths = []
+    return _mine.paths
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share; where it is unset, one of this machine in local
     mode, as in tests, and an error on a cluster."""
@@ -30,14 +41,31 @@ def settle(df: DataFrame, spread: int | None = None) -> DataFrame:
     (df.coalesce(spread) if spread else df).write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.settled_at = path
+    _paths().append(path)
     return found
 
 
 def forget(df: DataFrame) -> None:
     """Deletes a settled table that no plan will read again, by the file system that holds it."""
-    jvm, path = df.sparkSession.sparkContext._jvm, df.settled_at
-    path = jvm.org.apache.hadoop.fs.Path(path)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _forget(df.sparkSession, df.settled_at)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _paths():
+        _paths().remove(path)
+
+
+def settled_so_far() -> int:
+    return len(_paths())
+
+
+def forget_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Deletes what this thread has settled since ``mark`` but for the tables to keep: for steps whose result is one."""
+    kept = {getattr(df, "settled_at", None) for df in keep}
+    for path in [p for p in _paths()[mark:] if p not in kept]:
+        _forget(spark, path)
 
 
 def with_keys(documents: DataFrame) -> DataFrame:

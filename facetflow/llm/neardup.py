@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.llm._shared import bucket_components, components, counted, release, settle, with_keys
+from facetflow.llm._shared import bucket_components, components, counted, forget_since, release, settle, settled_so_far, with_keys
 from facetflow.llm._words import blocks, mix, shingles
 
 #: Minima in each left or right hash.
@@ -344,7 +344,10 @@ def kept_documents(documents: DataFrame, **how: int | float) -> DataFrame:
     """
     rows = with_keys(documents)
     text = rows.select(F.col("__key").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    mark = settled_so_far()
     found = settle(near_duplicates(text, **how).select(F.col("doc_id").alias("__key"), "n_shingles", F.col("component_id").alias("__group")))
+    forget_since(documents.sparkSession, mark, found)
+    release(documents.sparkSession)
     bare = rows.join(found.where("coalesce(n_shingles, 0) = 0").select("__key"), "__key", "left_semi").select("__key", "doc_id", "text")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__key"))
     one = bare.where("text is not null").groupBy("text").agg(first.alias("f")).select("f.__key")

@@ -52,6 +52,9 @@ CASE WHEN size(array_distinct(s)) = size(s) THEN 0L ELSE
 END
 """
 
+#: Labelled documents up to which their ids are broadcast.
+FEW_LABELS = 2_000_000
+
 
 def _count(kept: str) -> Column:
     """Characters of the class ``kept`` in the text."""
@@ -211,6 +214,8 @@ def kept_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     The list is learned from the labelled documents; each row is judged by its own text, whatever its doc_id is.
     """
     labelled = labels.where("quality is not null").select("doc_id").distinct()
+    if labelled.count() <= FEW_LABELS:
+        labelled = F.broadcast(labelled)  # so texts aren't shuffled to find theirs
     _, rules = quality(documents.join(labelled, "doc_id", "left_semi").select("doc_id", "text"), labels)
     rows = documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"))
     return apply(features(base_statistics(rows)), rules).where("kept").select("__row.*")
