@@ -15,19 +15,24 @@ import json
 import math
 import uuid
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from facetflow.functions.numbers import f_quantile, normal_quantile
 from facetflow.operators.preprocess import DIVISOR, SHIFT, Preprocess, total
+from facetflow.operators.thin import dual, triangular
+from facetflow.sources.scratch import for_a_while
 
 #: Features up to which the Gram matrix is a declarative aggregate, and at most.
 DECLARED, MOST_FEATURES = 16, 8192
+#: Features up to which scores are expressions.
+EXPRESSIONS = 1024
 #: Bytes of a block of matrix rows.
 BLOCK_BYTES = 1 << 20
 #: Patterns of gaps whose sums are gathered, at most.
@@ -184,6 +189,8 @@ class PCAModel:
         Models of incomplete tables regress each row on the cells that are there, a component after the other.
         """
         df = self.preprocess.prepared(self.aligned(df))
+        if self.by_arrays:
+            return self._projected_arrays(df)
         if not self.extra.get("incomplete"):
             return df.withColumns(dict(zip(self.labels, self.score_columns(), strict=True)))
         cells = self.preprocess.expressions()
@@ -196,12 +203,36 @@ class PCAModel:
             df = df.withColumn(p, F.coalesce(F.try_divide(top, under), F.lit(0.0))).withColumns({n: F.col(n) - F.col(p) * float(v) for n, v in zip(names, w, strict=True)})
         return df
 
+    @property
+    def by_arrays(self) -> bool:
+        """Whether rows are scored as arrays, as expressions of many features take longer to plan than to compute."""
+        return len(self.features) > EXPRESSIONS and not self.extra.get("incomplete")
+
+    def _projected_arrays(self, df: DataFrame) -> DataFrame:
+        """``df`` with the scores and ``__rss``, from one product a batch; null where a feature is."""
+        shift, scale = np.array(self.preprocess.shifts_and_scales()).T
+        sent, m, labels, width = df.sparkSession.sparkContext.broadcast((shift, scale, self.loadings)), len(self.features), self.labels, len(df.columns)
+        given = df.withColumn("__x", F.array(*[F.coalesce(c, F.lit(float("nan"))) for c in self.preprocess.rows(self.features)]))
+        schema = StructType([*df.schema.fields, *[StructField(c, DoubleType()) for c in (*labels, "__rss")]])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shift, scale, loadings = sent.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    b = whole.slice(at, 512)
+                    x = (b.column(width).flatten().to_numpy(zero_copy_only=False).reshape(-1, m) - shift) / scale
+                    t = x @ loadings
+                    rest = x - t @ loadings.T
+                    yield pa.RecordBatch.from_arrays([*b.columns[:width], *[pa.array(c, from_pandas=True) for c in (*t.T, (rest * rest).sum(1))]], names=schema.names)
+
+        return given.mapInArrow(run, schema)
+
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with PC1 to PCk; a row with a null feature gets null scores, unless the model is of incomplete rows.
 
         Order and further columns don't matter.
         """
-        return self._projected(df).drop(SHIFT, DIVISOR, *[f"__x{j}" for j in range(len(self.features))])
+        return self._projected(df).drop(SHIFT, DIVISOR, "__rss", *([] if self.by_arrays else [f"__x{j}" for j in range(len(self.features))]))
 
     def diagnostics(self, df: DataFrame) -> DataFrame:
         """transform(), t2, mahalanobis, rss (of preprocessed features) and is_outlier (T^2 beyond its 99.9 % limit)."""
@@ -209,12 +240,17 @@ class PCAModel:
         inverse = self.inverse_covariance()
         t = [F.col(p) for p in self.labels]
         t2 = total([t[i] * t[j] * float(inverse[i, j]) for i in range(self.k) for j in range(self.k)])
-        if self.extra.get("incomplete"):
+        if self.by_arrays:
+            out = out.withColumns({"t2": t2, "rss": F.col("__rss")}).drop("__rss")
+            rest = None
+        elif self.extra.get("incomplete"):
             rest = [F.coalesce(F.col(f"__x{j}"), F.lit(0.0)) for j in range(len(self.features))]
         else:
             x = self.preprocess.expressions()
             rest = [x[j] - total([t[i] * float(self.loadings[j, i]) for i in range(self.k)]) for j in range(len(x))]
-        out = out.withColumns({"t2": t2, "rss": total([r * r for r in rest])}).drop(SHIFT, DIVISOR, *[f"__x{j}" for j in range(len(self.features))])
+        if rest is not None:
+            out = out.withColumns({"t2": t2, "rss": total([r * r for r in rest])}).drop(*[f"__x{j}" for j in range(len(self.features))])
+        out = out.drop(SHIFT, DIVISOR)
         limit = self.t2_limit(1 - ALPHA)
         return out.withColumns({"mahalanobis": F.sqrt(F.greatest("t2", F.lit(0.0))), "is_outlier": F.col("t2") > limit if limit > 0 else F.lit(False)})
 
@@ -316,9 +352,12 @@ class PCAModel:
         return asdict(self.preprocess) | {"k": self.k, "method": self.method}
 
 
-def fit(df: DataFrame, features: list[str], k: int = 2, preprocess: Preprocess | None = None, method: str = "svd", missing: str = "error") -> PCAModel:
+def fit(df: DataFrame, features: list[str], k: int = 2, preprocess: Preprocess | None = None, method: str = "svd", missing: str = "error", exact: bool = False) -> PCAModel:
     """A model of ``features`` with k components.
 
+    More than MOST_FEATURES features are fitted by the products of rows with each other, if there are few rows. exact:
+    a second pass by partial QR factors, for nearly collinear features, whose small eigenvalues their products lose.
+
     method: svd or nipals, which differ in the eigenvalues beyond k (nipals spreads what is left evenly). missing: error,
     drop, mean, median, zero, or native (nipals only; see ``nipals_missing``).
     """
@@ -334,6 +373,9 @@ def fit(df: DataFrame, features: list[str], k: int = 2, preprocess: Preprocess |
     x = df.select(*[F.col(c).cast("double").alias(c) for c in features])
     x = x.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in features])
 
+    if len(features) > MOST_FEATURES:
+        return _fit_dual(x, features, k, pre, method, missing)
+
     def measured(x: DataFrame) -> Moments:
         return moments(pre.prepared(x, features), pre.rows(features))
 
@@ -358,6 +400,11 @@ def fit(df: DataFrame, features: list[str], k: int = 2, preprocess: Preprocess |
     g = covariance + n * np.outer(mean, mean)
     values, vectors = np.linalg.eigh(g / (n - 1))
     values, vectors = np.maximum(values[::-1], 0), signed(vectors[:, ::-1])
+    if exact:
+        ready = pre.prepared(x.na.drop()).select(F.array(*pre.expressions()).alias("x"))
+        _, sizes, turned = np.linalg.svd(triangular(ready, len(features)))
+        values = np.concatenate([sizes**2 / (n - 1), np.zeros(len(features) - len(sizes))])
+        vectors = signed(turned.T)
     values = values[: min(n, len(features))]
     spread = np.sqrt(np.diag(g) / (n - 1))
     if method == "nipals" and len(values) > k:
@@ -368,13 +415,51 @@ def fit(df: DataFrame, features: list[str], k: int = 2, preprocess: Preprocess |
     return model
 
 
+def _fit_dual(x: DataFrame, features: list[str], k: int, pre: Preprocess, method: str, missing: str) -> PCAModel:
+    """fit() of tables with more features than a matrix of features x features is made for, but few rows."""
+    if missing not in ("error", "drop") or pre.scale == "robust" or pre.snv or pre.vector_norm:
+        raise ValueError(f"more than {MOST_FEATURES} features take complete rows, and centring and scaling by columns only")
+    rows = x.select(F.array(*[F.coalesce(F.col(c), F.lit(float("nan"))) for c in features]).alias("x"))
+    if missing == "drop":
+        rows = rows.where(~F.exists("x", F.isnan))
+    return _dual_model(rows, features, k, pre, method)
+
+
+def fit_array(df: DataFrame, column: str, features: list[str], k: int = 2, preprocess: Preprocess | None = None) -> PCAModel:
+    """A model of the elements of an array column, such as spectra, whose names are ``features``: of few rows and any
+    number of features, which as columns of a table would take long to plan. Rows of another length or with nulls raise."""
+    pre = preprocess or Preprocess()
+    if pre.scale == "robust" or pre.snv or pre.vector_norm:
+        raise ValueError("arrays take centring and scaling by features only")
+    x = F.col(column).cast("array<double>")
+    odd = x.isNull() | (F.size(x) != len(features)) | F.exists(x, lambda v: v.isNull() | F.isnan(v))
+    if df.where(odd).limit(1).count():
+        raise ValueError("missing values or rows of another length")
+    return _dual_model(df.select(x.alias("x")), features, k, pre, "svd")
+
+
+def _dual_model(rows: DataFrame, features: list[str], k: int, pre: Preprocess, method: str) -> PCAModel:
+    loadings, values, means, deviations, n, squares = dual(rows, len(features), k, pre.center, pre.scale == "standard", pre.scale_only)
+    if not 1 <= k <= n:
+        raise ValueError(f"components must be from 1 to {n}")
+    if method == "nipals" and len(values) > k:
+        values = np.concatenate([values[:k], np.full(len(values) - k, values[k:].sum() / (len(values) - k))])
+    pre = replace(pre, features=tuple(features), means=tuple(means.tolist()), deviations=tuple(deviations.tolist()))
+    model = PCAModel(pre, signed(loadings), values, n, method, extra={"spread": np.sqrt(squares / (n - 1))})
+    if not pre.center or pre.scale_only:
+        shift, scale = np.array(pre.shifts_and_scales()).T
+        middle = ((means - shift) / scale) @ model.loadings
+        model.score_cov = np.diag(values[:k]) - np.outer(middle, middle) * (n / (n - 1))
+    return model
+
+
 def nipals_missing(x: DataFrame, features: list[str], k: int, center: bool = True, tolerance: float = 1e-8, rounds: int = 1000) -> PCAModel:
     """NIPALS on incomplete rows: loadings and scores are regressions over the cells that are there.
 
     Rows with the same gaps share the weights of those regressions, so all that a round asks for follows from the sums of
     products by pattern of gaps: they take one aggregate, and rounds and deflation work on them alone. With more than
-    PATTERNS patterns a round is an aggregate over the table, in which scores are a projection and never stored. What the
-    components leave is spread evenly over the eigenvalues beyond them. Raises if a component doesn't settle.
+    PATTERNS patterns or DECLARED features, see ``_nipals_by_passes``. What the components leave is spread evenly over
+    the eigenvalues beyond them. Raises if a component doesn't settle.
     """
     m = len(features)
     means = x.agg(*[f(c).alias(f"{k}{i}") for k, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count)) for i, c in enumerate(features)]).first()
@@ -382,7 +467,9 @@ def nipals_missing(x: DataFrame, features: list[str], k: int, center: bool = Tru
     table = x.select(*[(F.col(c) - shift[i]).alias(f"x{i}") for i, c in enumerate(features)])
     sums = _pattern_sums(table, m) if m <= DECLARED else None
     if sums is None:
-        loadings, variances, n = _nipals_by_rounds(table, m, k, tolerance, rounds)
+        cells = F.array(*[F.coalesce(F.col(f"x{i}"), F.lit(float("nan"))) for i in range(m)])
+        with for_a_while(table.select(cells.alias("x"))) as arrays:
+            loadings, variances, n = _nipals_by_passes(arrays, m, k, tolerance, rounds)
     else:
         loadings, variances, n = _nipals_by_patterns(*sums, k, tolerance, rounds)
     pre = Preprocess(center=center, features=tuple(features), means=tuple(shift), deviations=(1.0,) * m)
@@ -444,45 +531,84 @@ def _nipals_by_patterns(there: np.ndarray, products: np.ndarray, n: int, k: int,
     return np.array(found).T if found else np.zeros((m, 0)), variances, n
 
 
-def _nipals_by_rounds(table: DataFrame, m: int, k: int, tolerance: float, rounds: int) -> tuple[np.ndarray, list[float], int]:
-    table = table.cache()
-    zero = F.lit(0.0)
+def _gap_sums(x: DataFrame, m: int, before: list[np.ndarray], p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
+    """One pass over array rows with NaN for gaps: sums of weighted products of what the components ``before`` leave,
+    of squared scores by feature, of squares by feature, of squared scores, and the number of rows.
 
-    def score(cells: list[Column], p: np.ndarray) -> Column:
-        top = total([F.coalesce(c * float(w), zero) for c, w in zip(cells, p, strict=True)])
-        return F.coalesce(F.try_divide(top, total([F.when(c.isNotNull(), float(w * w)).otherwise(0.0) for c, w in zip(cells, p, strict=True)])), zero)
+    A row's score on p is its product with p times a weight, one by the squares of p where the row has cells; each row's
+    residuals are made anew from the components before, so nothing is stored between passes.
+    """
+    step = max(1, BLOCK_BYTES // (8 * m))
+    kind = "block int, n long, vectors binary, products binary"
+    sent = x.sparkSession.sparkContext.broadcast((np.array(before).reshape(-1, m), p))
 
-    names = [f"x{i}" for i in range(m)]
-    work, found, variances = table, [], []
-    n = table.count()
-    try:
-        for _ in range(k):
-            cells = [F.col(c) for c in names]
-            power = work.agg(*[F.sum(c * c).alias(f"s{i}") for i, c in enumerate(cells)]).first()
-            power = np.array([v or 0.0 for v in power])
-            if power.max() / max(n, 1) < tolerance:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, current = sent.value
+        n, vectors, products = 0, np.zeros((3, m)), np.zeros((m, m))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                v = batch.column(0).slice(at, 2048).flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+                there = ~np.isnan(v)
+                rest, there = np.where(there, v, 0.0), there.astype(float)
+                for q in known:
+                    under = there @ (q * q)
+                    t = np.where(under > 0, rest @ q / np.where(under > 0, under, 1), 0.0)
+                    rest -= np.outer(t, q) * there
+                under = there @ (current * current)
+                weight = np.where(under > 0, 1 / np.where(under > 0, under, 1), 0.0)
+                t = rest @ current * weight
+                n += len(v)
+                vectors += [there.T @ (t * t), (rest * rest).sum(0), np.full(m, float(t @ t) / m)]
+                products += (rest * weight[:, None]).T @ rest
+        if n:
+            for b, i in enumerate(range(0, m, step)):
+                yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "n": [n], "vectors": [vectors.tobytes()], "products": [products[i : i + step].tobytes()]})
+
+    def meet(table: pa.Table) -> pa.Table:
+        total = lambda name: sum(np.frombuffer(r.as_py()) for r in table[name])
+        return pa.table({"block": table["block"].slice(0, 1), "n": [sum(table["n"].to_pylist())], "vectors": [total("vectors").tobytes()], "products": [total("products").tobytes()]})
+
+    found = x.mapInArrow(run, kind).groupBy("block").applyInArrow(meet, kind).orderBy("block").collect()  # one m x m matrix
+    sent.destroy()
+    if not found:
+        return np.zeros((m, m)), np.zeros(m), np.zeros(m), 0.0, 0
+    vectors = np.frombuffer(found[0]["vectors"]).reshape(3, m)
+    return np.concatenate([np.frombuffer(r["products"]).reshape(-1, m) for r in found]), vectors[0], vectors[1], float(vectors[2].sum()), found[0]["n"]
+
+
+def _nipals_by_passes(x: DataFrame, m: int, k: int, tolerance: float, rounds: int) -> tuple[np.ndarray, list[float], int]:
+    """NIPALS on array rows with gaps, of any number of features and patterns.
+
+    A step of NIPALS regresses scores on loadings and loadings on scores. With the rows' weights and the features' sums of
+    squared scores held as they are at the present loadings, all further steps are powers of one matrix, whose leading
+    vector is found at once; a pass over the rows then renews weights and sums. Both have the same fixed point, but
+    a pass stands for as many steps as there would be, and what changes between passes is the effect of the gaps only.
+    """
+    found, variances = [], []
+    p = np.full(m, m**-0.5)
+    rest, n = 0.0, 0
+    for _ in range(k):
+        products, under, power, square, n = _gap_sums(x, m, found, p)
+        rest = float(power.sum())
+        if power.max(initial=0) / max(n, 1) < tolerance:
+            break
+        for _ in range(rounds):
+            scale = np.where(under > 0, 1 / np.sqrt(np.where(under > 0, under, 1)), 0.0)
+            values, vectors = np.linalg.eigh(products * np.outer(scale, scale))
+            new = vectors[:, -1] * scale
+            new /= np.linalg.norm(new) or 1.0
+            new = new if new @ p >= 0 else -new
+            move, p = float(np.linalg.norm(new - p)), new
+            if move < tolerance:
                 break
-            p = np.zeros(m)
-            p[int(power.argmax())] = 1.0
-            for _ in range(rounds):
-                t = work.withColumn("t", score(cells, p))
-                s = t.agg(F.sum(F.col("t") * F.col("t")), *[f for c in cells for f in (F.sum(c * F.col("t")), F.sum(F.when(c.isNotNull(), F.col("t") * F.col("t"))))]).first()
-                new = np.array([(s[1 + 2 * i] or 0.0) / s[2 + 2 * i] if s[2 + 2 * i] else 0.0 for i in range(m)])
-                new /= np.linalg.norm(new) or 1.0
-                move, p = float(np.linalg.norm(new - p)), new
-                if move < tolerance:
-                    break
-            else:
-                raise ArithmeticError("a component did not converge")
-            p = signed(p[:, None])[:, 0]
-            found.append(p)
-            work = work.withColumn("t", score(cells, p)).select(*[(F.col(c) - F.col("t") * float(w)).alias(c) for c, w in zip(names, p, strict=True)], "t")
-            variances.append(float(work.agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0) / max(n - 1, 1))
-            work = work.drop("t")
-        if found and len(found) < m:
-            left = work.agg(*[F.sum(F.col(c) * F.col(c)).alias(c) for c in names]).first()
-            rest = sum(v or 0.0 for v in left) / max(n - 1, 1)
-            variances += [rest / (m - len(found))] * (m - len(found))
-    finally:
-        table.unpersist()
+            products, under, power, square, n = _gap_sums(x, m, found, p)
+        else:
+            raise ArithmeticError("a component did not converge")
+        found.append(signed(p[:, None])[:, 0])
+        variances.append(square / max(n - 1, 1))
+        p = np.full(m, m**-0.5)
+    else:
+        rest = float(_gap_sums(x, m, found, p)[2].sum())
+    if found and len(found) < m:
+        variances += [rest / max(n - 1, 1) / (m - len(found))] * (m - len(found))
     return np.array(found).T if found else np.zeros((m, 0)), variances, n

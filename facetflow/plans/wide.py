@@ -113,3 +113,36 @@ def reloaded_diagnostics(spark, folder):
     if not np.allclose(model.eigenvalues, _pair_model(df, 2).eigenvalues):
         raise ArithmeticError("eigenvalues changed")
     return _round(model.diagnostics(df).select("l_orderkey", "t2"), ["t2"], 4)
+
+
+# --- many features with gaps, and more features than rows ----------------------------------------------------------
+
+_RISING = [(k, (k + 1) ** 2) for k in range(MANY)]
+_NORM = sum(w for _, w in _RISING)
+
+
+@query(" UNION ALL ".join(f"SELECT 'c{k}' AS feature, round({k + 1} / sqrt({_NORM}), 6) AS value, round(sum(q * q) * {_NORM} / (count(*) - 1), 2) AS eigenvalue FROM (SELECT CASE WHEN l_orderkey = 0 THEN 0.0 ELSE CAST(l_quantity AS DOUBLE) END AS q FROM lineitem)" for k, _ in _RISING))
+def nipals_many_gapped_features(spark, folder):
+    """Twenty multiples of one column, each with gaps of its own, hold one component with rising loadings."""
+    df = _t(spark, folder, "lineitem").select(*[F.when(F.col("l_orderkey") % (k + 5) != 0, F.col("l_quantity") * float(k + 1)).alias(f"c{k}") for k, _ in _RISING])
+    model = pca.fit(df, [f"c{k}" for k, _ in _RISING], 1, Preprocess(center=False), "nipals", "native")
+    rows = [(f, round(float(v), 6), round(float(model.eigenvalues[0]), 2)) for f, v in zip(model.features, model.loadings[:, 0], strict=True)]
+    return spark.createDataFrame(rows, "feature string, value double, eigenvalue double")
+
+
+@query("WITH x AS (SELECT n_nationkey * sin(k) + n_regionkey * cos(3 * k) AS v, k, n_nationkey FROM nation, range(9000) r(k)), c AS (SELECT k, var_samp(v) AS s FROM x GROUP BY 1) SELECT 'all' AS eigenvalues, round(sum(s), 3) AS total, 2 AS rank FROM c")
+def more_features_than_rows(spark, folder):
+    """Nine thousand features of a few rows: eigenvalues add up to the features' variances, and as many as columns were
+    mixed differ from zero."""
+    df = _t(spark, folder, "nation")
+    x = F.transform(F.sequence(F.lit(0), F.lit(8999)), lambda k: F.col("n_nationkey") * F.sin(k.cast("double")) + F.col("n_regionkey") * F.cos(3.0 * k))
+    model = pca.fit_array(df.select(x.alias("x")), "x", [f"f{k}" for k in range(9000)], 2)
+    return spark.createDataFrame([("all", round(float(model.eigenvalues.sum()), 3), int((model.eigenvalues > 1e-6).sum()))], "eigenvalues string, total double, rank int")
+
+
+@query("SELECT 'qty' AS feature, round(var_samp(qty) + var_samp(price) , 2) AS total, round((var_samp(qty) + var_samp(price)) / 2 - sqrt(pow((var_samp(qty) - var_samp(price)) / 2, 2) + pow(covar_samp(qty, price), 2)), 3) AS least FROM " + ORDER_SQL.replace("sum(l_extendedprice) AS price", "sum(l_extendedprice) / 1000 AS price"))
+def eigenvalues_by_factors(spark, folder):
+    """Both eigenvalues of two features from the tree of partial QR factors."""
+    df = _orders(spark, folder).withColumn("price", F.col("price") / 1000)
+    model = pca.fit(df, ORDER, 2, exact=True)
+    return spark.createDataFrame([("qty", round(float(model.eigenvalues.sum()), 2), round(float(model.eigenvalues[1]), 3))], "feature string, total double, least double")

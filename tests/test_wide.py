@@ -166,3 +166,62 @@ def test_broken_documents_are_named(points, path, value):
     else:
         part[last] = value
     assert document.problems(good)
+
+
+def test_wide_rows_with_gaps(spark, monkeypatch):
+    """By passes and by patterns of gaps alike, and loadings of one true component whatever the gaps."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((200, 6)) @ np.diag([5, 4, 3, 1, 0.7, 0.5]) @ np.linalg.qr(rng.standard_normal((6, 6)))[0]
+    x[rng.random(x.shape) < 0.08] = np.nan
+    df = _table(spark, x)
+    one = pca.fit(df, df.columns, 3, method="nipals", missing="native")
+    monkeypatch.setattr(pca, "PATTERNS", 1)
+    monkeypatch.setattr(pca, "BLOCK_BYTES", 100)
+    two = pca.fit(df, df.columns, 3, method="nipals", missing="native")
+    assert np.allclose(one.loadings, two.loadings, atol=1e-6) and np.allclose(one.eigenvalues, two.eigenvalues)
+    t, w = rng.standard_normal((100, 1)), rng.random((1, 40)) + 0.5
+    x = t @ w
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[0] = np.nan
+    model = pca.fit(_table(spark, x), [f"c{i}" for i in range(40)], 1, Preprocess(center=False), "nipals", "native")
+    assert np.allclose(model.loadings[:, 0], w[0] / np.linalg.norm(w)) and np.allclose(model.eigenvalues[1:], 0)
+
+
+@pytest.mark.parametrize("scale, center", [("standard", True), ("none", True), ("none", False)])
+def test_more_features_than_rows(spark, monkeypatch, scale, center):
+    from facetflow.operators import thin
+
+    x = np.random.default_rng(1).standard_normal((12, 40)) + 2
+    x[:, 7] = 3.3
+    df = _table(spark, x).withColumn("k", F.lit("k"))
+    names = df.columns[:-1]
+    pre = Preprocess(center=center, scale=scale)
+    plain = pca.fit(df, names, 3, pre)
+    for module, name, value in ((pca, "MOST_FEATURES", 30), (pca, "EXPRESSIONS", 30), (thin, "CHUNK", 9), (thin, "BLOCK_ROWS", 5)):
+        monkeypatch.setattr(module, name, value)
+    wide = pca.fit(df, names, 3, pre)
+    assert np.allclose(wide.loadings, plain.loadings, atol=1e-7) and np.allclose(wide.eigenvalues, plain.eigenvalues, atol=1e-9) and np.allclose(wide.spread(), plain.spread())
+    arrays = df.select(F.array(*names).alias("spectrum"))
+    assert np.array_equal(pca.fit_array(arrays, "spectrum", names, 3, pre).loadings, wide.loadings)
+    with pytest.raises(ValueError):
+        pca.fit_array(arrays.unionByName(arrays.select(F.slice("spectrum", 1, 3).alias("spectrum"))), "spectrum", names, 3, pre)
+    got = wide.diagnostics(df).orderBy("PC1").collect()
+    monkeypatch.setattr(pca, "EXPRESSIONS", 1024)
+    want = plain.diagnostics(df).orderBy("PC1").collect()
+    assert wide.transform(df).columns == plain.transform(df).columns
+    for c in ("PC1", "PC3", "t2", "rss"):
+        assert np.allclose([r[c] for r in got], [r[c] for r in want], atol=1e-6)
+    with pytest.raises(ValueError):
+        pca.fit(df.withColumn("c1", F.lit(None).cast("double")), names, 2, pre)
+    with pytest.raises(ValueError):
+        pca.fit(df.limit(1), names, 1, pre)
+
+
+def test_nearly_collinear_features_keep_small_eigenvalues(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 3)) * [1, 1e-5, 1e-9] @ np.linalg.qr(rng.standard_normal((3, 3)))[0]
+    x = x @ np.linalg.qr(rng.standard_normal((3, 3)))[0]
+    df = _table(spark, x).repartition(7)
+    want = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2 / 299
+    assert np.allclose(pca.fit(df, df.columns, 3, exact=True).eigenvalues, want, rtol=1e-5, atol=0)
+    assert abs(pca.fit(df, df.columns, 3).eigenvalues[2] / want[2] - 1) > 0.01
