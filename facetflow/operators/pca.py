@@ -583,6 +583,7 @@ def _nipals_by_passes(x: DataFrame, m: int, k: int, tolerance: float, rounds: in
     squared scores held as they are at the present loadings, all further steps are powers of one matrix, whose leading
     vector is found at once; a pass over the rows then renews weights and sums. Both have the same fixed point, but
     a pass stands for as many steps as there would be, and what changes between passes is the effect of the gaps only.
+    Where that doesn't come nearer, as with close eigenvalues and many gaps, passes are single steps from there on.
     """
     found, variances = [], []
     p = np.full(m, m**-0.5)
@@ -592,13 +593,17 @@ def _nipals_by_passes(x: DataFrame, m: int, k: int, tolerance: float, rounds: in
         rest = float(power.sum())
         if power.max(initial=0) / max(n, 1) < tolerance:
             break
+        stalls, last = 0, math.inf
         for _ in range(rounds):
-            scale = np.where(under > 0, 1 / np.sqrt(np.where(under > 0, under, 1)), 0.0)
-            values, vectors = np.linalg.eigh(products * np.outer(scale, scale))
-            new = vectors[:, -1] * scale
+            if stalls < 3:
+                scale = np.where(under > 0, 1 / np.sqrt(np.where(under > 0, under, 1)), 0.0)
+                new = np.linalg.eigh(products * np.outer(scale, scale))[1][:, -1] * scale
+            else:  # leaps that don't come nearer: single steps from here on
+                new = np.where(under > 0, products @ p / np.where(under > 0, under, 1), 0.0)
             new /= np.linalg.norm(new) or 1.0
             new = new if new @ p >= 0 else -new
             move, p = float(np.linalg.norm(new - p)), new
+            stalls, last = stalls + (move > 0.5 * last), move
             if move < tolerance:
                 break
             products, under, power, square, n = _gap_sums(x, m, found, p)
