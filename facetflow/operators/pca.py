@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
 
@@ -387,6 +387,31 @@ def fit(df: DataFrame, features: list[str], k: int = 2, preprocess: Preprocess |
             return nipals_missing(x, features, k, pre.center)
         x = x.na.drop() if missing == "drop" else impute(x, features, missing)
         found = measured(x)
+
+    def factored(ready: Preprocess) -> tuple[np.ndarray, np.ndarray]:
+        _, sizes, turned = np.linalg.svd(triangular(ready.prepared(x.na.drop()).select(F.array(*ready.expressions()).alias("x")), len(features)))
+        return sizes, turned.T
+
+    return _of_moments(found, features, k, pre, method, x, factored if exact else None)
+
+
+def fit_moments(found: Moments, features: list[str], k: int = 2, preprocess: Preprocess | None = None, method: str = "svd") -> PCAModel:
+    """The model of rows of which only the moments are left; centring, standard scaling and scale_only follow from them."""
+    pre = preprocess or Preprocess()
+    if pre.snv or pre.vector_norm or pre.scale == "robust":
+        raise ValueError("rows can't be normalised, nor medians found, from moments")
+    if not found.complete:
+        raise ValueError("moments of incomplete rows")
+    return _of_moments(found, features, k, pre, method)
+
+
+def merged(one: Moments, other: Moments) -> Moments:
+    """Moments of the rows of both."""
+    n, means, products = _met(one.rows, one.means, one.products, other.rows, other.means, other.products)
+    return Moments(n, one.counts + other.counts, means, products)
+
+
+def _of_moments(found: Moments, features: list[str], k: int, pre: Preprocess, method: str, x: DataFrame | None = None, factored: Callable[[Preprocess], tuple[np.ndarray, np.ndarray]] | None = None) -> PCAModel:
     n = found.rows
     if n < 2:
         raise ValueError("needs at least two rows")
@@ -400,11 +425,10 @@ def fit(df: DataFrame, features: list[str], k: int = 2, preprocess: Preprocess |
     g = covariance + n * np.outer(mean, mean)
     values, vectors = np.linalg.eigh(g / (n - 1))
     values, vectors = np.maximum(values[::-1], 0), signed(vectors[:, ::-1])
-    if exact:
-        ready = pre.prepared(x.na.drop()).select(F.array(*pre.expressions()).alias("x"))
-        _, sizes, turned = np.linalg.svd(triangular(ready, len(features)))
+    if factored:
+        sizes, turned = factored(pre)
         values = np.concatenate([sizes**2 / (n - 1), np.zeros(len(features) - len(sizes))])
-        vectors = signed(turned.T)
+        vectors = signed(turned)
     values = values[: min(n, len(features))]
     spread = np.sqrt(np.diag(g) / (n - 1))
     if method == "nipals" and len(values) > k:

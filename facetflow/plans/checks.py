@@ -181,13 +181,13 @@ def refused_csv(spark, folder):
     return spark.createDataFrame(said, "refused string")
 
 
-@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_idx, c_mktsegment || chr(10) || 'x, y' AS note FROM customer")
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_idx, c_mktsegment || chr(10) || '\"x\", y' AS note FROM customer")
 def read_quoted_newlines(spark, folder):
     from dataclasses import replace
 
     path = _folder(spark)
-    rows_ = _customers(spark, folder).select("c_custkey", F.concat("c_mktsegment", F.lit("\nx, y")).alias("note"))
-    rows_.orderBy("c_custkey").select("note").write.csv(path, header=True, quoteAll=True)
+    rows_ = _customers(spark, folder).select("c_custkey", F.concat("c_mktsegment", F.lit('\n"x", y')).alias("note"))
+    rows_.orderBy("c_custkey").select("note").write.csv(path, header=True, quoteAll=True, escape='"')
     return tables.read_text(spark, path, replace(tables.DEFAULT, row_names=False, multi_line=True))
 
 

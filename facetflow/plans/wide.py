@@ -11,6 +11,7 @@ from facetflow.operators import analysis, correlate, document, kernel, pca
 from facetflow.operators.preprocess import Preprocess
 from facetflow.plans.queries import LINE, ORDER, ORDER_SQL, _PAIR, _orders, _pair_model, _round, _t, query
 from facetflow.sources import scratch
+from facetflow.streaming import refit
 
 # --- correlations of many columns ---------------------------------------------------------------------------------
 
@@ -146,3 +147,17 @@ def eigenvalues_by_factors(spark, folder):
     df = _orders(spark, folder).withColumn("price", F.col("price") / 1000)
     model = pca.fit(df, ORDER, 2, exact=True)
     return spark.createDataFrame([("qty", round(float(model.eigenvalues.sum()), 2), round(float(model.eigenvalues[1]), 3))], "feature string, total double, least double")
+
+
+# --- models of streams --------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_PAIR} SELECT 'PC1' AS pc, round(1 + r, 6) AS eigenvalue, (SELECT count(*) FROM {ORDER_SQL}) AS n FROM c UNION ALL SELECT 'PC2', round(1 - r, 6), (SELECT count(*) FROM {ORDER_SQL}) FROM c")
+def refitted_on_stream(spark, folder):
+    """Orders arrive in several batches; the model of the merged moments is that of all of them."""
+    arriving, state, checkpoint = (scratch.new_folder(spark) for _ in range(3))
+    _orders(spark, folder).select("l_orderkey", *ORDER).repartition(3, "l_orderkey").write.parquet(arriving)
+    stream = spark.readStream.schema("l_orderkey long, qty double, price double").option("maxFilesPerTrigger", 1).parquet(arriving)
+    refit.learn(stream, ORDER, state, checkpoint).awaitTermination()
+    model = refit.model(spark, state, ORDER, 2, Preprocess(scale="standard"))
+    return _round(model.variance(spark).select("pc", "eigenvalue", F.lit(int(model.rows)).cast("long").alias("n")), ["eigenvalue"])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from facetflow.functions.numbers import READER_TOKENS, finite_or_null, is_missing, is_numeric, parse_number
+from facetflow.sources import quoted
 
 
 #: Blocks of files whose row numbers are broadcast, at most.
@@ -84,12 +85,19 @@ def read_text(spark: SparkSession, path: str, options: ReadOptions = DEFAULT, ra
 
     Rows of another width are padded or cut; ``ragged`` names a column that holds the raw text of such rows, else null.
     """
-    how = {"sep": options.delimiter, "header": options.header, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "multiLine": options.multi_line}
+    how = {"sep": options.delimiter, "header": options.header, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, }
+    if options.multi_line:
+        df = quoted.rows(spark, path, options.delimiter, options.header, ragged)
+        return _chosen(df, options, ragged)
     df = spark.read.csv(path, inferSchema=False, **how)
     if ragged:
         kind = StructType([*[StructField(c, StringType()) for c in df.columns], StructField(ragged, StringType())])
         df = spark.read.schema(kind).csv(path, columnNameOfCorruptRecord=ragged, enforceSchema=True, **how)
-    df = with_row_index(df)
+    return _chosen(with_row_index(df), options, ragged)
+
+
+def _chosen(df: DataFrame, options: ReadOptions, ragged: str | None) -> DataFrame:
+    """The rows and columns that the options ask for."""
     names = [c for c in df.columns[1:] if c != ragged]
     if options.row_names and names:
         df = df.withColumnRenamed(names[0], "row_name")
@@ -103,18 +111,18 @@ def read_text(spark: SparkSession, path: str, options: ReadOptions = DEFAULT, ra
 
 
 def read_wizard(spark: SparkSession, path: str, delimiter: str = ",", header_row: int = 0, row_name_column: str | None = None, columns: tuple[str, ...] = (), max_rows: int | None = None) -> DataFrame:
-    """Text cells of a file whose header stands in line ``header_row`` (from 0); lines above it are left out."""
-    lines = with_row_index(spark.read.text(path))
-    names = [c.strip() for c in lines.where(F.col("row_idx") == header_row).first()["value"].split(delimiter)]
+    """Text cells of a file whose header is record ``header_row`` (from 0, empty lines not counted); those above it are left out.
+
+    Quoted cells may hold newlines.
+    """
+    rows = quoted.rows(spark, path, delimiter, header_place=header_row)
+    names = [c for c in rows.columns if c != "row_idx"]
     if row_name_column is not None and row_name_column not in names:
         raise ValueError(f"no such column: {row_name_column}")
-    schema = ", ".join(f"`{c}` string" for c in names)
-    cells = F.from_csv("value", F.lit(schema), {"sep": delimiter, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
-    rows = lines.where(F.col("row_idx") > header_row).select((F.col("row_idx") - header_row - 1).alias("row_idx"), cells.alias("c"))
     if max_rows is not None:
         rows = rows.where(F.col("row_idx") < max_rows)
     keep = [c for c in names if c != row_name_column and (not columns or c in columns)]
-    return rows.select("row_idx", *([F.col("c")[row_name_column].alias("row_name")] if row_name_column else []), *[F.col("c")[c].alias(c) for c in keep])
+    return rows.select("row_idx", *([F.col(f"`{row_name_column}`").alias("row_name")] if row_name_column else []), *[F.col(f"`{c}`") for c in keep])
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
