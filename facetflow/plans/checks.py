@@ -102,6 +102,35 @@ def quality_scores(spark, folder):
     return _round(spark.createDataFrame([row], "n_rows long, missing_pct double, duplicates long, outliers long, score double, x_score double"), ["missing_pct", "score", "x_score"])
 
 
+#: Numeric columns of events: the value with gaps, its multiple, one that is mostly missing, and a constant.
+_REPORTED = "(SELECT event_type, CASE WHEN event_id % 7 <> 0 THEN value END AS x, CASE WHEN event_id % 7 <> 0 THEN 3 * value + 1 END AS y, CASE WHEN event_id % 3 = 0 THEN value END AS rare, 2.5 AS flat FROM events)"
+_MOMENTS = " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS k, count(*) AS n, avg({c}) AS m, stddev_pop({c}) AS sd, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3, min({c}) AS lo, max({c}) AS hi FROM e" for c in ("x", "y", "rare", "flat"))
+_CELLS = " UNION ALL ".join(f"SELECT '{c}' AS name, {c} AS v FROM e" for c in ("x", "y", "rare", "flat"))
+_ISSUES = f"""WITH e AS MATERIALIZED {_REPORTED}, s AS ({_MOMENTS}), c AS ({_CELLS}),
+z AS (SELECT c.name, any_value(k) AS k, any_value(sd) AS sd, any_value(lo) AS lo, any_value(hi) AS hi, count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1) OR (sd > 0 AND abs(v - m) / sd > 3)) AS far, avg(pow((v - m) / nullif(sd, 0), 3)) AS g3, avg(pow((v - m) / nullif(sd, 0), 4)) AS g4 FROM c JOIN s USING (name) WHERE v IS NOT NULL GROUP BY 1),
+b AS (SELECT name, bin, count(*) AS h FROM (SELECT c.name, least(floor((v - lo) / ((hi - lo) / 10)), 9) AS bin FROM c JOIN s USING (name) WHERE v IS NOT NULL AND hi > lo AND k >= 10) GROUP BY 1, 2),
+w AS (SELECT name, k, far, sd, CASE WHEN sd > 0 THEN 1.0 * k * k / ((k - 1) * (k - 2)) * g3 END AS skew, CASE WHEN sd > 0 THEN 1.0 * k * k * (k + 1) / ((k - 1.0) * (k - 2) * (k - 3)) * g4 - 3.0 * (k - 1) * (k - 1) / ((k - 2.0) * (k - 3)) END AS kurt FROM z),
+full_bins AS (SELECT s.name, i.i AS bin, coalesce(b.h, 0) AS h FROM s CROSS JOIN range(10) i(i) LEFT JOIN b ON b.name = s.name AND b.bin = i.i), peaks AS (SELECT name, count(*) FILTER (WHERE before < h AND h > after) AS n FROM (SELECT name, h, lag(h) OVER (PARTITION BY name ORDER BY bin) AS before, lead(h) OVER (PARTITION BY name ORDER BY bin) AS after FROM full_bins) GROUP BY 1),
+shapes AS (SELECT w.name, CASE WHEN skew IS NULL OR kurt IS NULL OR k < 10 THEN 'unknown' WHEN abs(skew) < 0.5 AND abs(kurt) < 1 THEN 'normal' WHEN skew > 1 THEN 'right-skewed' WHEN skew < -1 THEN 'left-skewed' WHEN peaks.n >= 2 THEN 'bimodal' ELSE 'unknown' END AS shape FROM w JOIN peaks USING (name)),
+pct AS (SELECT 100.0 * sum(n - k) / (sum(n) + (SELECT count(*) FROM e)) AS p FROM s), dup AS (SELECT sum(n - 1) AS d FROM (SELECT count(*) AS n FROM e GROUP BY x, y, rare, flat, event_type)),
+pairs AS (SELECT 'x,y' AS columns, corr(x, y) AS r FROM e UNION ALL SELECT 'x,rare', corr(x, rare) FROM e UNION ALL SELECT 'y,rare', corr(y, rare) FROM e)
+SELECT CASE WHEN p > 20 THEN 'error' ELSE 'warning' END AS level, 'missing' AS kind, '' AS columns, 'impute or drop' AS advice FROM pct WHERE p > 10
+UNION ALL SELECT 'error', 'missing', name, 'impute or drop' FROM s WHERE 100.0 * (n - k) / n > 50
+UNION ALL SELECT 'warning', 'duplicate', '', 'drop duplicates' FROM dup WHERE d > 0
+UNION ALL SELECT 'warning', 'outlier', name, 'robust scaling or removal' FROM w WHERE far > 0.1 * k
+UNION ALL SELECT 'warning', 'correlation', columns, 'drop one of each pair' FROM pairs WHERE abs(r) > 0.95
+UNION ALL SELECT 'info', 'variance', name, 'drop' FROM w WHERE sd < 0.01
+UNION ALL SELECT 'info', 'distribution', string_agg(name, ',' ORDER BY CASE name WHEN 'x' THEN 1 WHEN 'y' THEN 2 WHEN 'rare' THEN 3 ELSE 4 END), 'log or square root' FROM shapes WHERE shape <> 'normal' HAVING count(*) > 0"""
+
+
+@query(_ISSUES)
+def report_issues(spark, folder):
+    """What the report finds wrong with four numeric columns and a category, and what it advises."""
+    gap, value = F.col("event_id") % 7 != 0, F.col("value")
+    df = _t(spark, folder, "events").select("event_type", F.when(gap, value).alias("x"), F.when(gap, 3 * value + 1).alias("y"), F.when(F.col("event_id") % 3 == 0, value).alias("rare"), F.lit(2.5).alias("flat"))
+    return profile.issue_rows(spark, profile.quality_report(df, ["x", "y", "rare", "flat"], ["event_type"]))
+
+
 # --- sources and sinks --------------------------------------------------------------------------------------------
 
 
@@ -125,8 +154,10 @@ def _cells(spark: SparkSession, rows_: DataFrame, header: str, cells: list, sepa
 def _lines(spark: SparkSession, rows_: DataFrame, top: list[str], cells: list, separator: str) -> str:
     """Text files of the lines ``top`` and the rows in order of c_custkey; null cells leave their rows too narrow."""
     path = _folder(spark)
-    head = spark.createDataFrame([(i - len(top), x) for i, x in enumerate(top)], "i long, value string")
-    head.unionByName(rows_.select(F.col("c_custkey").alias("i"), F.concat_ws(separator, *cells).alias("value"))).orderBy("i").select("value").write.text(path)
+    lines = rows_.select(F.col("c_custkey").alias("i"), F.concat_ws(separator, *cells).alias("value"))
+    if top:
+        lines = lines.unionByName(spark.createDataFrame([(i - len(top), x) for i, x in enumerate(top)], "i long, value string"))
+    lines.orderBy("i").select("value").write.text(path)
     return path
 
 
@@ -199,10 +230,18 @@ def wizard_import(spark, folder):
     return tables.read_wizard(spark, path, "\t", header_row=1, row_name_column="name", columns=("segment",), max_rows=50)
 
 
-@query("SELECT 'customers.csv' AS name, 'csv' AS format UNION ALL SELECT 'a.tsv', 'tsv' UNION ALL SELECT 'b.xlsx', 'excel' UNION ALL SELECT 'c.json', 'json' UNION ALL SELECT 'text of tabs', 'tsv' UNION ALL SELECT 'text of objects', 'json' UNION ALL SELECT 'text of commas', 'csv' UNION ALL SELECT 'zip', 'excel'")
+@query("SELECT f.name AS name, f.format AS format, count(*) AS n_lines FROM customer, (VALUES ('csv file', 'csv'), ('json file', 'json'), ('text of commas', 'csv'), ('text of tabs', 'tsv'), ('text of objects', 'json')) f(name, format) GROUP BY 1, 2")
 def file_formats(spark, folder):
-    given = [("customers.csv", b""), ("a.tsv", b""), ("b.xlsx", b""), ("c.json", b""), ("text of tabs", b"a\tb\tc\n1\t2\t3"), ("text of objects", b' [{"a": 1}]'), ("text of commas", b"a,b\n1,2"), ("zip", b"PK\x03\x04....")]
-    return spark.createDataFrame([(n, tables.format_of(n, head)) for n, head in given], "name string, format string")
+    """Formats of the customers' files: two by the names' endings, three by what text files hold."""
+    customers = _customers(spark, folder)
+    cells = [F.col(c).cast("string") for c in CUSTOMER]
+    by_name = {"csv file": _folder(spark), "json file": _folder(spark)}
+    customers.write.csv(by_name["csv file"])
+    customers.write.json(by_name["json file"])
+    objects = F.to_json(F.struct(*CUSTOMER))
+    paths = by_name | {"text of commas": _lines(spark, customers, [], cells, ","), "text of tabs": _lines(spark, customers, [], cells, "\t"), "text of objects": _lines(spark, customers, [], [objects], "")}
+    found = [(name, tables.file_format(spark, f"{path}/part-*"), spark.read.text(path).count()) for name, path in paths.items()]
+    return spark.createDataFrame(found, "name string, format string, n_lines long")
 
 
 @query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_idx, CAST(c_custkey AS BIGINT) AS c_custkey, CAST(c_acctbal AS DOUBLE) AS c_acctbal, c_mktsegment FROM customer")
@@ -467,10 +506,11 @@ def ellipses_at_levels(spark, folder):
     return _round(_round(found.drop("minor", "angle"), ["center_x", "center_y"], 5), ["major"], 4)
 
 
-@query("SELECT 'g' AS g, i, round(1 + 2 * cos(2 * pi() * i / 100), 6) AS x, round(3 + sin(2 * pi() * i / 100), 6) AS y FROM (SELECT CAST(i AS INT) AS i FROM range(101) r(i))")
+@query(_ELLIPSE + ", a AS (SELECT *, sqrt(5.991 * (h + g)) AS major, sqrt(5.991 * (h - g)) AS minor, atan2(2 * c, vx - vy) / 2 AS angle FROM e) SELECT l_returnflag, CAST(i AS INT) AS i, round(cx + major * cos(2 * pi() * i / 100) * cos(angle) - minor * sin(2 * pi() * i / 100) * sin(angle), 4) AS x, round(cy + major * cos(2 * pi() * i / 100) * sin(angle) + minor * sin(2 * pi() * i / 100) * cos(angle), 4) AS y FROM a, range(101) r(i)")
 def ellipse_path(spark, folder):
-    given = spark.createDataFrame([("g", 1.0, 3.0, 2.0, 1.0, 0.0)], "g string, center_x double, center_y double, major double, minor double, angle double")
-    return _round(correlate.ellipse_paths(given, "g"), ["x", "y"])
+    """The 95 % ellipses of lines by return flag, point by point."""
+    found = correlate.ellipses(_t(spark, folder, "lineitem"), "l_returnflag", "l_quantity", "l_tax")
+    return _round(correlate.ellipse_paths(found, "l_returnflag"), ["x", "y"], 4)
 
 
 @query("SELECT c_custkey, round((c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()), 6) AS shade FROM customer")
@@ -478,39 +518,46 @@ def colour_shades(spark, folder):
     return _round(views.normalised(_t(spark, folder, "customer").select("c_custkey", "c_acctbal"), "c_acctbal").select("c_custkey", "shade"), ["shade"])
 
 
-_LOADINGS = [(0, "a", "PC1", 0.6, 0.5), (1, "b", "PC1", -0.8, 0.05), (2, "c", "PC1", 0.0, 0.3), (0, "a", "PC2", 0.3, 0.2), (1, "b", "PC2", 0.1, -0.02), (2, "c", "PC2", 0.005, 0.4)]
+_PRICES = ORDER_SQL.replace("sum(l_extendedprice) AS price", "sum(l_extendedprice) / 1000 AS price")
+#: Two centred features: their covariances, eigenvalues, directions (the larger entry positive), loadings and scores.
+_LOADED = f"""WITH o AS (SELECT l_orderkey, qty - avg(qty) OVER () AS a, price - avg(price) OVER () AS b FROM {_PRICES}), g AS (SELECT count(*) AS n, var_samp(a) AS p, covar_samp(a, b) AS q, var_samp(b) AS s FROM o),
+w AS (SELECT *, (p + s) / 2 + sqrt(pow((p - s) / 2, 2) + q * q) AS l1, (p + s) / 2 - sqrt(pow((p - s) / 2, 2) + q * q) AS l2 FROM g), d AS (SELECT *, sqrt(q * q + pow(l1 - p, 2)) AS n1, sqrt(q * q + pow(l2 - p, 2)) AS n2 FROM w),
+u AS (SELECT *, q / n1 AS a1, (l1 - p) / n1 AS b1, q / n2 AS a2, (l2 - p) / n2 AS b2 FROM d), v AS (SELECT n, p, s, l1, l2, a1 * s1 AS a1, b1 * s1 AS b1, a2 * s2 AS a2, b2 * s2 AS b2 FROM (SELECT *, CASE WHEN abs(a1) >= abs(b1) THEN sign(a1) ELSE sign(b1) END AS s1, CASE WHEN abs(a2) >= abs(b2) THEN sign(a2) ELSE sign(b2) END AS s2 FROM u)),
+l AS (SELECT 0 AS feature_idx, 'qty' AS feature, a1 AS x, a2 AS y, a1 * sqrt(l1 / p) AS cx, a2 * sqrt(l2 / p) AS cy FROM v UNION ALL SELECT 1, 'price', b1, b2, b1 * sqrt(l1 / s), b2 * sqrt(l2 / s) FROM v),
+t AS (SELECT greatest(max(abs(a * a1 + b * b1)), max(abs(a * a2 + b * b2))) AS reach FROM o, v)"""
 
 
-def _loadings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_LOADINGS, "feature_idx int, feature string, pc string, value double, correlation double")
+def _loaded(spark: SparkSession, folder: str) -> tuple[DataFrame, pca.PCAModel]:
+    """Orders with prices in thousands, and a model of both components."""
+    df = _orders(spark, folder).withColumn("price", F.col("price") / 1000)
+    return df, pca.fit(df, ORDER, 2)
 
 
-@query("SELECT * FROM (VALUES (1, 'b', 'PC1', -0.8, 0.05), (0, 'a', 'PC1', 0.6, 0.5)) v(feature_idx, feature, pc, value, correlation)")
+@query(_LOADED + " SELECT CAST(feature_idx AS INT) AS feature_idx, feature, 'PC1' AS pc, round(x, 6) AS value, round(cx, 6) AS correlation FROM l ORDER BY abs(x) DESC LIMIT 1")
 def largest_loadings(spark, folder):
-    return views.largest_loadings(_loadings(spark), "PC1", 2)
+    return _round(views.largest_loadings(_loaded(spark, folder)[1].loading_rows(spark), "PC1", 1), ["value", "correlation"])
 
 
-@query("SELECT feature, round(x, 6) AS x, round(y, 6) AS y, round(sqrt(x * x + y * y), 6) AS magnitude FROM (VALUES ('a', 0.6, 0.3), ('b', -0.8, 0.1)) v(feature, x, y)")
+@query(_LOADED + " SELECT feature, round(x, 6) AS x, round(y, 6) AS y, round(sqrt(x * x + y * y), 6) AS magnitude FROM l")
 def biplot_arrows(spark, folder):
-    return _round(views.biplot_vectors(_loadings(spark)).drop("feature_idx"), ["x", "y", "magnitude"])
+    return _round(views.biplot_vectors(_loaded(spark, folder)[1].loading_rows(spark)).drop("feature_idx"), ["x", "y", "magnitude"])
 
 
-@query("SELECT feature, round(x, 6) AS x, round(y, 6) AS y, round(sqrt(x * x + y * y), 6) AS magnitude FROM (VALUES ('a', 0.5, 0.2), ('c', 0.3, 0.4)) v(feature, x, y)")
+@query(_LOADED + " SELECT feature, round(cx, 6) AS x, round(cy, 6) AS y, round(sqrt(cx * cx + cy * cy), 6) AS magnitude FROM l")
 def circle_arrows(spark, folder):
-    return _round(views.circle_vectors(_loadings(spark)).drop("feature_idx"), ["x", "y", "magnitude"])
+    return _round(views.circle_vectors(_loaded(spark, folder)[1].loading_rows(spark)).drop("feature_idx"), ["x", "y", "magnitude"])
 
 
-@query("WITH v AS (SELECT * FROM (VALUES ('a', 0.6, 0.3), ('b', -0.8, 0.1), ('c', 0.0, 0.005)) v(feature, x, y)), w AS (SELECT feature, x * sqrt(0.64) AS x, y * sqrt(0.36) AS y FROM v), f AS (SELECT 0.65 * (SELECT max(abs(c_acctbal)) / 100000 FROM customer) / 0.64 AS f) SELECT feature, round(x * f, 6) AS x, round(y * f, 6) AS y FROM w, f")
+@query(_LOADED + ", r AS (SELECT feature, x * sqrt(l1 / (l1 + l2)) AS x, y * sqrt(l2 / (l1 + l2)) AS y FROM l, v), f AS (SELECT least(100, greatest(0.1, 0.65 * max(reach) / greatest(max(abs(x)), max(abs(y))))) AS f FROM r, t) SELECT feature, round(x * f, 4) AS x, round(y * f, 4) AS y FROM r, f")
 def biplot_scaling(spark, folder):
-    scores = _t(spark, folder, "customer").select((F.col("c_acctbal") / 100000).alias("PC1"), F.lit(0.0).alias("PC2"))
-    variance = spark.createDataFrame([("PC1", 64.0), ("PC2", 36.0)], "pc string, ratio_pct double")
-    return _round(views.scaled_loadings(_loadings(spark), variance, scores).drop("feature_idx"), ["x", "y"])
+    df, model = _loaded(spark, folder)
+    return _round(views.scaled_loadings(model.loading_rows(spark), model.variance(spark), model.transform(df)).drop("feature_idx"), ["x", "y"], 4)
 
 
-@query("WITH s AS (SELECT max(abs(c_acctbal)) / 100000 AS m FROM customer) SELECT feature, round(x * 0.8 * m / 0.8, 6) AS x, round(y * 0.8 * m / 0.8, 6) AS y FROM s, (VALUES ('a', 0.6, 0.3), ('b', -0.8, 0.1), ('c', 0.0, 0.005)) v(feature, x, y)")
+@query(_LOADED + ", f AS (SELECT 0.8 * max(reach) / greatest(max(abs(x)), max(abs(y))) AS f FROM l, t) SELECT feature, round(x * f, 4) AS x, round(y * f, 4) AS y FROM l, f")
 def gabriel_scaling(spark, folder):
-    scores = _t(spark, folder, "customer").select((F.col("c_acctbal") / 100000).alias("PC1"), F.lit(0.0).alias("PC2"))
-    return _round(views.gabriel_loadings(_loadings(spark), scores).drop("feature_idx"), ["x", "y"])
+    df, model = _loaded(spark, folder)
+    return _round(views.gabriel_loadings(model.loading_rows(spark), model.transform(df)).drop("feature_idx"), ["x", "y"], 4)
 
 
 @query("WITH d AS (SELECT c_custkey, abs(c_acctbal) AS mahalanobis, CAST(c_custkey AS DOUBLE) AS rss FROM customer), m AS (SELECT max(mahalanobis) AS a, max(rss) AS b FROM d) SELECT c_custkey, mahalanobis, rss, round(sqrt(pow(mahalanobis / a, 2) + pow(rss / b, 2)), 6) AS distance FROM d, m ORDER BY sqrt(pow(mahalanobis / a, 2) + pow(rss / b, 2)) DESC, c_custkey LIMIT 10")
@@ -530,9 +577,9 @@ def scree_table(spark, folder):
     return _round(views.scree(_pair_model(_orders(spark, folder), 2).variance(spark)), ["ratio_pct", "cumulative_pct"], 5)
 
 
-@query("SELECT feature, round(x, 6) AS x, round(y, 6) AS y, CAST(NULL AS DOUBLE) AS z FROM (VALUES ('a', 0.6, 0.3), ('b', -0.8, 0.1), ('c', 0.0, 0.005)) v(feature, x, y)")
+@query(_LOADED + " SELECT feature, round(x, 6) AS x, round(y, 6) AS y, CAST(NULL AS DOUBLE) AS z FROM l")
 def space_arrows(spark, folder):
-    return _round(views.space_vectors(_loadings(spark)).drop("feature_idx", "magnitude"), ["x", "y"])
+    return _round(views.space_vectors(_loaded(spark, folder)[1].loading_rows(spark)).drop("feature_idx", "magnitude"), ["x", "y"])
 
 
 @query(f"WITH {_PAIR} SELECT l_orderkey, round(pc1, 5) AS \"PC1\", round(pc1 * pc1 / (1 + r + 1e-4), 5) AS t2 FROM t WHERE l_orderkey > 40")
