@@ -21,6 +21,8 @@ UNITS = r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 JOINED = 256
 #: Tokens assembled at a time, about.
 CHUNK = 1 << 21
+#: Bytes of text that are split at a time.
+SLICE = 8 << 20
 #: Bytes of pieces and ids that a task keeps.
 KEPT = 48 << 20
 
@@ -106,7 +108,19 @@ class WordEncoder:
         return ids, places[:, which]
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids in a row, where each text's begin) for consecutive texts; nulls are empty."""
+        """(ids in a row, where each text's begin) for consecutive texts; nulls are empty.
+
+        Texts are split SLICE bytes at a time, a longer text by itself, so memory doesn't grow with a batch.
+        """
+        upto = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64))
+        i = 0
+        while i < len(texts):
+            before = upto[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(upto, before + SLICE, "right")))
+            yield from self._encode(texts.slice(i, j - i))
+            i = j
+
+    def _encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()

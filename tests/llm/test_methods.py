@@ -263,3 +263,26 @@ def test_odd_quotes_and_vectors(spark):
     got = ann.nearest(x, F.col("id") % 100 == 0).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(100, 1, 1)]
     assert ann.nearest(x.limit(0), F.col("id") % 100 == 0).collect() == []
+
+
+def test_texts_are_encoded_by_slices(monkeypatch):
+    """Ids don't depend on how many texts are split at a time."""
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+
+    from facetflow.llm import wordbpe
+
+    texts = pa.array(["", None, "One text, and more of it.", "x" * 500 + " tail", " \n\t ", "é’s don't 12 <s>"] * 5)
+
+    def ids(size):
+        monkeypatch.setattr(wordbpe, "SLICE", size)
+        found = []
+        for got, bounds in wordbpe.WordEncoder(public_tokenizers.path("word_bpe_49k.json")).encode(texts.slice(1)):
+            found += [got[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return found
+
+    whole = ids(1 << 30)
+    assert len(whole) == len(texts) - 1
+    assert ids(1) == ids(40) == whole
+    assert not np.any([whole[0], whole[3]])
