@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from facetflow.functions import numbers, transforms
 from facetflow.operators import analysis, correlate, edits, kernel, pca, profile, rows, validate, views
+from facetflow.operators.editlog import EditLog
 from facetflow.operators.preprocess import Preprocess
 from facetflow.plans.queries import GAPS_SQL, ORDER, ORDER_SQL, _PAIR, _gaps, _orders, _pair_model, _round, _t, query
 from facetflow.sources import scratch, tables
@@ -331,6 +332,31 @@ def edit_undo_redo(spark, folder):
     return _round(h.redo(), ["x"])
 
 
+@query("WITH x AS (SELECT -1 AS e, 0 AS c, 'first' AS event_type, NULL AS amount UNION ALL SELECT event_id, 0, event_type, value FROM events WHERE event_id NOT IN (2, 9) UNION ALL SELECT event_id, 1, event_type || '_copy', -1.5 FROM events WHERE event_id = 5) SELECT row_number() OVER (ORDER BY e, c) - 1 AS row_idx, event_type, amount FROM x")
+def edit_log_rows(spark, folder):
+    """Rows inserted, deleted and copied near the front of a table, none of whose rows is renumbered for it."""
+    log = EditLog(_events(spark, folder)).insert_row(0, event_type="first").delete_rows([3, 10])
+    return log.duplicate_rows([5], "event_type").set_cell(6, "value", -1.5).rename("value", "amount").table
+
+
+@query("SELECT 59 - k AS row_idx, 's' || k AS event_type, NULL AS value FROM range(60) r(k) UNION ALL SELECT event_id + 60, event_type, value FROM events")
+def edit_log_undone(spark, folder):
+    """A hundred insertions at the front, forty of them taken back: one join at any length of the history."""
+    log = EditLog(_events(spark, folder))
+    for k in range(100):
+        log.insert_row(0, event_type=f"s{k}")
+    for _ in range(40):
+        log.undo()
+    return log.table
+
+
+@query(f"SELECT row_idx - 2 AS row_idx, event_type, round(coalesce(x, (SELECT avg(x) FROM {GAPS_SQL})), 6) AS x FROM {GAPS_SQL} WHERE row_idx > 1")
+def edit_log_filled(spark, folder):
+    """A fill of a whole column between edits of rows: means are those of the table as it was then."""
+    log = EditLog(_gaps(spark, folder)).apply("fill", edits.fill_missing(["x"], "mean")).delete_rows([0, 1]).delete_columns(["event_type"])
+    return _round(log.undo().table, ["x"])
+
+
 @query("SELECT event_id AS row_idx, value FROM events WHERE event_id < 20 OR event_id >= (SELECT count(*) - 5 FROM events)")
 def head_and_tail(spark, folder):
     return rows.head_and_tail(_events(spark, folder).select("row_idx", "value"))

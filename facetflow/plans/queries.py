@@ -415,6 +415,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from facetflow.plans import checks  # noqa: F401
+    from facetflow.plans import checks, wide  # noqa: F401
 
     return {k: s for k, (_, s) in _found.items() if s}
