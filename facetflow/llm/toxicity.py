@@ -9,8 +9,10 @@ length are read in one pass. Other words have one path and stand for themselves.
 Scoring. Features are restored words and their first 4, 5 and 6 characters; those that labelled toxic documents hold
 far more often than others get weights by logistic regression on their presence, the score is the probability.
 
-The character model counts the words of all documents; letters beyond the ``alphabet`` most frequent ones count as one,
-so it has no more than (alphabet + 2)^3 entries. The features and their weights come from at most ``sample`` labelled
+The character model counts the words of all documents, rare letters like others. Ideographs and syllables (from U+2E80 on)
+count by ranges of 256 code points: no sign stands for one of them, and readings that differ in them differ in the length
+of a run only. So the model grows with the trigrams of alphabets, not with the corpus; it is two sorted arrays, gathered
+up to ``most`` trigrams (more than alphabets have in use), and raises beyond. The features and their weights come from at most ``sample`` labelled
 documents (in order of a hash of doc_id). Scoring is a pass over all whole texts, nothing is shuffled.
 Null and empty texts get the score of a text without features. Rows that repeat are scored each; null ids are scored
 but never learned from; an empty table gives no rows; without labels of both classes each score is that of the prior.
@@ -20,7 +22,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
@@ -47,8 +48,10 @@ TAIL = re.compile(r"[$@]{3,}$")
 COST = {"look": -0.7, "drop": -0.2, "guess": -2.5, "shorten": -0.3, "kept_run": -2.0, "break": -1.0, "sign": -6.0}
 ORDINARY = "^\\pL+$"
 PREFIXES = (4, 5, 6)
-#: Stands for both ends of a word, and for letters beyond the alphabet.
+#: Stands for both ends of a word, and for letters that no word holds.
 BOUND, OTHER = "^", "\ufffd"
+#: From here on letters are ideographs and syllables, of which RANGE count as one; bits of a code point in a trigram.
+SYLLABLES, RANGE, BITS = 0x2E80, 256, 21
 #: Words and log probabilities that a task remembers.
 KNOWN = 60_000
 
@@ -57,26 +60,47 @@ def _doubled(word: str) -> bool:
     return any(a == b for a, b in zip(word, word[1:], strict=False))
 
 
+Grams = tuple[np.ndarray, np.ndarray]
+
+
+def packed(counts: dict[str, int]) -> Grams:
+    """(trigrams as numbers, ascending; their counts)."""
+    of = {(ord(g[0]) << 2 * BITS) | (ord(g[1]) << BITS) | ord(g[2]): n for g, n in counts.items()}
+    return np.array(sorted(of), np.int64), np.array([of[k] for k in sorted(of)], np.int64)
+
+
+def _found(keys: np.ndarray, n: np.ndarray, key: int) -> int:
+    i = int(keys.searchsorted(key))
+    return int(n[i]) if i < len(keys) and keys[i] == key else 0
+
+
 @dataclass
 class CharacterModel:
-    """Trigram log probabilities with additive smoothing; letters beyond those of ``counts`` count as one unseen letter."""
+    """Trigram log probabilities with additive smoothing; letters that no trigram holds count as one unseen letter."""
 
-    counts: dict[str, int] = field(default_factory=dict)
+    grams: Grams
     known: dict[str, str] = field(default_factory=dict)
     logs: dict[tuple[str, str, str], float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.context: Counter = Counter()
-        for gram, n in self.counts.items():
-            self.context[gram[:2]] += n
-        self.letters = {x for g in self.counts for x in g} | {BOUND}
-        self.size = len({g[2] for g in self.counts}) + 1
+        keys, n = self.grams
+        begins = np.flatnonzero(np.diff(keys >> BITS, prepend=-1))
+        self.contexts = (keys >> BITS)[begins], np.add.reduceat(n, begins) if len(begins) else n
+        low = (1 << BITS) - 1
+        self.letters = {ord(BOUND), *np.unique(np.concatenate([keys >> 2 * BITS, (keys >> BITS) & low, keys & low])).tolist()}
+        self.size = len(np.unique(keys & low)) + 1
+
+    def _letter(self, x: str) -> int:
+        point = ord(x)
+        if point >= SYLLABLES:
+            point |= RANGE - 1
+        return point if point in self.letters else ord(OTHER)
 
     def log(self, a: str, b: str, c: str) -> float:
         found = self.logs.get((a, b, c))
         if found is None:
-            x, y, z = (x if x in self.letters else OTHER for x in (a, b, c))
-            found = math.log((self.counts.get(x + y + z, 0) + 0.1) / (self.context.get(x + y, 0) + 0.1 * self.size))
+            two = (self._letter(a) << BITS) | self._letter(b)
+            found = math.log((_found(*self.grams, (two << BITS) | self._letter(c)) + 0.1) / (_found(*self.contexts, two) + 0.1 * self.size))
             if len(self.logs) < KNOWN:
                 self.logs[a, b, c] = found
         return found
@@ -265,8 +289,8 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def character_counts(documents: DataFrame, alphabet: int) -> dict[str, int]:
-    """Character trigrams of the words of letters of all documents, over the most frequent letters and OTHER."""
+def character_counts(documents: DataFrame, most: int) -> Grams:
+    """Character trigrams of the words of letters of all documents, as of packed()."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -276,27 +300,28 @@ def character_counts(documents: DataFrame, alphabet: int) -> dict[str, int]:
                 times = np.bincount(code, minlength=len(words))[plain]
                 bound = pa.scalar(BOUND, words.type)
                 points, own = code_points(pc.binary_join_element_wise(bound, bound, words.filter(pa.array(plain)), bound, pa.scalar("", words.type)))
+                points = np.where(points < SYLLABLES, points, points | (RANGE - 1))
                 three = np.stack([points[:-2], points[1:-1], points[2:]], 1)[own[2:] == own[:-2]].astype(np.int64)
-                gram, place = np.unique((three[:, 0] << 42) | (three[:, 1] << 21) | three[:, 2], return_inverse=True)
+                gram, place = np.unique((three[:, 0] << 2 * BITS) | (three[:, 1] << BITS) | three[:, 2], return_inverse=True)
                 n = np.bincount(place, times[own[:-2][own[2:] == own[:-2]]], len(gram)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], names=["gram", "n"])
 
     found = settle(documents.select(F.col("text").cast("string")).mapInArrow(trimmed(grams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    low = 2097151
-    letters = found.groupBy(F.col("gram").bitwiseAND(F.lit(low)).alias("letter")).agg(F.sum("n").alias("n")).where(F.col("letter") != ord(BOUND)).orderBy(F.desc("n"), "letter").limit(alphabet)
-    common = [r["letter"] for r in letters.collect()] + [ord(BOUND)]
-    parts = [F.shiftright("gram", 42), F.shiftright("gram", 21).bitwiseAND(F.lit(low)), F.col("gram").bitwiseAND(F.lit(low))]
-    folded = [F.when(p.isin(common), p).otherwise(F.lit(ord(OTHER))).alias(f"c{i}") for i, p in enumerate(parts)]
-    rows = found.select(*folded, "n").groupBy("c0", "c1", "c2").agg(F.sum("n").alias("n")).collect()  # at most (alphabet + 2)^3
-    return {chr(r["c0"]) + chr(r["c1"]) + chr(r["c2"]): r["n"] for r in rows}
+    size = found.count()
+    if size > most:
+        raise ValueError(f"the words of letters hold {size} trigrams, more than {most}: give a larger number where tasks have room for 16 bytes of each")
+    rows = found.toArrow()  # at most ``most``
+    keys, n = rows.column("gram").to_numpy(), rows.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
 
 
 def learn(
     documents: DataFrame, labels: DataFrame, sample: int = 20_000, min_toxic: int = 3, min_lift: float = 6.0,
-    steps: int = 300, penalty: float = 0.02, alphabet: int = 96,
+    steps: int = 300, penalty: float = 0.02, most: int = 1 << 23,
 ) -> ToxicityModel:
     """A model from at most ``sample`` labelled documents, those of held_out() left out; letters come from all documents."""
-    characters = CharacterModel(character_counts(documents, alphabet))
+    characters = CharacterModel(character_counts(documents, most))
     chosen = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -304,7 +329,7 @@ def learn(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts of each class by feature; the feature "" counts all."""
-        own = CharacterModel(characters.counts)
+        own = CharacterModel(characters.grams)
         for whole in batches:
             for batch in _rows(whole):
                 toxic = np.asarray(batch.column(1)).astype(np.int64)
@@ -337,7 +362,7 @@ def learn(
 
 def _fit(model: ToxicityModel, rows: DataFrame, steps: int, penalty: float) -> None:
     """Logistic regression on the features of the sample's texts, which are few a text."""
-    bare = ToxicityModel(CharacterModel(model.characters.counts), model.features, np.zeros(0), 0)
+    bare = ToxicityModel(CharacterModel(model.characters.grams), model.features, np.zeros(0), 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -366,7 +391,7 @@ def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = ToxicityModel(CharacterModel(model.characters.counts), model.features, model.weights, model.bias)
+        own = ToxicityModel(CharacterModel(model.characters.grams), model.features, model.weights, model.bias)
         for whole in batches:
             for batch in _rows(whole):
                 got = own.scores(batch.column(2))
@@ -382,7 +407,7 @@ def kept_documents(documents: DataFrame, labels: DataFrame, **how: int | float)
     text = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = ToxicityModel(CharacterModel(model.characters.counts), model.features, model.weights, model.bias)
+        own = ToxicityModel(CharacterModel(model.characters.grams), model.features, model.weights, model.bias)
         for whole in batches:
             for batch in _rows(whole):
                 yield batch.filter(pa.array(own.scores(batch.column(text)) < 0.5))

@@ -127,7 +127,7 @@ def test_interpolated_scores_against_dictionaries(spark, documents):
 def test_readings_against_all_paths(word, spaced):
     text = ["stupid", "stop", "ab", "boo", "leet", "a", "xx", "sip", "about"]
     grams = Counter(f"^^{w}^"[i : i + 3] for w in text for i in range(len(w) + 1))
-    model = toxicity.CharacterModel(dict(grams))
+    model = toxicity.CharacterModel(toxicity.packed(grams))
     runs = [(c, len(list(g))) for c, g in itertools.groupby(word)]
 
     def score(out):
@@ -156,12 +156,33 @@ def test_readings_against_all_paths(word, spaced):
 
 
 def test_words_and_runs_of_any_length_are_read():
-    model = toxicity.CharacterModel(dict(Counter(f"^^{w}^"[i : i + 3] for w in ["stupid", "and", "so"] * 9 for i in range(len(w) + 1))))
+    model = toxicity.CharacterModel(toxicity.packed(Counter(f"^^{w}^"[i : i + 3] for w in ["stupid", "and", "so"] * 9 for i in range(len(w) + 1))))
     assert model.restore("st" + "u" * 5000 + "p1d") == "stupid"
     assert model.restore("stupid" * 300, True).split(" ").count("stupid") == 300
     assert toxicity.restored_text("stuupid stüpid éé", model).split(" ")[0] == "stupid"
 
 
+def test_rare_letters_have_a_model(spark):
+    """Trigrams of all letters against brute force, with more letters than any one alphabet has; ideographs by ranges."""
+    many = "".join(chr(x) for block in (0x61, 0xE0, 0x430, 0x3B1, 0x561, 0x5D0, 0x10D0) for x in range(block, block + 22))
+    own = [x for x in many if x.isalpha() and x.lower() == x]
+    texts = [" ".join("".join(own[(i * j + k) % len(own)] for k in range(5)) for j in range(1, 40)) for i in range(1, 20)] + ["стоп стоп ст0п", "漢字漢字", None, ""]
+    documents = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    fold = lambda x: x if ord(x) < toxicity.SYLLABLES else chr(ord(x) | 255)
+    want = Counter()
+    for w in " ".join(x or "" for x in texts).split():
+        if w.isalpha():
+            w = "^^" + "".join(fold(x) for x in w) + "^"
+            want.update(w[i : i + 3] for i in range(len(w) - 2))
+    assert len(set(own)) > 110
+    got = toxicity.character_counts(documents, 1 << 20)
+    assert all((a == b).all() for a, b in zip(got, toxicity.packed(want), strict=True))
+    with pytest.raises(ValueError):
+        toxicity.character_counts(documents, 10)
+    model = toxicity.CharacterModel(got)
+    assert model.log("о", "п", "^") > model.log("о", "п", "ა") and model.restore("漢漢漢漢") in ("漢", "漢漢")
+
+
 def test_verdicts_follow_the_list(spark):
     documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
     found, learned = rules.quality(documents, labels)
