@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
 
@@ -72,15 +72,19 @@ def moments(df: DataFrame, parts: list[Column]) -> Moments:
 
 
 def _wide_moments(x: DataFrame, m: int) -> Moments:
-    """Of an array column: each task merges its batches, and blocks of rows of the matrices are merged by block."""
+    """Of an array column."""
+    return gathered_moments(x, m, lambda batch: [batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, m)])
+
+
+def gathered_moments(x: DataFrame, m: int, of: Callable[[pa.RecordBatch], Iterable[np.ndarray]]) -> Moments:
+    """Of matrices that ``of`` makes of a batch: each task merges its own, and blocks of rows of the sums are merged by block."""
     step = max(1, BLOCK_BYTES // (8 * m))
     kind = "block int, n long, counts binary, means binary, products binary"
     schema = pa.schema([("block", pa.int32()), ("n", pa.int64()), ("counts", pa.binary()), ("means", pa.binary()), ("products", pa.binary())])
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, counts, means, sums = 0, np.zeros(m), np.zeros(m), np.zeros((m, m))
-        for batch in batches:
-            v = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+        for v in (v for batch in batches for v in of(batch)):
             counts += (~np.isnan(v)).sum(0)
             mean = v.mean(0) if len(v) else means
             n, means, sums = _met(n, means, sums, len(v), mean, (v - mean).T @ (v - mean))

@@ -225,3 +225,44 @@ def test_nearly_collinear_features_keep_small_eigenvalues(spark):
     want = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2 / 299
     assert np.allclose(pca.fit(df, df.columns, 3, exact=True).eigenvalues, want, rtol=1e-5, atol=0)
     assert abs(pca.fit(df, df.columns, 3).eigenvalues[2] / want[2] - 1) > 0.01
+
+
+@pytest.mark.parametrize("how", [{"kernel": "rbf", "gamma": 0.05}, {"kernel": "linear"}, {"kernel": "poly", "gamma": 0.1, "coef0": 1.0, "degree": 2}])
+def test_factored_kernels_agree_with_whole_ones(spark, monkeypatch, how):
+    """More rows than are broadcast are fitted by pivots; some of those are no part of the first rows."""
+    x = np.random.default_rng(9).standard_normal((400, 2)) * [2, 1]
+    df = spark.createDataFrame(x.tolist(), ["a", "b"]).repartition(3)
+    whole = kernel.fit(df, df.columns, 3, **how)
+    monkeypatch.setattr(kernel, "MOST_ROWS", 25)
+    found = kernel.fit(df, df.columns, 3, **how)
+    k = len(found.eigenvalues)
+    assert len(found.train) < 300 and k == min(3, 2 if how["kernel"] == "linear" else 3)
+    assert np.allclose(found.eigenvalues, whole.eigenvalues[:k], rtol=1e-9) and np.allclose(found.ratios, whole.ratios[:k], rtol=1e-7)
+    again = kernel.KernelModel.from_json(found.to_json())
+    for compat in (False, True):
+        one, two, three = (np.array(m.transform(df, compat).orderBy("a", "b").collect())[:, 2 : 2 + k] for m in (whole, found, again))
+        assert np.allclose(np.abs(one), np.abs(two), atol=1e-7) and np.array_equal(two, three)
+
+
+def test_kernels_of_low_rank_in_blocks(spark):
+    """What rounding leaves of products is no direction: six copies of a thousand rows, in another order, settle."""
+    x = np.tile(np.random.default_rng(3).uniform([-1, 0], [10, 25], (1000, 2)).round(2), (6, 1))
+    x = x[np.random.default_rng(1).permutation(len(x))]
+    found = kernel.fit(spark.createDataFrame(x.tolist(), ["a", "b"]), ["a", "b"], 2, kernel="linear")
+    assert np.allclose(found.eigenvalues, np.linalg.eigvalsh((x - x.mean(0)).T @ (x - x.mean(0)))[::-1], rtol=1e-9)
+
+
+def test_kernel_totals_of_few_rows(spark):
+    """The trace is told whichever way the kernel is made."""
+    x = spark.createDataFrame([(float(i), float(i * i % 7)) for i in range(10)], ["a", "b"])
+    assert math.isclose(kernel.fit(x, ["a", "b"], 2, local_rows=10).total, kernel.fit(x, ["a", "b"], 2, local_rows=1).total, rel_tol=1e-9)
+
+
+def test_kernel_matrices_have_no_limit_on_rows(spark, monkeypatch):
+    monkeypatch.setattr(kernel, "TASK_PAIRS", 1_000_000)
+    df = spark.range(2001).select("id", (F.col("id") % 5).cast("double").alias("x"))
+    for most in (10_000, 100):
+        monkeypatch.setattr(kernel, "BROADCAST_ROWS", most)
+        pairs = kernel.kernel_pairs(df, "id", ["x"], "linear")
+        assert pairs.count() == 2001 * 2002 // 2 == pairs.select("i", "j").distinct().count()
+        assert math.isclose(kernel.centered(pairs).where("i = 3").agg(F.sum("kc")).first()[0], sum((3 - 2 + 2 / 2001) * (i % 5 - 2 + 2 / 2001) for i in range(3, 2001)), abs_tol=1e-6)
