@@ -153,9 +153,13 @@ def _cells(spark: SparkSession, rows_: DataFrame, header: str, cells: list, sepa
 
 
 def _lines(spark: SparkSession, rows_: DataFrame, top: list[str], cells: list, separator: str) -> str:
-    """Text files of the lines ``top`` and the rows in order of c_custkey; null cells leave their rows too narrow."""
+    """Text files of the lines ``top`` and the rows in order of c_custkey; null cells leave their rows too narrow. A single
+    line on top is a header, which each file has."""
     path = _folder(spark)
     lines = rows_.select(F.col("c_custkey").alias("i"), F.concat_ws(separator, *cells).alias("value"))
+    if len(top) == 1:
+        lines.orderBy("i").select(F.col("value").alias(top[0])).write.csv(path, header=True, sep="\x01", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        return path
     if top:
         lines = lines.unionByName(spark.createDataFrame([(i - len(top), x) for i, x in enumerate(top)], "i long, value string"))
     lines.orderBy("i").select("value").write.text(path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -77,7 +77,16 @@ def with_row_index(df: DataFrame) -> DataFrame:
     shifts = blocks.select("__f", "__b", (before - F.col("__first")).alias("__shift"))
     few = placed.select("__f", "__b").distinct().limit(BLOCKS + 1).count() <= BLOCKS
     out = placed.join(F.broadcast(shifts) if few else shifts, ["__f", "__b"])
-    return out.select((F.col("__i") + F.col("__shift")).alias("row_idx"), *df.columns)
+    return out.select((F.col("__i") + F.col("__shift")).alias("row_idx"), *_columns(df.columns))
+
+
+def _columns(names: list[str]) -> list[Column]:
+    """Columns by their names as a whole, which may hold dots."""
+    return [_column(c) for c in names]
+
+
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def read_text(spark: SparkSession, path: str, options: ReadOptions = DEFAULT, ragged: str | None = None) -> DataFrame:
@@ -107,7 +116,7 @@ def _chosen(df: DataFrame, options: ReadOptions, ragged: str | None) -> DataFram
     if options.max_rows is not None:
         df = df.where(F.col("row_idx") < options.max_rows)
     keep = [c for c in names if not options.columns or c in options.columns]
-    return df.select("row_idx", *(["row_name"] if options.row_names and "row_name" in df.columns else []), *keep, *([ragged] if ragged else []))
+    return df.select("row_idx", *(["row_name"] if options.row_names and "row_name" in df.columns else []), *_columns(keep), *([ragged] if ragged else []))
 
 
 def read_wizard(spark: SparkSession, path: str, delimiter: str = ",", header_row: int = 0, row_name_column: str | None = None, columns: tuple[str, ...] = (), max_rows: int | None = None) -> DataFrame:
@@ -122,7 +131,7 @@ def read_wizard(spark: SparkSession, path: str, delimiter: str = ",", header_row
     if max_rows is not None:
         rows = rows.where(F.col("row_idx") < max_rows)
     keep = [c for c in names if c != row_name_column and (not columns or c in columns)]
-    return rows.select("row_idx", *([F.col(f"`{row_name_column}`").alias("row_name")] if row_name_column else []), *[F.col(f"`{c}`") for c in keep])
+    return rows.select("row_idx", *([_column(row_name_column).alias("row_name")] if row_name_column else []), *_columns(keep))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -175,7 +184,7 @@ def infer_roles(text: DataFrame, options: ReadOptions = DEFAULT) -> dict[str, st
     if not columns:
         return {}
     rows = text if options.sample_rows is None else text.where(F.col("row_idx") < options.sample_rows)
-    s = rows.agg(*[F.coalesce(F.every(is_numeric(F.coalesce(F.col(c), F.lit("")), options.decimal, options.tokens)), F.lit(True)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    s = rows.agg(*[F.coalesce(F.every(is_numeric(F.coalesce(_column(c), F.lit("")), options.decimal, options.tokens)), F.lit(True)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     return {c: "target" if is_target(c, options.targets) else "numeric" if s[f"c{i}"] else "categorical" for i, c in enumerate(columns)}
 
 
@@ -186,11 +195,11 @@ def read_mixed(spark: SparkSession, path: str, options: ReadOptions = DEFAULT) -
 
     def typed(c: str):
         if roles.get(c) in ("numeric", "target"):
-            number = parse_number(c, options.decimal, options.tokens)
+            number = parse_number(_column(c), options.decimal, options.tokens)
             return number.alias(c, metadata={"role": roles[c]})
         if c in roles:
-            return F.when(~is_missing(c, options.tokens, any_case=False), F.col(c)).alias(c, metadata={"role": roles[c]})
-        return F.col(c)
+            return F.when(~is_missing(_column(c), options.tokens, any_case=False), _column(c)).alias(c, metadata={"role": roles[c]})
+        return _column(c)
 
     return text.select(*[typed(c) for c in text.columns])
 
@@ -199,14 +208,14 @@ def read_numeric(spark: SparkSession, path: str, options: ReadOptions = DEFAULT)
     """All columns as numbers; cells that are neither numbers nor missing, and rows of another width, raise."""
     text = read_text(spark, path, options, ragged="__ragged")
     columns = [c for c in text.columns if c not in ("row_idx", "row_name", "__ragged")]
-    ok = lambda c: is_numeric(F.coalesce(F.col(c), F.lit("")), options.decimal, options.tokens)
+    ok = lambda c: is_numeric(F.coalesce(_column(c), F.lit("")), options.decimal, options.tokens)
     bad = text.agg(F.count("__ragged").alias("ragged"), F.count("row_idx").alias("n"), *[F.count(F.when(~ok(c), 1)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     if bad["ragged"]:
         raise ValueError(f"{bad['ragged']} rows have another number of cells than the header")
     wrong = [c for i, c in enumerate(columns) if bad[f"c{i}"]]
     if wrong:
         raise ValueError(f"not numeric: {wrong}")
-    return text.select(*[parse_number(c, options.decimal, options.tokens).alias(c) if c in columns else F.col(c) for c in text.columns if c != "__ragged"])
+    return text.select(*[parse_number(_column(c), options.decimal, options.tokens).alias(c) if c in columns else _column(c) for c in text.columns if c != "__ragged"])
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
@@ -230,8 +239,8 @@ def write_csv(df: DataFrame, path: str, options: ReadOptions = DEFAULT, digits:
 
     def cell(c: str, t: str):
         if t not in ("double", "float"):
-            return F.col(c)
-        x = F.col(c)
+            return _column(c)
+        x = _column(c)
         text = F.format_string(f"%.{digits}f", x) if digits is not None else x.cast("string")
         text = F.replace(text, F.lit("."), F.lit(",")) if options.decimal == "," else text
         return F.when(F.isnan(x), F.lit(nan)).when(x == float("inf"), "Inf").when(x == float("-inf"), "-Inf").otherwise(text).alias(c)

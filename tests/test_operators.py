@@ -1,6 +1,7 @@
 """Fits, ingestion, edits and diagnostics on small inputs."""
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from facetflow.functions import numbers, transforms
 from facetflow.operators import analysis, correlate, edits, kernel, pca, profile, quantiles, rows, validate, views
 from facetflow.operators.preprocess import Preprocess
+from facetflow.plans import checks
 from facetflow.sources import tables
 from facetflow.streaming import scoring
 
@@ -238,3 +240,26 @@ def test_analyses_are_saved_and_loaded(spark, tmp_path):
     again = analysis.load_model(spark, str(tmp_path / "a"))
     assert np.allclose(again.loadings, found.model.loadings)
     assert spark.read.parquet(str(tmp_path / "a" / "scores")).columns == found.scores.columns
+
+
+def test_refused_files_of_several_parts(spark):
+    """Each part has the header, and its rows of one cell are told from it; names of columns may hold dots."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted(r.refused for r in checks.refused_csv(spark, "/root/testdata/sf0.01").collect()) == ["ragged", "text"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_names_with_dots_are_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("51.99,b.c\n1,2\n3,4\n")
+    plain = replace(tables.DEFAULT, row_names=False)
+    assert [tuple(r) for r in tables.read_numeric(spark, str(tmp_path), plain).orderBy("row_idx").collect()] == [(0, 1.0, 2.0), (1, 3.0, 4.0)]
+    assert [tuple(r) for r in tables.read_mixed(spark, str(tmp_path), plain).orderBy("row_idx").collect()] == [(0, 1.0, 2.0), (1, 3.0, 4.0)]
+
+
+def test_fills_do_not_begin_anew_at_each_row(spark):
+    """A window that ends at the end of its rows is worked out anew for each row, so its cost grows with their square."""
+    df = spark.createDataFrame([(0, None), (1, 2.0)], "row_idx long, x double")
+    for direction in ("forward", "backward"):
+        assert "unboundedfollowing" not in rows.fill(df, ["x"], direction)._jdf.queryExecution().toString().lower()
