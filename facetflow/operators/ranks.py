@@ -1,8 +1,8 @@
 """Mean ranks of many columns at once, in a fixed number of shuffles.
 
-Equal values of a column are counted first, all columns in one aggregate of (column, value). Up to ``few`` distinct values
-in all, each column's sorted values and their ranks are sent to the tasks, and rows are ranked where they are. Beyond,
-the counted values are put in range order of (column, value) by one shuffle; a value's rank follows from the counts
+Equal values of a column are counted first, all columns in one aggregate of (column, value). Of the columns with the fewest
+distinct values, up to ``few`` of those in all, the sorted values and their ranks are sent to the tasks, and rows are ranked
+where they are. Of the other columns the counted values are put in range order of (column, value) by one shuffle; a value's rank follows from the counts
 before it in its range and the totals of the ranges before, which is a row a range and column; ranks go back to
 the cells by a join on (column, value), in which values that many rows share are broadcast, and cells to their rows by key.
 """
@@ -35,15 +35,26 @@ def mean_ranks(df: DataFrame, columns: list[str], few: int = FEW) -> DataFrame:
     if not columns:
         return df
     values = settled(counted_values(df, columns))
-    if values.limit(few + 1).count() <= few:
-        return _looked_up(df, columns, values)
-    ranged = settled(values.repartitionByRange("c", "x").withColumn("range", F.spark_partition_id()))
+    sizes = {r["c"]: r["count"] for r in values.groupBy("c").count().collect()}  # a row a column
+    low, held = [], 0
+    for i in sorted(range(len(columns)), key=lambda i: sizes.get(i, 0)):
+        held += sizes.get(i, 0)
+        if held > few:
+            break
+        low.append(i)
+    if low:
+        df = _looked_up(df, columns, sorted(low), values.where(F.col("c").isin(low)))
+    if len(low) == len(columns):
+        return df
+    high = {i: c for i, c in enumerate(columns) if i not in low}
+    ranged = settled(values.where(F.col("c").isin(list(high))).repartitionByRange("c", "x").withColumn("range", F.spark_partition_id()))
     before = F.coalesce(F.sum("s").over(Window.partitionBy("c").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = ranged.groupBy("c", "range").agg(F.sum("n").alias("s")).select("c", "range", before.alias("base"))  # a row a range and column
     upto = F.sum("n").over(Window.partitionBy("c", "range").orderBy("x"))
     ranks = settled(ranged.withColumn("upto", upto).join(bases, ["c", "range"]).select("c", "x", "n", (F.col("base") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank")))
     keyed = settled(df.withColumn("__key", F.monotonically_increasing_id()))
-    cells = keyed.select("__key", F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in columns])).alias("c", "x")).where("x is not null and not isnan(x)")
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("x")) for i, c in high.items()])).alias("v")
+    cells = keyed.select("__key", cells).select("__key", "v.*").where("x is not null and not isnan(x)")
     # at most HOT values that more than SHARED cells hold
     hot = F.broadcast(ranks.where(f"n > {SHARED}").orderBy(F.desc("n")).limit(HOT).select(F.col("c").alias("hc"), F.col("x").alias("hx"), F.col("rank").alias("hot")))
     marked = cells.join(hot, (F.col("c") == F.col("hc")) & (F.col("x") == F.col("hx")), "left").drop("hc", "hx")
@@ -52,20 +63,22 @@ def mean_ranks(df: DataFrame, columns: list[str], few: int = FEW) -> DataFrame:
     )
     by_row = found.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("c", "rank"))).alias("__ranks"))  # a row's columns
     out = keyed.join(by_row, "__key", "left")
-    return out.withColumns({c: F.element_at("__ranks", F.lit(i)) for i, c in enumerate(columns)}).select(*[F.col(f"`{c}`") for c in df.columns])
+    return out.withColumns({c: F.element_at("__ranks", F.lit(i)) for i, c in high.items()}).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def _looked_up(df: DataFrame, columns: list[str], values: DataFrame) -> DataFrame:
+def _looked_up(df: DataFrame, columns: list[str], low: list[int], values: DataFrame) -> DataFrame:
+    """``df`` with the ranks of the columns of those numbers."""
     cells = values.toArrow()  # at most ``few`` values
     c, x, n = (cells[k].to_numpy() for k in ("c", "x", "n"))
     order = np.lexsort((x, c))
     c, x, n = c[order], x[order], n[order]
     ends = np.searchsorted(c, np.arange(len(columns) + 1))
     tables = []
-    for i in range(len(columns)):
+    for i in low:
         own = slice(int(ends[i]), int(ends[i + 1]))
         tables.append((x[own], np.cumsum(n[own]) - (n[own] - 1) / 2))
     sent = df.sparkSession.sparkContext.broadcast(tables)
+    columns = [columns[i] for i in low]
     places = [df.columns.index(c) for c in columns]
     schema = StructType([StructField(f.name, DoubleType()) if f.name in columns else f for f in df.schema.fields])
 

@@ -266,3 +266,24 @@ def test_kernel_matrices_have_no_limit_on_rows(spark, monkeypatch):
         pairs = kernel.kernel_pairs(df, "id", ["x"], "linear")
         assert pairs.count() == 2001 * 2002 // 2 == pairs.select("i", "j").distinct().count()
         assert math.isclose(kernel.centered(pairs).where("i = 3").agg(F.sum("kc")).first()[0], sum((3 - 2 + 2 / 2001) * (i % 5 - 2 + 2 / 2001) for i in range(3, 2001)), abs_tol=1e-6)
+
+
+def test_columns_of_few_values_are_ranked_where_they_are(spark, monkeypatch):
+    """One column of many values doesn't put the cells of the others through joins."""
+    rng = np.random.default_rng(4)
+    x = pd.DataFrame({"a": rng.integers(0, 5, 400).astype(float), "b": rng.standard_normal(400), "c": rng.integers(0, 9, 400).astype(float)})
+    x.loc[::7, "c"] = None
+    seen, looked_up = [], ranks._looked_up
+    monkeypatch.setattr(ranks, "_looked_up", lambda df, columns, low, values: seen.append(low) or looked_up(df, columns, low, values))
+    df = spark.createDataFrame(x.assign(i=range(400))).repartition(3)
+    got = ranks.mean_ranks(df, ["a", "b", "c"], few=20).toPandas().sort_values("i")
+    assert seen == [[0, 2]]
+    assert np.allclose(got[["a", "b", "c"]].to_numpy(float), x.rank().to_numpy(), equal_nan=True)
+
+
+def test_places_of_scores_need_no_window_over_rows(spark, points, tmp_path):
+    found = analysis.analyse(points, ["f0", "f1", "f2", "f3"], 2)
+    document.write(found, str(tmp_path / "d"))
+    scores = document.saved_scores(spark, str(tmp_path / "d"), 2)
+    assert "row_number" not in scores._jdf.queryExecution().toString()
+    assert [r.position for r in scores.orderBy("position").collect()] == list(range(60))
