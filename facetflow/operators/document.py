@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from facetflow.operators.analysis import Analysis
 from facetflow.operators.pca import PCAModel
+from facetflow.sources.scratch import for_a_while
 
 METRICS = {"hotelling_t2": "t2", "mahalanobis": "mahalanobis", "rss": "rss", "is_outlier": "is_outlier"}
 _HEAD = '"results": {"samples": {"names": ['
@@ -53,8 +54,14 @@ def write(found: Analysis, path: str, names: str | None = None, order: str = "ro
             arrays.append((before + json.dumps(c) + ": [", _text(F.col(f"`{c}`").cast(kind))))
             opened = True
     closing = "]}}}" if opened else closing + "}"
-    first = scores.agg(F.min(order)).first()[0]
     cells = F.array(*[F.struct(F.lit(2 * i + 1).alias("section"), cell.alias("value")) for i, (_, cell) in enumerate(arrays)])
+    # the scores are worked out once, not again for their first row and for the ranges
+    with for_a_while(scores.select(*[F.col(f"`{c}`") for c in dict.fromkeys([order, *([names] if names else []), *found.model.labels, *own.values(), *preserved])])) as settled:
+        _written(settled, order, cells, arrays, closing, path)
+
+
+def _written(scores: DataFrame, order: str, cells: Column, arrays: list[tuple[str, Column]], closing: str, path: str) -> None:
+    first = scores.agg(F.min(order)).first()[0]
     lines = scores.select(F.col(order).alias("at"), F.explode(cells).alias("c")).select("c.section", "at", F.concat(F.when(F.col("at") > first, ",").otherwise(""), "c.value").alias("value"))
     between = [(2 * i, 0, text) for i, (text, _) in enumerate(arrays)] + [(2 * len(arrays), 0, closing)]
     between = scores.sparkSession.createDataFrame(between, "section int, at long, value string")
@@ -89,13 +96,14 @@ def load(spark: SparkSession, path: str) -> PCAModel:
 
 def saved_scores(spark: SparkSession, path: str, k: int) -> DataFrame:
     """position (from 0), PC1 to PCk of a document that write() has made, read by the tasks: its score lines alone begin
-    with a bracket and end with one."""
+    with a bracket and end with one, and follow each other, so a line's place is told by the first one of its split."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
-    rows = lines.where(F.col("value").rlike(r"^,?\[.*\]$")).withColumn("x", F.from_json(F.ltrim("value", F.lit(",")), "array<double>"))
-    parts = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))  # a row a split
-    base = parts.select("file", "start", (F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    placed = rows.withColumn("own", F.row_number().over(Window.partitionBy("file", "start").orderBy("at")) - 1).join(F.broadcast(base), ["file", "start"])
-    return placed.select((F.col("base") + F.col("own")).alias("position"), *[F.get("x", F.lit(i)).alias(f"PC{i + 1}") for i in range(k)])
+    rows = lines.where(F.col("value").rlike(r"^,?\[.*\]$"))
+    parts = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))  # a row a split
+    before = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    placed = rows.join(F.broadcast(parts.select("file", "start", (before - F.col("first")).alias("shift"))), ["file", "start"])
+    placed = placed.select((F.col("at") + F.col("shift")).alias("position"), F.from_json(F.ltrim("value", F.lit(",")), "array<double>").alias("x"))
+    return placed.select("position", *[F.get("x", F.lit(i)).alias(f"PC{i + 1}") for i in range(k)])
 
 
 def problems(document: dict, software: str | None = None) -> list[str]:
