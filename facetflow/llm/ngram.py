@@ -34,6 +34,8 @@ from facetflow.llm._shared import release, settle
 from facetflow.llm._words import blocks, mix
 
 BUCKET_BYTES = 4 << 20
+#: Tokens of a chunk that are scored at once, about.
+SLICE = 1 << 17
 BEGIN, END = np.uint64(0x51ED270B0A1F39C1), np.uint64(0xC2B2AE3D27D4EB4F)
 TRAIN, FOLD, HELD_OUT = 0, 1, 2
 ORDERS = ("word", "pair", "triple")
@@ -122,14 +124,23 @@ def count(chunks: DataFrame, buckets: int) -> DataFrame:
 def _totals(answers: pa.Table, name: str) -> np.ndarray:
     order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
     parts = answers.column(name).to_pylist()
-    return np.concatenate([of_planes(parts[i], np.uint32) for i in order]).astype(np.float64) if parts else np.zeros(0)
+    return np.concatenate([of_planes(parts[i], np.uint32) for i in order]) if parts else np.zeros(0, np.uint32)
 
 
-def _looked_up(chunk: pa.Table, answers: pa.Table, endings: tuple[str, ...]) -> tuple[list[list[np.ndarray]], np.ndarray]:
-    """For each ending the counts of each token's word, bigram and trigram; and where each text's tokens begin."""
+def _looked_up(chunk: pa.Table, answers: pa.Table, endings: tuple[str, ...]) -> Iterator[tuple[list[list[np.ndarray]], np.ndarray]]:
+    """For each ending the counts of each token's word, bigram and trigram; and where each text's tokens begin: for whole
+    texts of about SLICE tokens at a time, so that what is derived of tokens doesn't take a chunk's room many times."""
     grams, begin = _grams(texts_of(chunk.column("sizes")[0].values.to_numpy(), chunk.column("texts")[0].as_py()))
-    places = [np.unique(x, return_inverse=True)[1] for x in grams]
-    return [[_totals(answers, f"{name}{e}")[p] for name, p in zip(ORDERS, places, strict=True)] for e in endings], begin
+    found: list[list[np.ndarray]] = [[] for _ in endings]
+    for name in ORDERS:
+        place = np.unique(grams.pop(0), return_inverse=True)[1].astype(np.uint32)
+        for own, e in zip(found, endings, strict=True):
+            own.append(_totals(answers, f"{name}{e}")[place])
+    texts, i = len(begin) - 1, 0
+    while i < texts:
+        j = max(i + 1, int(np.searchsorted(begin, begin[i] + SLICE, "right")) - 1)
+        yield [[x[begin[i] : begin[j]].astype(np.float64) for x in own] for own in found], begin[i : j + 1] - begin[i]
+        i = j
 
 
 def estimates(words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, begin: np.ndarray, tokens: float, documents: float) -> tuple[np.ndarray, np.ndarray]:
@@ -182,16 +193,18 @@ def score(documents: DataFrame) -> DataFrame:
 
     def measure(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
         del key
-        (counts, folds), begin = _looked_up(chunk, answers, ("", "_fold"))
-        found, bucket = estimates(*[a - b for a, b in zip(counts, folds, strict=True)], begin, n - n_fold, train_documents - fold_documents)
-        ratio = found * (v + 1)
-        cell = bucket
-        for x in ratio:
-            octave = np.where(x > 0, 1 + np.clip(np.floor(np.log2(np.maximum(x, 1e-30))).astype(np.int64) - LOWEST, 0, OCTAVES - 1), 0)
-            cell = cell * (OCTAVES + 1) + octave
-        cell, place, times = np.unique(cell, return_inverse=True, return_counts=True)
-        columns = {"cell": pa.array(cell, pa.int64()), "n": pa.array(times, pa.int64())}
-        return pa.table(columns | {f"r{i}": pa.array(np.bincount(place, x, len(cell))) for i, x in enumerate(ratio)})
+        parts = []
+        for (counts, folds), begin in _looked_up(chunk, answers, ("", "_fold")):
+            found, bucket = estimates(*[a - b for a, b in zip(counts, folds, strict=True)], begin, n - n_fold, train_documents - fold_documents)
+            ratio = found * (v + 1)
+            cell = bucket
+            for x in ratio:
+                octave = np.where(x > 0, 1 + np.clip(np.floor(np.log2(np.maximum(x, 1e-30))).astype(np.int64) - LOWEST, 0, OCTAVES - 1), 0)
+                cell = cell * (OCTAVES + 1) + octave
+            cell, place, times = np.unique(cell, return_inverse=True, return_counts=True)
+            columns = {"cell": pa.array(cell, pa.int64()), "n": pa.array(times, pa.int64())}
+            parts.append(pa.table(columns | {f"r{i}": pa.array(np.bincount(place, x, len(cell))) for i, x in enumerate(ratio)}))
+        return pa.concat_tables(parts) if parts else pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), **{f"r{i}": pa.array([], pa.float64()) for i in range(3)}})
 
     needed = ["kind", "chunk", "bucket", *ORDERS]
     fold = chunks.where(f"kind = {FOLD}").groupBy("kind", "chunk").cogroup(answers.where(f"kind = {FOLD}").select(*needed, *[f"{x}_fold" for x in ORDERS]).groupBy("kind", "chunk"))
@@ -201,20 +214,26 @@ def score(documents: DataFrame) -> DataFrame:
     weights = learn_weights(np.array([r["cell"] // (OCTAVES + 1) ** 3 for r in cells], np.int64), times, ratios)
 
     def finish(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        (counts,), begin = _looked_up(chunk, answers, ("",))
-        found, bucket = estimates(*counts, begin, n, train_documents)
-        w = weights[bucket].T
-        full = (w[:3] * found).sum(0) + w[3] / (v + 1)
-        low = (counts[0] + 1) / (n + v + 1)
-        start = begin[:-1]
+        n_tokens, n_known, lows, fulls = ([np.zeros(0, t)] for t in (np.int64, np.int64, np.float64, np.float64))
+        for (counts,), begin in _looked_up(chunk, answers, ("",)):
+            found, bucket = estimates(*counts, begin, n, train_documents)
+            w = weights[bucket].T
+            full = (w[:3] * found).sum(0) + w[3] / (v + 1)
+            low = (counts[0] + 1) / (n + v + 1)
+            start = begin[:-1]
+            n_tokens.append(np.diff(begin))
+            n_known.append(np.add.reduceat((counts[0] > 0).astype(np.int64), start))
+            lows.append(np.add.reduceat(np.log10(low), start))
+            fulls.append(np.add.reduceat(np.log10(full), start))
+        texts = sum(map(len, n_tokens))
         return pa.table({
             "doc_id": pc.list_flatten(chunk.column("ids")),
-            "held_out": pa.array(np.full(len(start), key[0].as_py() == HELD_OUT)),
-            "n_tokens": pa.array(np.diff(begin), pa.int64()),
-            "n_known": pa.array(np.add.reduceat((counts[0] > 0).astype(np.int64), start), pa.int64()),
-            "train_tokens": pa.array(np.full(len(start), n), pa.int64()),
-            "base_score": pa.array(np.add.reduceat(np.log10(low), start)),
-            "score": pa.array(np.add.reduceat(np.log10(full), start)),
+            "held_out": pa.array(np.full(texts, key[0].as_py() == HELD_OUT)),
+            "n_tokens": pa.array(np.concatenate(n_tokens), pa.int64()),
+            "n_known": pa.array(np.concatenate(n_known), pa.int64()),
+            "train_tokens": pa.array(np.full(texts, n), pa.int64()),
+            "base_score": pa.array(np.concatenate(lows)),
+            "score": pa.array(np.concatenate(fulls)),
         })
 
     both = chunks.groupBy("kind", "chunk").cogroup(answers.select(*needed).groupBy("kind", "chunk"))

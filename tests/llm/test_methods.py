@@ -307,3 +307,23 @@ def test_texts_are_encoded_by_slices(monkeypatch):
     assert len(whole) == len(texts) - 1
     assert ids(1) == ids(40) == whole
     assert not np.any([whole[0], whole[3]])
+
+
+def test_chunks_are_scored_in_slices(spark, monkeypatch):
+    """What is derived of a chunk's tokens never takes more room than a slice's, and scores don't depend on slices."""
+    import pyarrow as pa
+
+    from facetflow.llm import ngram
+    from facetflow.llm._chunks import packed, planes, texts_of
+
+    rows = spark.createDataFrame([(i, 0, "a b c " * (i % 5) + "d", 0) for i in range(40)], "doc_id long, rank long, text string, kind int")
+    chunk = packed(rows.coalesce(1)).toArrow()
+    grams, begin = ngram._grams(texts_of(chunk.column("sizes")[0].values.to_numpy(), chunk.column("texts")[0].as_py()))
+    sizes = [len(np.unique(x)) for x in grams]
+    answers = pa.table({"bucket": [0], **{x: [planes(np.arange(n, dtype=np.uint32))] for x, n in zip(ngram.ORDERS, sizes, strict=True)}})
+    monkeypatch.setattr(ngram, "SLICE", 20)
+    parts = list(ngram._looked_up(chunk, answers, ("",)))
+    assert len(parts) > 10 and all(b[-1] <= 20 for _, b in parts)
+    for i, x in enumerate(grams):
+        assert np.array_equal(np.concatenate([found[0][i] for found, _ in parts]), np.unique(x, return_inverse=True)[1])
+    assert np.array_equal(np.concatenate([np.diff(b) for _, b in parts]), np.diff(begin))
