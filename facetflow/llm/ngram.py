@@ -83,8 +83,8 @@ def count(chunks: DataFrame, buckets: int) -> DataFrame:
             for i in range(batch.num_rows):
                 grams, _ = _grams(texts_of(np.asarray(batch.column(4)[i].values), batch.column(5)[i].as_py()))
                 parts = []
-                for x in grams:
-                    keys, n = np.unique(x, return_counts=True)
+                while grams:
+                    keys, n = np.unique(grams.pop(0), return_counts=True)
                     parts.append({b: (keys[of], n[of].astype(np.uint32)) for b, of in zip(*by_bucket(keys, buckets), strict=True)})
                 own = sorted(set().union(*parts))
                 none = (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
@@ -93,6 +93,8 @@ def count(chunks: DataFrame, buckets: int) -> DataFrame:
                     columns += [pa.array([steps(part.get(b, none)[0]) for b in own], pa.binary()), pa.array([planes(part.get(b, none)[1]) for b in own], pa.binary())]
                 fixed = [pa.array([batch.column(0)[i].as_py()] * len(own), pa.int32()), pa.array([batch.column(1)[i].as_py()] * len(own), pa.int64()), pa.array(own, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*fixed, *columns], schema=pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int64()), *binaries]))
+                del parts, columns, keys, n
+                pa.default_memory_pool().release_unused()
 
     sums = ("tokens", "types", "fold_tokens")
     answer_schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int64()), *[(f"{x}{y}", pa.binary()) for x in ORDERS for y in ("", "_fold")], *[(x, pa.int64()) for x in sums]])
@@ -103,11 +105,13 @@ def count(chunks: DataFrame, buckets: int) -> DataFrame:
         tokens = types = fold_tokens = 0
         for name in ORDERS:
             keys = [of_steps(x) for x in table.column(f"{name}_keys").to_pylist()]
-            n, size = [of_planes(x, np.uint32) for x in table.column(f"{name}_n").to_pylist()], np.array([len(x) for x in keys])
+            size = np.array([len(x) for x in keys])
             distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-            times, kind = np.concatenate(n), np.repeat(kinds, size)
-            total = np.bincount(place, times * (kind != HELD_OUT), len(distinct))
-            fold = np.bincount(place, times * (kind == FOLD), len(distinct))
+            known = len(distinct)
+            del keys, distinct
+            times, kind = np.concatenate([of_planes(x, np.uint32) for x in table.column(f"{name}_n").to_pylist()]), np.repeat(kinds, size)
+            total = np.bincount(place, times * (kind != HELD_OUT), known)
+            fold = np.bincount(place, times * (kind == FOLD), known)
             if name == "word":
                 tokens, types, fold_tokens = int(total.sum()), int((total > 0).sum()), int(fold.sum())
             split = np.cumsum(size)[:-1]
@@ -115,6 +119,7 @@ def count(chunks: DataFrame, buckets: int) -> DataFrame:
             columns[f"{name}_fold"] = [planes(x.astype(np.uint32)) if k == FOLD else b"" for k, x in zip(kinds, np.split(fold[place], split), strict=True)]
         rest = [0] * (len(kinds) - 1)
         columns |= {"tokens": [tokens, *rest], "types": [types, *rest], "fold_tokens": [fold_tokens, *rest]}
+        pa.default_memory_pool().release_unused()
         return pa.table(columns, answer_schema)
 
     out = "kind int, chunk long, bucket long, " + ", ".join(f"{x} binary, {x}_fold binary" for x in ORDERS) + ", " + ", ".join(f"{x} long" for x in sums)
@@ -130,6 +135,7 @@ def _totals(answers: pa.Table, name: str) -> np.ndarray:
 def _looked_up(chunk: pa.Table, answers: pa.Table, endings: tuple[str, ...]) -> Iterator[tuple[list[list[np.ndarray]], np.ndarray]]:
     """For each ending the counts of each token's word, bigram and trigram; and where each text's tokens begin: for whole
     texts of about SLICE tokens at a time, so that what is derived of tokens doesn't take a chunk's room many times."""
+    pa.default_memory_pool().release_unused()
     grams, begin = _grams(texts_of(chunk.column("sizes")[0].values.to_numpy(), chunk.column("texts")[0].as_py()))
     found: list[list[np.ndarray]] = [[] for _ in endings]
     for name in ORDERS:
