@@ -65,6 +65,43 @@ def test_repeats_behind_boilerplate_are_found(spark):
     assert found >= {3 * i + 2 for i in range(40)}
 
 
+def test_near_repeats_behind_several_holders_are_found(spark):
+    """Earlier documents hold pieces of a passage or a common phrase of it; later ones repeat it with a word replaced."""
+    rng, vocabulary = _vocabulary(11, 6000)
+    rows, wanted = [], set()
+    for i in range(40):
+        passage = rng.choice(vocabulary, 70).tolist()
+        parts = [passage[a : a + 12] for a in range(0, 70, 6)]
+        for d in range(12):  # all of its shingles, in another order each
+            rows.append((100 * i + d, " ".join(x for j in rng.permutation(len(parts)) for x in parts[j])))
+        for d in (50, 51):
+            own = [w if j != 35 or d == 50 else f"edit{i}" for j, w in enumerate(passage)]
+            rows.append((100 * i + d, " ".join(rng.choice(vocabulary, 60).tolist() + own + rng.choice(vocabulary, 60).tolist())))
+        wanted.add(100 * i + 51)
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r.doc_id for r in got if r.source_id == r.doc_id - 1 and 60 <= r.first_word + 5 and r.n_words >= 60}
+    assert len(found & wanted) >= 0.95 * len(wanted)
+    assert all(r.similarity >= 0.8 and r.source_id < r.doc_id for r in got)
+
+
+@pytest.mark.parametrize("phrases", [1, 2])
+def test_near_repeats_around_common_phrases_are_found(spark, phrases):
+    """More documents than are compared at once hold the phrases, each among words of its own (1) or both, apart (2)."""
+    rng, vocabulary = _vocabulary(13, 30000)
+    common = [[f"c{p}x{j}" for j in range(32)] for p in range(phrases)]
+    rows = [(i, " ".join(x for p in rng.permutation(phrases) for x in [*rng.choice(vocabulary, 60), *common[p]])) for i in range(80)]
+    for i in range(100, 140, 2):
+        around = rng.choice(vocabulary, (phrases + 1, 15 if phrases == 1 else 6)).tolist()
+        own = [x for b, c in zip(around, [*common, []], strict=True) for x in [*b, *c]]
+        for d in (0, 1):
+            edited = [w if not d or j != len(own) // 2 else f"edit{i}" for j, w in enumerate(own)]
+            rows.append((i + d, " ".join([*rng.choice(vocabulary, 60), *edited, *rng.choice(vocabulary, 60)])))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r.doc_id for r in got if r.source_id == r.doc_id - 1 and r.n_words >= len(own) - 5}
+    assert len(found & set(range(101, 140, 2))) >= 19
+    assert all(r.similarity >= 0.8 and r.source_id < r.doc_id for r in got)
+
+
 def test_long_repeats_are_whole_whatever_is_moved_at_first(spark):
     rng, vocabulary = _vocabulary(9)
     passage = rng.choice(vocabulary, 3000).tolist()
