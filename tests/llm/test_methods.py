@@ -102,6 +102,14 @@ def test_near_repeats_around_common_phrases_are_found(spark, phrases):
     assert all(r.similarity >= 0.8 and r.source_id < r.doc_id for r in got)
 
 
+def test_batches_are_worked_on_a_slice_at_a_time():
+    import pyarrow as pa
+
+    rows = list(range(3 * passages.SLICE + 7))
+    parts = [b.column(0).to_pylist() for b in passages._slices(iter([pa.RecordBatch.from_pydict({"x": rows}), pa.RecordBatch.from_pydict({"x": rows[:0]})]))]
+    assert max(map(len, parts)) <= passages.SLICE and [x for p in parts for x in p] == rows
+
+
 def test_long_repeats_are_whole_whatever_is_moved_at_first(spark):
     rng, vocabulary = _vocabulary(9)
     passage = rng.choice(vocabulary, 3000).tolist()
