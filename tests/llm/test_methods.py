@@ -102,6 +102,39 @@ def test_near_repeats_around_common_phrases_are_found(spark, phrases):
     assert all(r.similarity >= 0.8 and r.source_id < r.doc_id for r in got)
 
 
+def test_holders_of_a_passage_near_a_common_line_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """The line is too far from the passage for both to be one; each pair of documents shares both."""
+    rng, vocabulary = _vocabulary(17, 40000)
+    line, passage = [f"l{j}" for j in range(13)], [f"p{j}" for j in range(68)]
+    rows = [(i, " ".join([*rng.choice(vocabulary, 20), *line, *rng.choice(vocabulary, 60), *passage, *rng.choice(vocabulary, 40)])) for i in range(150)]
+    pairs, later = [], passages.later_holders
+
+    def counting(*args):
+        found, tried = later(*args)
+        pairs.append(tried.count())
+        return found, tried
+
+    monkeypatch.setattr(passages, "later_holders", counting)
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.first_word == 93 and r.n_words == 68} == set(range(1, 150))
+    assert pairs[0] <= 12 * len(rows)
+
+
+def test_stretches_against_brute_force():
+    rng = np.random.default_rng(19)
+    for _ in range(200):
+        n, length = int(rng.integers(1, 60)), int(rng.integers(1, 12))
+        at = np.unique(rng.integers(0, n, 5))
+        marked = np.flatnonzero(rng.random(n) < rng.random())
+        inside, low, high = passages._around(at, *passages._passing(n, at, marked, n, length, 0.8))
+        yes = np.isin(np.arange(n), marked)
+        good = [(a, b) for a in marked for b in marked if b - a + 1 >= length and yes[a : b + 1].sum() >= 0.8 * (b - a + 1) - 1e-9]
+        for x, y, a, b in zip(at, inside, low, high, strict=True):
+            own = [g for g in good if g[0] <= x <= g[1]]
+            assert y == bool(own)
+            assert not own or (a, b) == (min(g[0] for g in own), max(g[1] for g in own))
+
+
 def test_batches_are_worked_on_a_slice_at_a_time():
     import pyarrow as pa
 
