@@ -120,6 +120,17 @@ def test_holders_of_a_passage_near_a_common_line_are_not_compared_pair_by_pair(s
     assert pairs[0] <= 12 * len(rows)
 
 
+def test_near_repeats_without_frequent_shingles_among_others(spark):
+    """More than four documents hold all shingles of a passage in other orders; no shingle is frequent."""
+    rng, vocabulary = _vocabulary(23, 6000)
+    passage = rng.choice(vocabulary, 70).tolist()
+    parts = [passage[a : a + 12] for a in range(0, 70, 6)]
+    rows = [(d, " ".join(x for j in rng.permutation(len(parts)) for x in parts[j])) for d in range(12)]
+    rows += [(d, " ".join([*rng.choice(vocabulary, 60), *passage, *rng.choice(vocabulary, 60)])) for d in (50, 51)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert any(r.doc_id == 51 and r.source_id == 50 and r.n_words >= 70 for r in got)
+
+
 def test_stretches_against_brute_force():
     rng = np.random.default_rng(19)
     for _ in range(200):
