@@ -18,10 +18,13 @@ lies in P: then each has the share ``threshold`` of its own shingles there, and
 ratio, so they meet in buckets of (P, shingle of P, band of sizes), by the same kind of prefix and in two neighbouring bands.
 Buckets of one component are done. Of others, those of up to PAIRED members compare members of different components with
 each other; larger ones join their members to smaller clusters, which go the same way with pivots of
-their own until none is left; beside the central one, some members of the smallest components are pivots, so that a few
-strangers among many copies are soon done with. A member that was a pivot has met all others of its cluster and leaves. So
+their own; beside the central one, some members of the smallest components are pivots, so that a few
+strangers among many copies are soon done with. A member that was a pivot has met all others of its cluster and leaves.
+Clusters in which the members outside of the largest component fill at most STRANGE blocks of half a GROUP, and all once a
+round doesn't halve what is left to compare, have no more rounds: those members are compared with all others of their
+cluster, two blocks to a task, of which again a star a component comes out. So
 within a cluster no link between components is lost: all ways are exact, and
-GROUP, BYTES and PAIRED only choose the cheaper one.
+GROUP, BYTES, PAIRED and STRANGE only choose the cheaper one.
 Verification reads both texts and compares the full sets of 64-bit shingle hashes.
 
 Nothing is gathered at the driver; tables between rounds lie in the shared folder. Null and empty texts have
@@ -48,6 +51,8 @@ ROWS = 3
 GROUP, BYTES, COLUMNS = 2048, 16 << 20, 2048
 #: Pivots of small components in a round, and members of a bucket that are compared with each other.
 STRANGERS, PAIRED = 4, 24
+#: Blocks of members outside of a cluster's largest component up to which blocks are compared without another round.
+STRANGE = 4
 #: Size of the table of rarities, as a power of two.
 BITS = 21
 #: Pairs of ids (16 bytes each) that are broadcast.
@@ -257,6 +262,7 @@ def _rounds(groups: DataFrame, central: DataFrame, links: DataFrame, texts: Data
     linked = f"{denominator} * both >= {numerator} * (size + pivot_size - both)"
     edge = (F.col("pivot").alias("a"), F.col("doc").alias("b"))
     labels = components(links).select(F.col("node").alias("doc"), "label")
+    before = math.inf
     while True:
         ranked = groups.join(central, "doc").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
         sizes = ranked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("alike"))
@@ -290,6 +296,38 @@ def _rounds(groups: DataFrame, central: DataFrame, links: DataFrame, texts: Data
         if not large:
             return links
         groups = clusters.where("NOT together").select(F.col("cluster").alias("key"), "doc")
+        members, sides = _sides(groups, labels, texts)
+        beyond = F.col("strange") > STRANGE
+        tasks = sides.where(beyond).agg(F.sum("tasks").alias("n")).first()["n"] or 0
+        if tasks > before / 2:  # another round would hardly help
+            tasks, beyond = 0, F.lit(False)
+        links = settle(links.union(_within(_block_pairs(members, sides.where(~beyond)), texts, k, numerator, denominator)))
+        if not tasks:
+            return links
+        before, groups = tasks, settle(groups.join(sides.where(beyond), "key", "left_semi"))
+
+
+def _sides(groups: DataFrame, labels: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``groups`` with labels; and for each key the label of most members, the number of blocks that the others fill, that
+    of all blocks, and how many pairs of blocks hold all pairs of members of which one is among those others."""
+    half = lambda n, size: F.ceil(F.greatest(n / (GROUP / 2), size / (BYTES / 2))).cast("long")
+    bytes_of = texts.groupBy(F.col("doc_id").alias("doc")).agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    members = settle(groups.join(bytes_of, "doc").join(labels, "doc", "left").select("key", "doc", "bytes", F.coalesce("label", "doc").alias("label")))
+    alike = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    whole = alike.groupBy("key").agg(F.max(F.struct("n", "label", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    sides = whole.select("key", F.col("top.label").alias("most"), half(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("strange"), half(F.col("top.n"), F.col("top.bytes")).alias("rest"))
+    tasks = F.expr("strange * rest + strange * (strange - 1) div 2").alias("tasks")
+    return members, settle(sides.select("key", "most", "strange", (F.col("strange") + F.col("rest")).alias("blocks"), tasks))
+
+
+def _block_pairs(members: DataFrame, sides: DataFrame) -> DataFrame:
+    """(doc, cluster): a cluster a pair of blocks, of which at least one is of members outside of the largest component."""
+    turn = F.xxhash64("doc", F.lit(STRANGERS))
+    block = F.when(F.col("label") == F.col("most"), F.col("strange") + F.pmod(turn, F.col("blocks") - F.col("strange"))).otherwise(F.pmod(turn, F.col("strange")))
+    dealt = members.join(sides.where("strange > 0"), "key").withColumn("block", block)
+    others = F.expr("filter(sequence(0L, blocks - 1), x -> x <> block AND least(x, block) < strange)")
+    pairs = dealt.select("key", "doc", "block", F.explode(others).alias("other"))
+    return pairs.select("doc", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cluster"))
 
 
 def _smallest(docs: np.ndarray, linked: np.ndarray) -> np.ndarray:

@@ -224,6 +224,27 @@ def test_near_duplicates_in_clusters_of_each_size(spark, monkeypatch, group, str
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == _components(texts)
 
 
+def test_near_duplicates_of_strangers_take_few_rounds(spark, monkeypatch):
+    """Members that share edits with many others but are linked with few: a round with pivots is rid of the pivots alone."""
+    for name, value in (("GROUP", 12), ("PAIRED", 4), ("STRANGERS", 1), ("STRANGE", 2)):
+        monkeypatch.setattr(neardup, name, value)
+    rng = np.random.default_rng(3)
+    texts = {}
+    for i in range(60):
+        text = [f"w{x}" for x in range(100)]
+        for at in rng.choice(20, 12, replace=False) if i % 6 else [0, i % 4]:
+            text[5 * at] = f"a{at}"
+        texts[i] = " ".join(text)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(neardup, "signatures", _one_bucket(neardup.signatures))
+    compared, calls = neardup.compared, []
+    monkeypatch.setattr(neardup, "compared", lambda *how: calls.append(1) or compared(*how))
+    got = neardup.near_duplicates(rows).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == _components(texts)
+    assert len({r.component_id for r in got}) > 30
+    assert len(calls) <= 6  # two a round
+
+
 def _one_bucket(signatures):
     from pyspark.sql import functions as F
 
