@@ -268,6 +268,18 @@ def test_kernel_matrices_have_no_limit_on_rows(spark, monkeypatch):
         assert math.isclose(kernel.centered(pairs).where("i = 3").agg(F.sum("kc")).first()[0], sum((3 - 2 + 2 / 2001) * (i % 5 - 2 + 2 / 2001) for i in range(3, 2001)), abs_tol=1e-6)
 
 
+def test_means_of_a_kernel_take_a_row_of_the_matrix_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(kernel, "TASK_PAIRS", 40_000)
+    x = pd.DataFrame({"id": range(401), "x": np.random.default_rng(6).standard_normal(401)})
+    df = spark.createDataFrame(x)
+    made = kernel.kernel_pairs(df, "id", ["x"], gamma=0.5, whole=True).select("i", F.spark_partition_id().alias("at"))
+    assert made.count() == 401 * 401 and made.distinct().count() == 401 and made.select("at").distinct().count() > 2
+    got = kernel.centered(kernel.kernel_pairs(df, "id", ["x"], gamma=0.5), kernel.row_means(df, "id", ["x"], gamma=0.5)).toPandas()
+    whole = np.exp(-0.5 * (x.x.to_numpy()[:, None] - x.x.to_numpy()) ** 2)
+    want = whole - whole.mean(0) - whole.mean(0)[:, None] + whole.mean()
+    assert len(got) == 401 * 402 // 2 and np.allclose(got.kc, want[got.i, got.j], atol=1e-12)
+
+
 def test_columns_of_few_values_are_ranked_where_they_are(spark, monkeypatch):
     """One column of many values doesn't put the cells of the others through joins."""
     rng = np.random.default_rng(4)
