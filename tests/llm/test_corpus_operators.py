@@ -146,6 +146,17 @@ def test_interpolation_beats_the_base_and_sums_counts(documents):
     assert sum(r.score - r.base_score for r in got if r.held_out) > 0
 
 
+def test_interpolation_with_ranges_that_hold_no_words(documents, monkeypatch):
+    """With many buckets some hold bigrams of a chunk and none of its words."""
+    few = documents.where("doc_id < 40").select("doc_id", "text")
+    want = {r.doc_id: r for r in ngram.score(few).collect()}
+    monkeypatch.setattr(ngram, "BUCKET_BYTES", 512)
+    got = ngram.score(few).collect()
+    assert len(got) == len(want) == 40
+    for r in got:
+        assert r[:5] == want[r.doc_id][:5] and np.allclose(r[5:], want[r.doc_id][5:], rtol=1e-12)
+
+
 def test_packing_covers_every_id_once(documents):
     from tokenizers import Tokenizer
 
