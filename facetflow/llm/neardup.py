@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetflow.llm._shared import bucket_components, components, counted, forget_since, release, settle, settled_so_far, with_keys
@@ -220,9 +220,10 @@ def near_duplicates(documents: DataFrame, k: int = 3, numerator: int = 85, denom
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep_id"))
     classes = settle(classes)
     keyed = signed.select("doc_id", "node", "keys").join(classes, ["node"]).where("doc_id = rep_id")
-    keyed = keyed.select("rep_id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = settle(keyed.join(shared, "key").select("key", F.col("rep_id").alias("doc")).distinct())
+    keyed = keyed.select(F.col("rep_id").alias("doc"), F.explode("keys").alias("key"))
+    # a window, so that the rows of all keys are shuffled once
+    several = keyed.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("members > 1")
+    buckets = settle(several.select("key", "doc").distinct())
     release(documents.sparkSession)
     among = buckets.select(F.col("doc").alias("doc_id")).distinct()
     texts = settle(documents.join(among, "doc_id"))
